@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kvspark.llm import bpe, media, packing, sharding
+from kvspark.llm import bpe, media, ngram_join, packing, sharding, substring
 from kvspark.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeat_digest(table(spark, sf_dir, "documents"), window=20)
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op5_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -33,6 +41,8 @@ def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op5_bitmap_bpe": op5_bitmap_bpe,
         "op6_tiered_packing": op6_tiered_packing,
         "op8_hash_ring": op8_hash_ring,
