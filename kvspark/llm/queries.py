@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kvspark.llm import bpe, media, ngram_join, packing, sharding, substring
+from kvspark.llm import bpe, media, ngram_join, packing, sharding, substring, urlfilter
 from kvspark.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op6_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op8_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -45,10 +49,11 @@ def queries() -> dict[str, Query]:
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op5_bitmap_bpe": op5_bitmap_bpe,
         "op6_tiered_packing": op6_tiered_packing,
+        "op7_link_graph": op7_link_graph,
         "op8_hash_ring": op8_hash_ring,
         "op10_telephony": op10_telephony,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_link_graph": urlfilter.judge_sql()}
