@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kvspark.llm import bpe, media, ngram_join, packing, sharding, substring, urlfilter
+from kvspark.llm import bpe, media, ngram_join, packing, quality, sharding, substring, toxicity, urlfilter
 from kvspark.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op3_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -47,6 +55,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_ngram_jaccard": op2_ngram_jaccard,
+        "op3_nb_svm": op3_nb_svm,
+        "op4_kneser_ney": op4_kneser_ney,
         "op5_bitmap_bpe": op5_bitmap_bpe,
         "op6_tiered_packing": op6_tiered_packing,
         "op7_link_graph": op7_link_graph,
