@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kvspark.llm import bpe, media, ngram_join, packing, quality, sharding, substring, toxicity, urlfilter
+from kvspark.llm import ann, bpe, media, ngram_join, packing, quality, sharding, substring, toxicity, urlfilter
 from kvspark.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op8_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.telephony_digest(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op6_tiered_packing": op6_tiered_packing,
         "op7_link_graph": op7_link_graph,
         "op8_hash_ring": op8_hash_ring,
+        "op9_pruned_graph": op9_pruned_graph,
         "op10_telephony": op10_telephony,
     }
 
