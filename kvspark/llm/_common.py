@@ -79,3 +79,15 @@ def by_rows(fn: Callable[[pa.RecordBatch], list], names: list[str], types: list[
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *made], names=[*keep, *names])
 
     return run
+
+
+def kept_rows(fn: Callable[[pa.RecordBatch], list], rows: int = 512) -> Callable:
+    """A function for ``mapInArrow`` that keeps the rows for which ``fn`` says True, with all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield part.filter(pa.array(fn(part), type=pa.bool_()))
+
+    return run

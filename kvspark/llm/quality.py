@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm._common import by_rows, worker_cache
+from kvspark.llm._common import by_rows, kept_rows, worker_cache
 from kvspark.llm._labels import fit_logistic, held_out, labelled_sample, logistic
 from kvspark.llm._words import U64, Hasher, chunks, mix, positions
 
@@ -177,19 +177,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, cost: fl
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # SIZE numbers
-
-    def make(batch: pa.RecordBatch) -> list:
-        return [held.value.score(raw_texts(batch))]
-
-    few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return few.mapInArrow(by_rows(make, ["score"], [pa.float64()], ("doc_id",)), "doc_id long, score double")
-
-
 def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    found = score(docs, train(docs, labels, max_rows))
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows))  # SIZE numbers, twice
+    few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    run = by_rows(lambda batch: [held.value.score(raw_texts(batch))], ["score"], [pa.float64()], ("doc_id",))
+    found = few.mapInArrow(run, "doc_id long, score double")
     predicted = (F.col("score") >= cut).cast("int").alias("predicted")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``docs`` without the rows that score under ``cut``, all columns unchanged."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows))
+    return docs.mapInArrow(kept_rows(lambda batch: held.value.score(raw_texts(batch)) >= cut), docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm._common import by_rows, worker_cache
+from kvspark.llm._common import by_rows, kept_rows, worker_cache
 from kvspark.llm._labels import fit_logistic, held_out, labelled_sample, logistic
 
 ORDER, DISCOUNT, MAX_ROWS = 5, 0.75, 20_000
@@ -209,21 +209,29 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, order: i
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample
-    name = f"toxicity:{held._jbroadcast.id()}:{docs.sparkSession.sparkContext.applicationId}"
+def _scorer(docs: DataFrame, model: Model):
+    context = docs.sparkSession.sparkContext
+    held = context.broadcast(model)  # bounded by the labelled sample
+    name = f"toxicity:{context.applicationId}:{held._jbroadcast.id()}"
 
-    def make(batch: pa.RecordBatch) -> list:
+    def scores(batch: pa.RecordBatch) -> np.ndarray:
         own = worker_cache(name, lambda: held.value)
-        return [logistic(own.stats(batch.column("text").to_pylist()), own.weights)]
+        return logistic(own.stats(batch.column("text").to_pylist()), own.weights)
 
-    few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return few.mapInArrow(by_rows(make, ["score"], [pa.float64()], ("doc_id",)), "doc_id long, score double")
+    return scores
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    found = score(docs, train(docs, labels, max_rows))
+    scores = _scorer(docs, train(docs, labels, max_rows))
+    few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    run = by_rows(lambda batch: [scores(batch)], ["score"], [pa.float64()], ("doc_id",))
+    found = few.mapInArrow(run, "doc_id long, score double")
     predicted = (F.col("score") >= cut).cast("int").alias("predicted")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``docs`` without the rows that score ``cut`` or more, all columns unchanged."""
+    scores = _scorer(docs, train(docs, labels, max_rows))
+    return docs.mapInArrow(kept_rows(lambda batch: scores(batch) < cut), docs.schema)
