@@ -122,7 +122,7 @@ def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 def _repeats(docs: DataFrame, window: int, blocks: int | None, finish, out: str) -> DataFrame:
     """``finish(table, texts, masks)`` makes the rows of one block; a mask tells the words to remove."""
     spark = docs.sparkSession
-    n = blocks or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = docs.withColumn("__block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "__block")
     to_bucket = pa.schema([("bucket", pa.int32()), ("__block", pa.int32()), ("data", pa.binary())])
     to_block = pa.schema([("__block", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
