@@ -248,7 +248,8 @@ def jaccard_groups(
             yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "n", "data"])
 
     shape = "block long, doc_id long, n long, data binary"
-    lines = few.join(block, "doc_id").select("block", "doc_id", "text").mapInArrow(incidence, shape).where("n > 0")
+    # always by sorting: a broadcast at small sizes only would hide what the join shuffles
+    lines = few.join(block.hint("merge"), "doc_id").select("block", "doc_id", "text").mapInArrow(incidence, shape).where("n > 0")
     lines = written(lines, "incidence")
     sizes = lines.groupBy("block").agg(F.count("*").alias("rows"))
     small = lines.join(sizes.where(F.col("rows") <= limit), "block", "left_semi")
