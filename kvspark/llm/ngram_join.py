@@ -37,6 +37,7 @@ from kvspark.llm._common import worker_cache, written
 from kvspark.llm._components import components
 from kvspark.llm._words import BASES, U64, Hasher, chunks, mix, positions
 
+SALTS = 16
 LOWER = bytes(range(256)).lower()
 
 
@@ -175,8 +176,12 @@ def jaccard_groups(
 
     read = written(few.mapInArrow(profile, "doc_id long, n long, x long, y long"), "profile")
     real = read.where("n > 0 and doc_id is not null")
-    equal = real.groupBy("n", "x", "y").agg(F.min("doc_id").alias("rep"))
-    of = written(read.join(equal, ["n", "x", "y"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "reps")
+    # classes of one row need no join; the others are joined salted, as one may hold a third of all rows
+    equal = real.groupBy("n", "x", "y").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1")
+    equal = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("c")
+    salted = read.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rep = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("least", "doc_id"))
+    of = written(salted.join(equal, ["n", "x", "y", "salt"], "left").select("doc_id", "n", rep.alias("rep")), "reps")
     most = int(read.agg(F.max("n")).first()[0] or 1)
     bands = Bands(num, den, most)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
