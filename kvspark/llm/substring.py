@@ -8,7 +8,7 @@ D: equal windows share an aligned anchor. Three passes over blocks of documents:
 
 1. anchors: each block sends the distinct hashes of its anchors; the ones that
    occur again, there or elsewhere, come back to their blocks;
-2. extension: the windows that hold such an anchor are hashed whole (128 bits);
+2. extension: the windows that hold such an anchor are hashed whole (96 bits);
    each block sends its first occurrence of each, and the first of all
    occurrences, one row however often the window occurs, comes back;
 3. each document drops the words of its windows that are not first occurrences.
@@ -42,6 +42,8 @@ from kvspark.llm._words import BASES, Hasher, chunks, positions
 #: Perfect difference sets by their period.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 NO_ID = np.iinfo(np.int64).min
+#: A window's row: 96 bits of its hash, doc_id, place.
+WINDOW_BYTES = 24
 
 
 def period_for(window: int) -> int:
@@ -172,20 +174,32 @@ def _repeats(docs: DataFrame, window: int, blocks: int | None, finish, out: str)
         if len(one):
             first = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
             one, two, whose, ordinal = one[first], two[first], whose[first], ordinal[first]
-        data = np.empty(len(one), dtype=[("a", "u8"), ("b", "u8"), ("id", "i8"), ("at", "u4")])
-        data["a"], data["b"], data["id"], data["at"] = one, two, whose, ordinal
-        order, parts = by_bucket(one, n)
-        return rows_of(to_bucket, [(k, block, data[order[i:j]].tobytes()) for k, i, j in parts])
+        # a bucket's columns one after another, by document: ids in a row compress well
+        low, bucket = two.astype(np.uint32), (one >> np.uint64(40)) % np.uint64(n)
+        order = np.lexsort((ordinal, whose, bucket))
+        columns = [c[order] for c in (one, low, whose, ordinal.astype(np.uint32))]
+        cuts = np.searchsorted(bucket[order], np.arange(n + 1))
+        rows = [
+            (k, block, b"".join(c[cuts[k] : cuts[k + 1]].tobytes() for c in columns))
+            for k in range(n)
+            if cuts[k] < cuts[k + 1]
+        ]
+        return rows_of(to_bucket, rows)
 
     def first(table: pa.Table) -> pa.Table:
-        kind = np.dtype([("a", "u8"), ("b", "u8"), ("id", "i8"), ("at", "u4")])
+        parts: list[list[np.ndarray]] = [[], [], [], []]
         blobs = table.column("data").to_pylist()
-        data = np.frombuffer(b"".join(blobs), dtype=kind)
-        owner = np.repeat(table.column("__block").to_numpy(), [len(b) // kind.itemsize for b in blobs])
-        order = np.lexsort((data["at"], data["id"], data["b"], data["a"]))
-        data, owner = data[order], owner[order]
-        lead = np.concatenate([[True], (data["a"][1:] != data["a"][:-1]) | (data["b"][1:] != data["b"][:-1])])
-        at, owner = data["at"][lead], owner[lead]
+        for blob in blobs:
+            begin, count = 0, len(blob) // WINDOW_BYTES
+            for part, kind in zip(parts, ("u8", "u4", "i8", "u4"), strict=True):
+                part.append(np.frombuffer(blob, dtype=kind, count=count, offset=begin))
+                begin += part[-1].nbytes
+        one, two, whose, at = map(np.concatenate, parts)
+        owner = np.repeat(table.column("__block").to_numpy(), [len(b) // WINDOW_BYTES for b in blobs])
+        order = np.lexsort((at, whose, two, one))
+        one, two, at, owner = one[order], two[order], at[order], owner[order]
+        lead = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        at, owner = at[lead], owner[lead]
         order = np.argsort(owner, kind="stable")
         at, owner = at[order], owner[order]
         cuts = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1).tolist(), len(owner)]
