@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType
 
 from kvspark.functions.keys import crc_mask
 
@@ -45,7 +46,7 @@ def crc32c_many(values: list[bytes], table: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def crc32c(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """CRC32C (Castagnoli) of a binary column as an unsigned number in a long; null stays null."""
     table = crc_table()
@@ -91,12 +92,12 @@ def read_varint(data: bytes, at: int = 0, bits: int = 64) -> tuple[int, int]:
     raise ValueError("varint has no end")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def varint64(n: pd.Series) -> pd.Series:
     return n.map(lambda v: None if pd.isna(v) else varint(int(v)))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def varint64_value(data: pd.Series) -> pd.Series:
     return data.map(lambda v: None if v is None else read_varint(bytes(v))[0]).astype("Int64")
 
