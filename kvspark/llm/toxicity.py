@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm._common import by_rows, kept_rows, worker_cache
+from kvspark.llm._common import by_rows, kept_rows, worker_cache, written
 from kvspark.llm._labels import fit_logistic, held_out, labelled_sample, logistic
 
 ORDER, DISCOUNT, MAX_ROWS = 5, 0.75, 20_000
@@ -168,26 +168,22 @@ def _shared(docs: DataFrame, order: int, wanted: set[bytes]) -> Shared:
                 told = set()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["gram"])
 
-    # every level's n-grams are what is left of the level above without the first byte, and counted by type
-    level = docs.select("text").mapInArrow(run, "gram binary").distinct()
+    top = written(docs.select("text").mapInArrow(run, "gram binary").distinct(), "grams")
     asked = docs.sparkSession.createDataFrame([(h,) for h in sorted(wanted)], "context binary")
-    counts, totals, types = {}, {}, {}
-    parts = []
+    # the n-grams of a length are those of the next one without their first byte, counted by
+    # those first bytes, and the ones that start a word
+    level, both = top.where(F.length("gram") == order), None
     for k in range(order - 1, 0, -1):
-        level = level.where("length(gram) > 1").selectExpr("substring(gram, 2) AS gram").groupBy("gram").agg(F.count("*").alias("n"))
+        level = level.selectExpr("substring(gram, 2) AS gram").groupBy("gram").agg(F.count("*").alias("n"))
         context = level.withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)"))
-        parts.append(context.join(F.broadcast(asked), "context").select(F.lit(k).alias("k"), "context", "gram", "n"))
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.union(part)
-    # an n-gram may be reached at several levels (words are short); the longest level counts
-    for k, context, gram, n in sorted(both.toPandas().itertuples(index=False), key=lambda r: -r[0]):
-        gram = bytes(gram)
-        if gram not in counts:
-            counts[gram] = int(n)
-            context = bytes(context)
-            totals[context] = totals.get(context, 0) + int(n)
-            types[context] = types.get(context, 0) + 1
+        part = context.join(F.broadcast(asked), "context").select("context", "gram", "n")  # asked: of the labelled sample
+        both = part if both is None else both.union(part)
+        level = level.select("gram").union(top.where(F.length("gram") == k))
+    counts, totals, types = {}, Counter(), Counter()
+    for context, gram, n in both.toPandas().itertuples(index=False):
+        counts[bytes(gram)] = int(n)
+        totals[bytes(context)] += int(n)
+        types[bytes(context)] += 1
     return Shared(counts, totals, types)
 
 
