@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvspark.operators.log import running_total
+from kvspark.sources.scratch import settled
 
 LEVELS = 7
 L0_TRIGGER, L0_SLOWDOWN, L0_STOP = 4, 8, 12
@@ -117,7 +118,7 @@ def compaction_inputs(files: DataFrame, chosen: DataFrame) -> DataFrame:
     grow if that adds nothing to the next level; grandparents overlap all of it.
     """
 
-    files = files.persist()  # a manifest is small, and each step below reads it again
+    files = settled(files, "files")  # a manifest is small, and each step below reads it again
 
     def meet(bounds: DataFrame, depth: int) -> DataFrame:
         b = bounds.select(F.col("pick"), (F.col("at") + depth).alias("want"), F.col("lo").alias("bl"), F.col("hi").alias("bh"))
@@ -128,17 +129,17 @@ def compaction_inputs(files: DataFrame, chosen: DataFrame) -> DataFrame:
 
     mine = files.join(chosen.select("level", "run_id"), ["level", "run_id"]).select(F.col("run_id").alias("pick"), F.col("level").alias("at"), "lo", "hi", "run_id")
     wide = meet(mine.where("at = 0"), 0).select("pick", F.lit(0).cast("long").alias("at"), "lo", "hi", "run_id")
-    first = mine.where("at > 0").unionByName(wide).persist()
+    first = settled(mine.where("at > 0").unionByName(wide), "inputs")
     bounds = span(first)
-    next1 = meet(bounds, 1).select("pick", (F.col("level") - 1).alias("at"), "lo", "hi", "run_id").persist()
+    next1 = settled(meet(bounds, 1).select("pick", (F.col("level") - 1).alias("at"), "lo", "hi", "run_id"), "next")
     all1 = span(first.unionByName(next1))
-    grown = meet(all1, 0).select("pick", F.col("level").alias("at"), "lo", "hi", "run_id").persist()
-    next2 = meet(span(grown), 1).select("pick", (F.col("level") - 1).alias("at"), "lo", "hi", "run_id").persist()
+    grown = settled(meet(all1, 0).select("pick", F.col("level").alias("at"), "lo", "hi", "run_id"), "inputs")
+    next2 = settled(meet(span(grown), 1).select("pick", (F.col("level") - 1).alias("at"), "lo", "hi", "run_id"), "next")
     count = lambda rows, name: rows.groupBy("pick").agg(F.count("*").alias(name))
     sizes = count(first, "f").join(count(grown, "g"), "pick").join(count(next1, "n1"), "pick", "left").join(count(next2, "n2"), "pick", "left")
-    expand = sizes.where("n1 IS NOT NULL AND g > f AND n2 = n1").select("pick")
-    inputs = first.join(expand, "pick", "left_anti").unionByName(grown.join(expand, "pick", "left_semi").select(first.columns)).persist()
-    nexts = next1.join(expand, "pick", "left_anti").unionByName(next2.join(expand, "pick", "left_semi").select(next1.columns)).persist()
+    expand = settled(sizes.where("n1 IS NOT NULL AND g > f AND n2 = n1").select("pick"), "grow")
+    inputs = settled(first.join(expand, "pick", "left_anti").unionByName(grown.join(expand, "pick", "left_semi").select(first.columns)), "inputs")
+    nexts = settled(next1.join(expand, "pick", "left_anti").unionByName(next2.join(expand, "pick", "left_semi").select(next1.columns)), "next")
     grand = meet(span(inputs.unionByName(nexts)), 2)
     return (
         inputs.select("pick", F.col("at").alias("level"), "run_id", F.lit("input").alias("role"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,12 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvspark.operators.read import latest
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder below the shared one of the cluster; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kvspark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from kvspark.sources.scratch import scratch_dir
 
 
 def new_rows(seen: DataFrame, again: DataFrame) -> DataFrame:
@@ -39,7 +33,7 @@ def latest_by_stream(
         rows = mutations(files.option("pathGlobFilter", name).parquet(folder))
     else:
         rows = mutations(files.parquet(path))
-    where = scratch(spark)
+    where = f"{scratch_dir(spark)}/kvspark-stream-{uuid.uuid4().hex}"
     last = {"batch": None}
 
     def merge(batch: DataFrame, number: int) -> None:

@@ -8,7 +8,6 @@ import pytest
 from kvspark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"g11_inputs", "g13_trivial_move"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
@@ -25,7 +24,7 @@ def plain(rows):
     return sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql().keys() - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_same_as_sql(spark, duck, name):
     frame = catalogue.queries()[name](spark, SF)
     names = sorted(frame.columns)
