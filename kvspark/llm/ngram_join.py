@@ -117,6 +117,19 @@ class Bands:
         return np.concatenate(out), np.concatenate(owners)
 
 
+def packed(data: np.ndarray) -> bytes:
+    """Signatures, and the steps between their sorted ids byte by byte: the upper bytes are zeros."""
+    data = data[np.argsort(data["id"], kind="stable")]
+    steps = np.diff(data["id"].astype(np.int64), prepend=0).astype(np.int64)
+    return data["s"].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 16
+    steps = np.frombuffer(blob, dtype=np.uint8, offset=8 * n).reshape(8, n)
+    return np.frombuffer(blob, dtype=U64, count=n), np.cumsum(np.ascontiguousarray(steps.T).view(np.int64)[:, 0])
+
+
 def texts_of(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
@@ -196,7 +209,7 @@ def jaccard_groups(
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            blobs = [data[order[cuts[b] : cuts[b + 1]]].tobytes() for b in own]
+            blobs = [packed(data[order[cuts[b] : cuts[b + 1]]]) for b in own]
             return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
         for batch in batches:
@@ -223,7 +236,9 @@ def jaccard_groups(
             yield flush()
 
     def pivot(table: pa.Table) -> pa.Table:
-        data = np.frombuffer(b"".join(table.column("data").to_pylist()), dtype=pair)
+        parts = [unpacked(b) for b in table.column("data").to_pylist()]
+        data = np.empty(sum(len(s) for s, _ in parts), dtype=pair)
+        data["s"], data["id"] = (np.concatenate(c) for c in zip(*parts, strict=True))
         data = data[np.lexsort((data["id"], data["s"]))]
         new = np.concatenate([[True], data["s"][1:] != data["s"][:-1]])
         lead = data["id"][np.maximum.accumulate(np.where(new, np.arange(len(data)), 0))]
