@@ -3,12 +3,14 @@
 Documents are rows, hashed word n-grams are columns. Two documents link when
 den * overlap >= num * union of their sets. The product is never formed whole:
 
-* Blocks. Sizes fall into bands such that linked documents are in one band or in
-  neighbouring ones. For a band, at most k n-grams can differ between linked
-  sets, so of k + 1 parts of the n-grams (by hash) at least one is equal in both.
-  Each document sends one signature for each part, in the schemes of its own band
-  and of the one below; documents that share a signature belong to one block.
-  The blocks joined by such equalities (connected components) hold every link.
+* Blocks. All n-grams have one order. Linked sets overlap by at least num / den of
+  either's size, so that among the first size - ceil(num * size / den) + 1 n-grams
+  of both, in that order, one is common. Only these columns are looked at: documents
+  that share one of them belong to one block, and the blocks that overlap (connected
+  components) hold every link. In the order frequent n-grams come last, by their
+  counts, so that a passage that many documents share joins no blocks. The counts
+  are those of the ``HOT`` most frequent n-grams, summed from what tasks see several
+  times; which n-grams are known as frequent changes the work, not the result.
 * Product. In a block, a row's overlaps with all others are accumulated over the
   postings of its n-grams; pairs below the bound that follows from both sizes are
   discarded, the others link. Equal sets are one row of the product.
@@ -16,7 +18,7 @@ den * overlap >= num * union of their sets. The product is never formed whole:
   block's first row, and only the rows that don't link to it are multiplied,
   slice by slice, with all rows of the block.
 
-Signatures travel packed; equal sets within a task send theirs once.
+The selected columns travel packed; equal sets within a task send theirs once.
 
 Defined results: null or empty text has an empty set, links with nothing and is its own component; a
 null doc_id takes no part and has itself, null, as component; rows with one
@@ -38,6 +40,7 @@ from kvspark.llm._components import components
 from kvspark.llm._words import BASES, U64, Hasher, chunks, mix, positions
 
 SALTS = 16
+HOT, HOT_LEAST, HOT_TASK = 1 << 18, 16, 3
 LOWER = bytes(range(256)).lower()
 
 
@@ -74,51 +77,24 @@ def sums_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[stops] - total[stops - counts]
 
 
-class Bands:
-    """Size bands and the number of parts of each band's scheme."""
-
-    def __init__(self, num: int, den: int, most: int) -> None:
-        edges = [1]
-        while edges[-1] <= most or len(edges) < 4:
-            edges.append(edges[-1] * den // num + 1)
-        edges += [edges[-1] * den // num + 1]
-        parts = []
-        for b in range(len(edges) - 2):
-            small = edges[b + 1] - 1
-            large = min(edges[b + 2] - 1, small * den // num)
-            parts.append((small + large) * (den - num) // (den + num) + 1)
-        self.edges, self.parts = np.array(edges, dtype=np.int64), np.array(parts, dtype=np.int64)
-
-    def signatures(self, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, index of the document) for documents with sets that aren't empty."""
-        band = np.searchsorted(self.edges, counts, side="right") - 1
-        spread = mix(keys + U64(0x51ED270B))
-        out, owners = [], []
-        for below in (0, 1):
-            use = np.flatnonzero((counts > 0) & (band >= below))
-            if len(use) == 0:
-                continue
-            scheme = band[use] - below
-            parts = self.parts[scheme]
-            offset = np.cumsum(parts) - parts
-            inside = np.repeat(np.isin(np.arange(len(counts)), use), counts)
-            slot = np.repeat(np.arange(len(use)), counts[use])
-            held = spread[inside]
-            part = (held >> U64(20)) % parts[slot].astype(U64)
-            at = offset[slot] + part.astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            total = sums_of(mix(held)[order], np.bincount(at, minlength=int(parts.sum())))
-            which = np.arange(len(total)) - np.repeat(offset, parts)
-            tag = (np.repeat(scheme, parts) << 32 | which).astype(U64)
-            out.append(mix(total + mix(tag)))
-            owners.append(np.repeat(use, parts))
-        if not out:
-            return np.empty(0, dtype=U64), np.empty(0, dtype=np.int64)
-        return np.concatenate(out), np.concatenate(owners)
+def select(keys: np.ndarray, counts: np.ndarray, num: int, den: int, hot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram, index of its document): the first of each set in the common order.
+
+    ``hot`` are sorted frequent n-grams, ``rank`` their places from 1 by count.
+    """
+    late = np.zeros(len(keys), dtype=np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+        late = np.where(hot[at] == keys, rank[at], 0)
+    whose = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((mix(keys), late, whose))
+    place = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
+    take = place < np.repeat(counts - -(-num * counts // den) + 1, counts)
+    return keys[order][take], whose[take]
 
 
 def packed(data: np.ndarray) -> bytes:
-    """Signatures, and the steps between their sorted ids byte by byte: the upper bytes are zeros."""
+    """N-grams, and the steps between their sorted ids byte by byte: the upper bytes are zeros."""
     data = data[np.argsort(data["id"], kind="stable")]
     steps = np.diff(data["id"].astype(np.int64), prepend=0).astype(np.int64)
     return data["s"].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -195,8 +171,7 @@ def jaccard_groups(
     salted = read.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     rep = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("least", "doc_id"))
     of = written(salted.join(equal, ["n", "x", "y", "salt"], "left").select("doc_id", "n", rep.alias("rep")), "reps")
-    most = int(read.agg(F.max("n")).first()[0] or 1)
-    bands = Bands(num, den, most)
+    hot, rank = _frequent(few, words)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     pair = np.dtype([("s", "u8"), ("id", "i8")])
 
@@ -218,7 +193,7 @@ def jaccard_groups(
             for a, b in chunks(texts):
                 keys, counts = sets.read(texts[a:b])
                 whole = sums_of(mix(keys), counts)
-                signs, owner = bands.signatures(keys, counts)
+                signs, owner = select(keys, counts, num, den, hot, rank)
                 use = np.zeros(b - a, dtype=bool)
                 for i, (h, c) in enumerate(zip(whole.tolist(), counts.tolist(), strict=True)):
                     if c and ids[a + i] is not None and h not in seen:
@@ -330,6 +305,39 @@ def _large_blocks(large: DataFrame, limit: int, product: Product, links_of) -> D
     return star.union(crossed)
 
 
+def _frequent(few: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``HOT`` most frequent n-grams, sorted, and their places from 1 by count."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, seen, held, size = Sets(words), set(), [], 0
+
+        def told() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            often = times >= HOT_TASK
+            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["h", "c"])
+
+        for batch in batches:
+            texts = texts_of(batch)
+            for a, b in chunks(texts):
+                keys, counts = sets.read(texts[a:b])
+                whole = sums_of(mix(keys), counts)
+                new = np.array([h not in seen and not seen.add(h) for h in whole.tolist()], dtype=bool)
+                held.append(keys[np.repeat(new, counts)])
+                size += len(held[-1])
+                if size > 1 << 23:
+                    yield told()
+                    held, size = [], 0
+        if held:
+            yield told()
+
+    often = few.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT_LEAST)
+    got = often.orderBy(F.desc("c"), "h").limit(HOT).toPandas()
+    hot = got["h"].to_numpy().astype(np.int64).view(U64)
+    rank = np.arange(len(hot), 0, -1)
+    order = np.argsort(hot)
+    return hot[order], rank[order]
+
+
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, limit: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
     of, joined = jaccard_groups(docs, words, num, den, limit)
