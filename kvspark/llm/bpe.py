@@ -36,7 +36,9 @@ from kvspark.llm._common import by_rows, columns_as, worker_cache
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: A text in which a cut at some space could fall inside a match.
 BATCH = 4096
-UNSAFE = re.compile(r"\s \s|\s \Z|\A \s| \Z")
+UNSAFE = re.compile(r" (?!\S)(?<!\S )")
+#: Longer pieces and pre-tokens (in characters) aren't kept.
+LONG = 64
 
 
 def exact_pattern(pattern: str) -> regex.Pattern:
@@ -51,6 +53,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class Pieces(dict):
+    """Ids of pieces by their text without the space that starts them; others are encoded when asked for."""
+
+    def __init__(self, own: ByteBPE, known: dict | None = None) -> None:
+        super().__init__(known or {})
+        self.own = own
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        return self.own.whole(" " + part)
+
+
 class ByteBPE:
     """Encoder and decoder for one rank table.
 
@@ -69,7 +82,7 @@ class ByteBPE:
         self.bits = [1 << i for i in range(1 << self.shift)]
         self.words: dict[str, tuple[int, ...]] = {}
         self.old_words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces = Pieces(self)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
@@ -240,27 +253,32 @@ class ByteBPE:
         return out
 
     def learn(self, texts: list[str]) -> None:
-        """Encode the new pre-tokens of ``texts`` together, so that ``encode`` finds them."""
+        """Encode the new pre-tokens and pieces of ``texts`` together, so that ``encode`` finds them."""
         parts: set[str] = set()
+        fresh: set[str] = set()
         for text in texts:
             if UNSAFE.search(text):
-                parts.update(self.pattern.findall(text))
+                fresh.update(self.pattern.findall(text))
             else:
-                head, *rest = text.split(" ")
-                parts.add(head)
-                parts.update(map(" ".__add__, rest))
-        parts -= self.pieces.keys()
-        fresh: set[str] = set()
-        for part in parts:
-            fresh.update(self.pattern.findall(part))
+                rest = text.split(" ")
+                del rest[0]
+                parts.update(rest)
+        known, findall = self.pieces, self.pattern.findall
+        found = {part: findall(" " + part) for part in parts if part not in known and len(part) <= LONG}
+        for matches in found.values():
+            fresh.update(matches)
         fresh -= self.words.keys()
         fresh -= self.old_words.keys()
-        todo = [w for w in fresh if len(w) <= 64]
-        if len(todo) < 64:
-            return  # few: one by one, as they come
+        todo = [w for w in fresh if len(w) <= LONG]
         if len(self.words) + len(todo) > self.keep:
             self.old_words, self.words = self.words, {}
-        self.words.update(zip(todo, self.merge_many([w.encode() for w in todo]), strict=True))
+        if len(todo) >= 64:  # few are encoded one by one
+            self.words.update(zip(todo, self.merge_many([w.encode() for w in todo]), strict=True))
+        if len(known) + len(found) > self.keep:
+            self.pieces = known = Pieces(self, {part: known[part] for part in parts if part in known})
+        word, flat = self.word, chain.from_iterable
+        for part, matches in found.items():
+            known[part] = word(matches[0]) if len(matches) == 1 else tuple(flat(map(word, matches)))
 
     def word(self, match: str) -> tuple[int, ...]:
         """The ids of one match of the pattern; short ones are kept, in two generations."""
@@ -269,28 +287,20 @@ class ByteBPE:
             ids = self.old_words.get(match)
             if ids is None:
                 ids = self.merge(match.encode())
-            if len(match) <= 64:
+            if len(match) <= LONG:
                 if len(self.words) >= self.keep:
                     self.old_words, self.words = self.words, {}
                 self.words[match] = ids
         return ids
 
-    def piece(self, part: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(map(self.word, self.pattern.findall(part))))
-        if len(part) <= 64:
-            if len(self.pieces) >= self.keep:
-                self.pieces.clear()
-            self.pieces[part] = ids
-        return ids
+    def whole(self, text: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.word, self.pattern.findall(text))))
 
     def encode(self, text: str) -> list[int]:
         if UNSAFE.search(text):
-            return list(chain.from_iterable(map(self.word, self.pattern.findall(text))))
-        known, piece = self.pieces.get, self.piece
-        parts = text.split(" ")
-        head = parts[0]
-        spaced = [known(part) or piece(part) for part in map(" ".__add__, parts[1:])]
-        return list(chain(known(head) or piece(head), chain.from_iterable(spaced)))
+            return list(self.whole(text))
+        head, *rest = text.split(" ")
+        return list(chain(self.whole(head), chain.from_iterable(map(self.pieces.__getitem__, rest))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -1,5 +1,6 @@
 import random
 
+from kvspark.llm import ngram_join
 from kvspark.llm.ngram_join import jaccard_components, keep_one
 
 
@@ -69,3 +70,12 @@ def test_one_stays(spark, documents):
     kept = keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 3, 9, None]
+
+
+def test_frequent_ngrams_change_the_work_only(spark, documents, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", 1)
+    monkeypatch.setattr(ngram_join, "HOT_TASK", 1)
+    monkeypatch.setattr(ngram_join, "HOT", 40)
+    rows = some_rows(5)
+    got = sorted(map(tuple, jaccard_components(documents(rows), 3, 8, 10, 5).collect()), key=str)
+    assert got == brute(rows, 3, 8, 10)
