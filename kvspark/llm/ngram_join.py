@@ -5,12 +5,16 @@ den * overlap >= num * union of their sets. The product is never formed whole:
 
 * Blocks. All n-grams have one order. Linked sets overlap by at least num / den of
   either's size, so that among the first size - ceil(num * size / den) + 1 n-grams
-  of both, in that order, one is common. Only these columns are looked at: documents
-  that share one of them belong to one block, and the blocks that overlap (connected
-  components) hold every link. In the order frequent n-grams come last, by their
-  counts, so that a passage that many documents share joins no blocks. The counts
-  are those of the ``HOT`` most frequent n-grams, summed from what tasks see several
-  times; which n-grams are known as frequent changes the work, not the result.
+  of both, in that order, one is common. Only these columns are looked at first:
+  common ones are counted for each pair that has any, and pairs whose count and
+  largest possible rest fall below the bound of their sizes are discarded. Columns
+  of more than ``NARROW`` documents aren't counted; they join all their documents
+  to the first. Pairs that are left, or joined, make blocks (connected components),
+  which hold every link. In the order frequent n-grams come last, by their counts,
+  so that a passage that many documents share is hardly ever among the columns. The
+  counts are those of the ``HOT`` most frequent n-grams, summed from what tasks see
+  several times; which n-grams are known as frequent changes the work, not the
+  result.
 * Product. In a block, a row's overlaps with all others are accumulated over the
   postings of its n-grams; pairs below the bound that follows from both sizes are
   discarded, the others link. Equal sets are one row of the product.
@@ -41,6 +45,7 @@ from kvspark.llm._words import BASES, U64, Hasher, chunks, mix, positions
 
 SALTS = 16
 HOT, HOT_LEAST, HOT_TASK = 1 << 18, 16, 3
+NARROW, SURE = 64, 1 << 40
 LOWER = bytes(range(256)).lower()
 
 
@@ -93,17 +98,57 @@ def select(keys: np.ndarray, counts: np.ndarray, num: int, den: int, hot: np.nda
     return keys[order][take], whose[take]
 
 
+PAIR = np.dtype([("s", "u8"), ("id", "i8"), ("n", "u4")])
+
+
 def packed(data: np.ndarray) -> bytes:
-    """N-grams, and the steps between their sorted ids byte by byte: the upper bytes are zeros."""
+    """N-grams, steps between the sorted ids byte by byte (the upper bytes are zeros), sizes."""
     data = data[np.argsort(data["id"], kind="stable")]
     steps = np.diff(data["id"].astype(np.int64), prepend=0).astype(np.int64)
-    return data["s"].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return data["s"].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes() + data["n"].tobytes()
+
 
+def unpacked(blob: bytes) -> np.ndarray:
+    n = len(blob) // PAIR.itemsize
+    data = np.empty(n, dtype=PAIR)
+    data["s"] = np.frombuffer(blob, dtype=U64, count=n)
+    steps = np.frombuffer(blob, dtype=np.uint8, count=8 * n, offset=8 * n).reshape(8, n)
+    data["id"] = np.cumsum(np.ascontiguousarray(steps.T).view(np.int64)[:, 0])
+    data["n"] = np.frombuffer(blob, dtype=np.uint32, count=n, offset=16 * n)
+    return data
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 16
-    steps = np.frombuffer(blob, dtype=np.uint8, offset=8 * n).reshape(8, n)
-    return np.frombuffer(blob, dtype=U64, count=n), np.cumsum(np.ascontiguousarray(steps.T).view(np.int64)[:, 0])
+
+def meetings(data: np.ndarray, most: int) -> np.ndarray:
+    """(a, b, size of a, size of b, common columns) of the documents that share a column.
+
+    Columns of more than ``most`` documents join each to the first one only, and
+    mark the pair with ``SURE`` columns.
+    """
+    data = data[np.lexsort((data["n"], data["id"], data["s"]))]
+    new = np.concatenate([[True], data["s"][1:] != data["s"][:-1]])
+    group = np.cumsum(new) - 1
+    size = np.bincount(group)
+    wide = size[group] > most
+    lead = np.flatnonzero(new)[group]
+    star = np.flatnonzero(wide & ~new)
+    left, right, times = [lead[star]], [star], [np.full(len(star), SURE)]
+    narrow = np.flatnonzero(~wide & (size[group] > 1))
+    for step in range(1, int(size[size <= most].max(initial=0))):
+        at = narrow[narrow + step < len(data)]
+        at = at[group[at] == group[at + step]]
+        left.append(at)
+        right.append(at + step)
+        times.append(np.ones(len(at), dtype=np.int64))
+    left, right, times = np.concatenate(left), np.concatenate(right), np.concatenate(times)
+    rows = np.stack([data["id"][left], data["id"][right], data["n"][left].astype(np.int64), data["n"][right].astype(np.int64)], axis=1)
+    apart = rows[:, 0] != rows[:, 1]
+    rows, times = rows[apart], times[apart]
+    order = np.lexsort(rows.T)
+    rows, times = rows[order], times[order]
+    if len(rows) == 0:
+        return np.empty((0, 5), dtype=np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+    return np.concatenate([rows[first], np.add.reduceat(times, first)[:, None]], axis=1)
 
 
 def texts_of(batch: pa.RecordBatch) -> list[bytes]:
@@ -173,13 +218,12 @@ def jaccard_groups(
     of = written(salted.join(equal, ["n", "x", "y", "salt"], "left").select("doc_id", "n", rep.alias("rep")), "reps")
     hot, rank = _frequent(few, words)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pair = np.dtype([("s", "u8"), ("id", "i8")])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen, held, size = Sets(words), set(), [], 0
 
         def flush() -> pa.RecordBatch:
-            data = np.concatenate(held) if held else np.empty(0, dtype=pair)
+            data = np.concatenate(held) if held else np.empty(0, dtype=PAIR)
             bucket = ((data["s"] >> U64(40)) % U64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -199,8 +243,9 @@ def jaccard_groups(
                     if c and ids[a + i] is not None and h not in seen:
                         use[i] = True
                         seen.add(h)
-                data = np.empty(int(use[owner].sum()), dtype=pair)
+                data = np.empty(int(use[owner].sum()), dtype=PAIR)
                 data["s"] = signs[use[owner]]
+                data["n"] = counts[owner[use[owner]]]
                 data["id"] = np.array([i or 0 for i in ids[a:b]], dtype=np.int64)[owner[use[owner]]]
                 held.append(data)
                 size += data.nbytes
@@ -210,17 +255,18 @@ def jaccard_groups(
         if size:
             yield flush()
 
-    def pivot(table: pa.Table) -> pa.Table:
-        parts = [unpacked(b) for b in table.column("data").to_pylist()]
-        data = np.empty(sum(len(s) for s, _ in parts), dtype=pair)
-        data["s"], data["id"] = (np.concatenate(c) for c in zip(*parts, strict=True))
-        data = data[np.lexsort((data["id"], data["s"]))]
-        new = np.concatenate([[True], data["s"][1:] != data["s"][:-1]])
-        lead = data["id"][np.maximum.accumulate(np.where(new, np.arange(len(data)), 0))]
-        edges = np.unique(np.stack([data["id"], lead], axis=1)[data["id"] != lead], axis=0).reshape(-1, 2)
-        return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
-
-    shared = few.mapInArrow(sign, "bucket int, data binary").groupBy("bucket").applyInArrow(pivot, "a long, b long")
+    def meet(table: pa.Table) -> pa.Table:
+        data = np.concatenate([unpacked(b) for b in table.column("data").to_pylist()])
+        rows = meetings(data, NARROW)
+        return pa.table({c: pa.array(rows[:, i]) for i, c in enumerate(("a", "b", "na", "nb", "c"))})
+
+    # what two sets have in common beyond the columns is at most the rest of one of them
+    rest = [f"(({num} * {n} + {den - 1}) div {den} - 1)" for n in ("na", "nb")]
+    enough = f"({num} * (na + nb) + {num + den - 1}) div {num + den}"
+    bound = f"c >= {SURE} OR c + greatest({rest[0]}, {rest[1]}) >= {enough} AND least(na, nb) * {den} >= {num} * greatest(na, nb)"
+    shape = "a long, b long, na long, nb long, c long"
+    met = few.mapInArrow(sign, "bucket int, data binary").groupBy("bucket").applyInArrow(meet, shape)
+    shared = met.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(bound).select("a", "b")
     named = of.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"))  # rows with one doc_id: one node
     for c in ("a", "b"):
         shared = shared.distinct().join(named.withColumnRenamed("doc_id", c), c).drop(c).withColumnRenamed("rep", c)
