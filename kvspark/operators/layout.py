@@ -233,3 +233,13 @@ def file_names(files: DataFrame) -> DataFrame:
     name = F.format_string("%06d.sst", F.col("run_id"))
     kind = F.when(F.regexp_extract(name, r"^\d{6,}\.(\w+)$", 1) == "sst", "table").otherwise("other")
     return files.select("run_id", name.alias("file_name"), kind.alias("file_type"))
+
+
+def block_estimate(entries: DataFrame, key_bytes: Column, value_bytes: Column, restart: int) -> DataFrame:
+    """bytes of one block of entries (with shared): three lengths, what isn't shared, values, restart places, their number."""
+    from kvspark.functions.keys import varint_size
+
+    own = key_bytes - F.col("shared")
+    size = varint_size(F.col("shared")) + varint_size(own) + varint_size(value_bytes) + own + value_bytes
+    places = F.ceil(F.count("*") / F.lit(restart)) * 4 + 4
+    return entries.agg((F.sum(size) + places).cast("long").alias("bytes"))

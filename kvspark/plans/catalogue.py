@@ -310,6 +310,21 @@ def _(spark, sf_dir):
     return read.merge_runs(rows.where(f"seq <= {SNAP}").withColumn("run_id", F.lit(0)), rows.where(f"seq > {SNAP}").withColumn("run_id", F.lit(1)))
 
 
+RUN_ROWS = f"(SELECT uk, seq, run_id FROM (SELECT *, CAST(floor((sum(b) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) - b) / 8192) AS BIGINT) AS run_id FROM (SELECT uk, seq, 16 + strlen(val) AS b FROM {ML})))"
+
+
+@query("d12_compaction_merge", f"SELECT uk, max(seq) AS seq, max_by(run_id, seq) AS run_id FROM {RUN_ROWS} WHERE run_id IN (3, 4, 7) GROUP BY uk")
+def _(spark, sf_dir):
+    rows = layout.with_runs(events(spark, sf_dir), SIZE, 8192).select("uk", "seq", "run_id")
+    return read.merge_runs(*[rows.where(F.col("run_id") == r) for r in (3, 4, 7)])
+
+
+@query("d13_level0_merge", f"SELECT uk, max(seq) AS seq, max_by(run_id, seq) AS run_id FROM {RUN_ROWS} WHERE run_id % 3 = 0 GROUP BY uk")
+def _(spark, sf_dir):
+    rows = layout.with_runs(events(spark, sf_dir), SIZE, 8192).select("uk", "seq", "run_id")
+    return read.merge_runs(rows.where("run_id % 3 = 0"))
+
+
 @query("d14_level_concat", f"SELECT level, run_id, lo, hi FROM {FILES} WHERE level = 1 AND hi >= 50")
 def _(spark, sf_dir):
     return files(spark, sf_dir).where("level = 1 AND hi >= 50").select("level", "run_id", "lo", "hi")
@@ -625,8 +640,7 @@ def _(spark, sf_dir):
     return rows.select("doc_id", F.octet_length(raw).cast("long").alias("bytes"), F.md5(F.encode(F.decode(raw, "UTF-8"), "UTF-8")).alias("digest"))
 
 
-@query("i13_prefix", "SELECT k, pos, CASE WHEN pos % 16 = 0 THEN 0 ELSE CAST(coalesce((SELECT max(i) FROM range(1, strlen(k) + 1) t(i) WHERE k[:i] = p[:i]), 0) AS INTEGER) END AS shared FROM (SELECT k, row_number() OVER (ORDER BY k) - 1 AS pos, lag(k) OVER (ORDER BY k) AS p FROM (SELECT printf('%012d', o_orderkey) AS k FROM orders))")
-def _(spark, sf_dir):
+def prefixes(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("uk"))
     segment = F.expr("cast(substring(uk, 1, 9) AS int)")
     nexts = read.with_next(rows, segment)
@@ -637,6 +651,18 @@ def _(spark, sf_dir):
     return placed.select(F.col("uk").alias("k"), pos.alias("pos"), F.when(pos % 16 == 0, 0).otherwise(shared).alias("shared"))
 
 
+@query("i13_prefix", "SELECT k, pos, CASE WHEN pos % 16 = 0 THEN 0 ELSE CAST(coalesce((SELECT max(i) FROM range(1, strlen(k) + 1) t(i) WHERE k[:i] = p[:i]), 0) AS INTEGER) END AS shared FROM (SELECT k, row_number() OVER (ORDER BY k) - 1 AS pos, lag(k) OVER (ORDER BY k) AS p FROM (SELECT printf('%012d', o_orderkey) AS k FROM orders))")
+def _(spark, sf_dir):
+    return prefixes(spark, sf_dir)
+
+
+@query("h11_block_estimate", "SELECT CAST(sum(3 + 12 - shared + strlen(val)) + 4 * ceil(count(*) / 16.0) + 4 AS BIGINT) AS bytes FROM (SELECT val, CASE WHEN pos % 16 = 0 THEN 0 ELSE coalesce((SELECT max(i) FROM range(1, strlen(k) + 1) t(i) WHERE k[:i] = p[:i]), 0) END AS shared FROM (SELECT k, val, row_number() OVER (ORDER BY k) - 1 AS pos, lag(k) OVER (ORDER BY k) AS p FROM (SELECT printf('%012d', o_orderkey) AS k, o_orderpriority AS val FROM orders)))")
+def _(spark, sf_dir):
+    shared = prefixes(spark, sf_dir)
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("k"), "o_orderpriority")
+    return layout.block_estimate(shared.join(rows, "k"), F.octet_length("k"), F.octet_length("o_orderpriority"), 16)
+
+
 @query("i14_block_cut", f"WITH RECURSIVE m AS (SELECT seq, 16 + strlen(val) AS b FROM {ML}), r AS (SELECT CAST(1 AS BIGINT) AS seq, (SELECT b FROM m WHERE seq = 1) AS used, CAST(0 AS BIGINT) AS run_id UNION ALL SELECT m.seq, CASE WHEN r.used >= 4096 THEN m.b ELSE r.used + m.b END, CASE WHEN r.used >= 4096 THEN r.run_id + 1 ELSE r.run_id END FROM r JOIN m ON m.seq = r.seq + 1) SELECT run_id AS block, count(*) AS n FROM r GROUP BY run_id")
 def _(spark, sf_dir):
     blocks = layout.exact_runs(events(spark, sf_dir), SIZE, 4095)
@@ -681,6 +707,38 @@ def _(spark, sf_dir):
     return rows.select("event_id", codec.chunk_checksum(F.lit(1), F.encode("props", "UTF-8")).alias("checksum"))
 
 
+@query("b13_batch_codec")
+def _(spark, sf_dir):
+    """Batches of 64 mutations, encoded and decoded."""
+
+    def through(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("seq")
+        operations = [(str(u).encode(), v.encode() if t else None) for u, t, v in zip(rows["uk"], rows["vt"], rows["val"])]
+        back = codec.decode_batch(codec.encode_batch(int(rows["seq"].iloc[0]), operations))
+        return pd.DataFrame([(s, int(k), 0 if v is None else 1, "" if v is None else v.decode()) for s, k, v in back], columns=["seq", "uk", "vt", "val"])
+
+    return events(spark, sf_dir).groupBy(F.expr("(seq - 1) div 64")).applyInPandas(through, "seq long, uk long, vt int, val string")
+
+
+@query("i15_block_codec")
+def _(spark, sf_dir):
+    """Blocks of keys by thousands, encoded and decoded: entries, bytes, equal."""
+
+    def through(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("k")
+        entries = [(k.encode(), v.encode()) for k, v in zip(rows["k"], rows["v"])]
+        block = codec.encode_block(entries)
+        return pd.DataFrame([(int(rows["g"].iloc[0]), len(entries), len(block), codec.decode_block(block) == entries)], columns=["g", "n", "bytes", "equal"])
+
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.expr("o_orderkey div 1000").alias("g"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("k"), F.col("o_orderpriority").alias("v"))
+    return rows.groupBy("g").applyInPandas(through, "g long, n long, bytes long, equal boolean")
+
+
 # S. Streams
 
 
