@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvspark.functions import codec, keys
@@ -33,7 +33,6 @@ FILES = (
     "FROM (SELECT *, CAST(floor((sum(b) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) - b) / 8192) AS BIGINT) AS run_id "
     f"FROM (SELECT uk, seq, 16 + strlen(val) AS b FROM {ML})) GROUP BY run_id)"
 )
-SEGMENT = F.expr("uk div 1024")
 SNAP = 5000
 
 
@@ -58,11 +57,16 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SIZE = F.octet_length("val") + 16
+def segment_of_key() -> Column:
+    return F.expr("uk div 1024")
+
+
+def entry_size() -> Column:
+    return F.octet_length("val") + 16
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.manifest(events(spark, sf_dir), SIZE, 8192)
+    return layout.manifest(events(spark, sf_dir), entry_size(), 8192)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -285,13 +289,13 @@ def _(spark, sf_dir):
 
 @query("d7_peek_next", f"SELECT uk, lead(uk) OVER (ORDER BY uk) AS next_uk FROM {live_sql()}")
 def _(spark, sf_dir):
-    return read.with_next(read.live(events(spark, sf_dir)), SEGMENT)
+    return read.with_next(read.live(events(spark, sf_dir)), segment_of_key())
 
 
 @query("d8_reverse", f"SELECT row_number() OVER (ORDER BY uk DESC) AS pos, uk FROM {live_sql()}")
 def _(spark, sf_dir):
     rows = read.live(events(spark, sf_dir)).select("uk")
-    return read.with_position(rows, -SEGMENT, F.desc("uk")).select("pos", "uk")
+    return read.with_position(rows, -segment_of_key(), F.desc("uk")).select("pos", "uk")
 
 
 @query("d9_key_only_scan", f"SELECT uk FROM {live_sql()}")
@@ -315,13 +319,13 @@ RUN_ROWS = f"(SELECT uk, seq, run_id FROM (SELECT *, CAST(floor((sum(b) OVER (OR
 
 @query("d12_compaction_merge", f"SELECT uk, max(seq) AS seq, max_by(run_id, seq) AS run_id FROM {RUN_ROWS} WHERE run_id IN (3, 4, 7) GROUP BY uk")
 def _(spark, sf_dir):
-    rows = layout.with_runs(events(spark, sf_dir), SIZE, 8192).select("uk", "seq", "run_id")
+    rows = layout.with_runs(events(spark, sf_dir), entry_size(), 8192).select("uk", "seq", "run_id")
     return read.merge_runs(*[rows.where(F.col("run_id") == r) for r in (3, 4, 7)])
 
 
 @query("d13_level0_merge", f"SELECT uk, max(seq) AS seq, max_by(run_id, seq) AS run_id FROM {RUN_ROWS} WHERE run_id % 3 = 0 GROUP BY uk")
 def _(spark, sf_dir):
-    rows = layout.with_runs(events(spark, sf_dir), SIZE, 8192).select("uk", "seq", "run_id")
+    rows = layout.with_runs(events(spark, sf_dir), entry_size(), 8192).select("uk", "seq", "run_id")
     return read.merge_runs(rows.where("run_id % 3 = 0"))
 
 
@@ -423,7 +427,7 @@ def _(spark, sf_dir):
 
 @query("g1_runs_exact", f"WITH RECURSIVE m AS (SELECT seq, uk, 16 + strlen(val) AS b FROM {ML}), r AS (SELECT CAST(1 AS BIGINT) AS seq, (SELECT b FROM m WHERE seq = 1) AS used, CAST(0 AS BIGINT) AS run_id UNION ALL SELECT m.seq, CASE WHEN r.used > 4096 THEN m.b ELSE r.used + m.b END, CASE WHEN r.used > 4096 THEN r.run_id + 1 ELSE r.run_id END FROM r JOIN m ON m.seq = r.seq + 1) SELECT run_id, count(*) AS n, min(uk) AS lo, max(uk) AS hi, CAST(sum(b) AS BIGINT) AS bytes FROM r JOIN m USING (seq) GROUP BY run_id")
 def _(spark, sf_dir):
-    return layout.exact_runs(events(spark, sf_dir), SIZE, 4096).drop("shard")
+    return layout.exact_runs(events(spark, sf_dir), entry_size(), 4096).drop("shard")
 
 
 @query("g4_output_level", f"SELECT n.run_id, CAST(CASE WHEN s0 IS NULL AND s1 IS NULL AND coalesce(s2, -1) <= 20971520 THEN CASE WHEN s2 IS NULL AND coalesce(s3, -1) <= 20971520 THEN 2 ELSE 1 END ELSE 0 END AS BIGINT) AS level FROM (SELECT n.run_id, sum(f.bytes) FILTER (f.level = 0) AS s0, sum(f.bytes) FILTER (f.level = 1) AS s1, sum(f.bytes) FILTER (f.level = 2) AS s2, sum(f.bytes) FILTER (f.level = 3) AS s3 FROM (SELECT run_id, lo + 100 * (run_id % 3) AS lo, hi + 100 * (run_id % 3) AS hi FROM {FILES}) n LEFT JOIN {FILES} f ON f.lo <= n.hi AND f.hi >= n.lo GROUP BY n.run_id) n")
@@ -533,7 +537,7 @@ def _(spark, sf_dir):
 
 @query("g16_output_files", f"SELECT file_no, CAST(sum(n) AS BIGINT) AS n, min(uk) AS lo, max(uk) AS hi FROM (SELECT *, CAST((sum(b) OVER (ORDER BY uk ROWS UNBOUNDED PRECEDING) - b) // 16384 AS BIGINT) AS file_no FROM (SELECT uk, count(*) AS n, CAST(sum(16 + strlen(val)) AS BIGINT) AS b FROM ({compact_sql(9000)}) GROUP BY uk)) GROUP BY file_no")
 def _(spark, sf_dir):
-    return layout.output_files(compact.compact(events(spark, sf_dir), 9000), SIZE, 16_384, SEGMENT)
+    return layout.output_files(compact.compact(events(spark, sf_dir), 9000), entry_size(), 16_384, segment_of_key())
 
 
 @query("g19_apply_edits", f"SELECT level, count(*) AS files FROM (SELECT level, run_id, max_by(action, edit_no) AS action FROM {EDITS} GROUP BY level, run_id) WHERE action = 'add' GROUP BY level")
@@ -560,7 +564,7 @@ def _(spark, sf_dir):
 @query("h1_approx_sizes", f"SELECT id, CAST(coalesce(sum(16 + strlen(val)), 0) AS BIGINT) AS bytes FROM (VALUES (1, CAST(0 AS BIGINT), CAST(50 AS BIGINT)), (2, 50, 1000000), (3, 60, 20)) r(id, a, z) LEFT JOIN {ML} m ON uk >= a AND uk < z GROUP BY id")
 def _(spark, sf_dir):
     ranges = spark.createDataFrame([(1, 0, 50), (2, 50, 1_000_000), (3, 60, 20)], "id int, start long, limit long")
-    return layout.approximate_sizes(events(spark, sf_dir), ranges, SIZE)
+    return layout.approximate_sizes(events(spark, sf_dir), ranges, entry_size())
 
 
 @query("h2_approx_offset", f"SELECT id, CAST(coalesce(sum(CASE WHEN hi < k THEN bytes WHEN lo <= k THEN bytes // 2 ELSE 0 END), 0) AS BIGINT) AS bytes FROM (VALUES (1, CAST(5 AS BIGINT)), (2, 149)) k(id, k) LEFT JOIN {FILES} f ON lo <= k GROUP BY id")
@@ -570,7 +574,7 @@ def _(spark, sf_dir):
 
 @query("h3_file_offset", f"SELECT run_id, uk, seq, CAST(sum(b) OVER (PARTITION BY run_id ORDER BY uk, seq DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS bytes FROM (SELECT *, CAST(floor((sum(b) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) - b) / 8192) AS BIGINT) AS run_id FROM (SELECT uk, seq, 16 + strlen(val) AS b FROM {ML}))")
 def _(spark, sf_dir):
-    rows = layout.with_runs(events(spark, sf_dir), SIZE, 8192)
+    rows = layout.with_runs(events(spark, sf_dir), entry_size(), 8192)
     return layout.file_offsets(rows, F.col("b")).select("run_id", "uk", "seq", "bytes")
 
 
@@ -665,7 +669,7 @@ def _(spark, sf_dir):
 
 @query("i14_block_cut", f"WITH RECURSIVE m AS (SELECT seq, 16 + strlen(val) AS b FROM {ML}), r AS (SELECT CAST(1 AS BIGINT) AS seq, (SELECT b FROM m WHERE seq = 1) AS used, CAST(0 AS BIGINT) AS run_id UNION ALL SELECT m.seq, CASE WHEN r.used >= 4096 THEN m.b ELSE r.used + m.b END, CASE WHEN r.used >= 4096 THEN r.run_id + 1 ELSE r.run_id END FROM r JOIN m ON m.seq = r.seq + 1) SELECT run_id AS block, count(*) AS n FROM r GROUP BY run_id")
 def _(spark, sf_dir):
-    blocks = layout.exact_runs(events(spark, sf_dir), SIZE, 4095)
+    blocks = layout.exact_runs(events(spark, sf_dir), entry_size(), 4095)
     return blocks.select(F.col("run_id").alias("block"), "n")
 
 
