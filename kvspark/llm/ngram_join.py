@@ -21,6 +21,9 @@ den * overlap >= num * union of their sets. The product is never formed whole:
 * A block of more than ``limit`` rows is split: all rows are compared with the
   block's first row, and only the rows that don't link to it are multiplied,
   slice by slice, with all rows of the block.
+* These links are a spanning forest, enough for components. ``jaccard_links`` counts
+  all links: each block's sets are multiplied part by part with each other, and a
+  link counts the rows of its class of equal sets.
 
 The selected columns travel packed; equal sets within a task send theirs once.
 
@@ -46,6 +49,7 @@ from kvspark.llm._words import BASES, U64, Hasher, chunks, mix, positions
 SALTS = 16
 HOT, HOT_LEAST, HOT_TASK = 1 << 18, 16, 3
 NARROW, SURE = 64, 1 << 40
+DENSE = 1024
 LOWER = bytes(range(256)).lower()
 
 
@@ -183,15 +187,64 @@ class Product:
                     groups -= 1
         return found
 
+    def linked(self, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+        """Whether each set of ``left`` links to each of ``right``.
+
+        Columns that many of both have are multiplied densely, the others by postings.
+        """
+        size = [np.array([len(s) for s in part], dtype=np.int64) for part in (left, right)]
+        overlap = np.zeros((len(left), len(right)), dtype=np.float32)
+        _, codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+        own = codes[: size[0].sum()], codes[size[0].sum() :]
+        whose = [np.repeat(np.arange(len(n)), n) for n in size]
+        met = np.prod([np.bincount(c, minlength=codes.max() + 1) for c in own], axis=0)
+        place = np.full(len(met), -1)
+        dense = np.flatnonzero(met > max(64, overlap.size // 32))
+        place[dense] = np.arange(len(dense))
+        for first in range(0, len(dense), DENSE):
+            sides = []
+            for c, w, n in zip(own, whose, size, strict=True):
+                take = (place[c] >= first) & (place[c] < first + DENSE)
+                side = np.zeros((len(n), DENSE), dtype=np.float32)
+                side[w[take], place[c][take] - first] = 1
+                sides.append(side)
+            overlap += sides[0] @ sides[1].T
+        rest = [(place[c] < 0) & (met[c] > 0) for c in own]
+        order = np.argsort(own[1][rest[1]], kind="stable")
+        keys, holder = own[1][rest[1]][order], whose[1][rest[1]][order]
+        mine, row = own[0][rest[0]], whose[0][rest[0]]
+        low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+        for r in np.unique(row).tolist():
+            a, z = np.searchsorted(row, r, "left"), np.searchsorted(row, r, "right")
+            n = high[a:z] - low[a:z]
+            take = np.repeat(low[a:z] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            overlap[r] += np.bincount(holder[take], minlength=len(right))
+        common = overlap.astype(np.int64)
+        return self.den * common >= self.num * (size[0][:, None] + size[1][None, :] - common)
+
 
 def jaccard_groups(
     docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, limit: int = 2048
 ) -> tuple[DataFrame, DataFrame]:
     """(profile, components).
 
+    profile: doc_id, n, rep; components: a, b, as ``_groups`` has them.
+    """
+    of, joined, _ = _groups(docs, words, num, den, limit, False)
+    return of, joined
+
+
+def _groups(
+    docs: DataFrame, words: int, num: int, den: int, limit: int, counted: bool
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(profile, components, classes).
+
     profile: doc_id, n (size of the set), rep (smallest doc_id with an equal set,
     null for empty sets), a row for each row of ``docs``. components: a, b for
     each rep that isn't the smallest of its component, and that smallest doc_id.
+    If ``counted``, profile has x and y, the set's digests, and classes has n, x, y
+    and linked, the rows that link to the set, those with the set itself among them;
+    sets that have one row and link to no other may be absent.
     """
     spark = docs.sparkSession
     few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
@@ -211,11 +264,12 @@ def jaccard_groups(
     read = written(few.mapInArrow(profile, "doc_id long, n long, x long, y long"), "profile")
     real = read.where("n > 0 and doc_id is not null")
     # classes of one row need no join; the others are joined salted, as one may hold a third of all rows
-    equal = real.groupBy("n", "x", "y").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1")
-    equal = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("c")
+    classes = real.groupBy("n", "x", "y").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1")
+    equal = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("c")
     salted = read.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     rep = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("least", "doc_id"))
-    of = written(salted.join(equal, ["n", "x", "y", "salt"], "left").select("doc_id", "n", rep.alias("rep")), "reps")
+    extra = ["x", "y"] if counted else []
+    of = written(salted.join(equal, ["n", "x", "y", "salt"], "left").select("doc_id", "n", *extra, rep.alias("rep")), "reps")
     hot, rank = _frequent(few, words)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -309,7 +363,50 @@ def jaccard_groups(
     links = small.groupBy("block").applyInArrow(multiply, "a long, b long")
     if large.limit(1).count():
         links = links.union(_large_blocks(large, limit, product, links_of))
-    return of, components(links.union(tied))
+    if counted:
+        classes = written(classes.select("n", "x", "y", "c"), "classes")
+        all_links = _links_by_class(lines, classes, limit, product)
+        all_links = classes.join(all_links, ["n", "x", "y"], "full_outer")
+        return of, components(links.union(tied)), all_links.select("n", "x", "y", F.coalesce("linked", "c").alias("linked"))
+    return of, components(links.union(tied)), None
+
+
+def _links_by_class(lines: DataFrame, classes: DataFrame, limit: int, product: Product) -> DataFrame:
+    """n, x, y, linked for each set of ``lines``; ``classes`` (n, x, y, c) has the rows of sets with several."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = batch.column("data").to_pylist()
+            keys, counts = np.frombuffer(b"".join(blobs), dtype=U64), np.array([len(b) // 8 for b in blobs], dtype=np.int64)
+            x, y = (sums_of(mix(keys ^ U64(salt)), counts).view(np.int64) for salt in (0, 0xA5A5A5A5))
+            columns = [batch.column("block"), batch.column("n"), pa.array(x), pa.array(y), batch.column("data")]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "n", "x", "y", "data"])
+
+    # rows with one doc_id bring a set several times
+    sets = lines.mapInArrow(name, "block long, n long, x long, y long, data binary").dropDuplicates(["block", "n", "x", "y"])
+    sets = written(sets.join(classes, ["n", "x", "y"], "left").withColumn("c", F.coalesce("c", F.lit(1))), "sets")
+    parts = sets.groupBy("block").agg(F.ceil(F.count("*") / F.lit(limit)).cast("int").alias("parts"))
+    dealt = sets.join(parts, "block").withColumn("own", F.pmod(F.xxhash64("x", "y"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(
+        "block", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "n", "x", "y", "c", "data"
+    )
+
+    def multiply(table: pa.Table) -> pa.Table:
+        alone = table.column("p")[0].as_py() == table.column("q")[0].as_py()
+        low = table.column("own").to_numpy() == table.column("p").to_numpy()
+        weight, linked = table.column("c").to_numpy(), np.zeros(len(table), dtype=np.int64)
+        sets = [np.frombuffer(b, dtype=U64) for b in table.column("data").to_pylist()]
+        left, right = np.flatnonzero(low), np.flatnonzero(low if alone else ~low)
+        if len(left) and len(right):
+            found = product.linked([sets[i] for i in left], [sets[i] for i in right])
+            linked[left] = found @ weight[right]
+            if not alone:
+                linked[right] = weight[left] @ found
+        return table.select(["n", "x", "y"]).append_column("linked", pa.array(linked))
+
+    told = dealt.groupBy("block", "p", "q").applyInArrow(multiply, "n long, x long, y long, linked long")
+    return told.groupBy("n", "x", "y").agg(F.sum("linked").alias("linked"))
 
 
 def _large_blocks(large: DataFrame, limit: int, product: Product, links_of) -> DataFrame:
@@ -393,6 +490,22 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, limit: int = 2048) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for each row.
+
+    n_links: the other rows that link to it, exact copies among them; 0 for an empty
+    set, null for a null doc_id.
+    """
+    of, joined, classes = _groups(docs, words, num, den, limit, True)
+    joined = joined.select(F.col("a").alias("rep"), F.col("b").alias("__least"))
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = of.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = out.join(classes, ["n", "x", "y", "salt"], "left").join(joined, "rep", "left")
+    least = F.coalesce("__least", "rep", "doc_id")
+    links = F.when(F.col("rep").isNotNull(), F.coalesce("linked", F.lit(1)) - 1).when(F.col("doc_id").isNotNull(), 0)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"), links.cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, limit: int = 2048) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group; rows without a doc_id or words stay."""
     groups = jaccard_components(docs, words, num, den, limit)

@@ -21,6 +21,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op2_ngram_jaccard, with the number of links of each document."""
+    return ngram_join.jaccard_links(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op3_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_ngram_jaccard": op2_ngram_jaccard,
+        "op2_ngram_links": op2_ngram_links,
         "op3_nb_svm": op3_nb_svm,
         "op4_kneser_ney": op4_kneser_ney,
         "op5_bitmap_bpe": op5_bitmap_bpe,
@@ -100,10 +106,15 @@ SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id
 """
 
+OP2_LINKS_SQL = OP2_SQL.replace(
+    "AS component_id\n", "AS component_id, CAST((SELECT count(*) FROM e WHERE e.a = w.doc_id) AS BIGINT) AS n_links\n"
+)
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1_SQL,
         "op2_ngram_jaccard": OP2_SQL,
+        "op2_ngram_links": OP2_LINKS_SQL,
         "op7_link_graph": urlfilter.judge_sql(),
     }

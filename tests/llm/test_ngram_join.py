@@ -1,7 +1,7 @@
 import random
 
 from kvspark.llm import ngram_join
-from kvspark.llm.ngram_join import jaccard_components, keep_one
+from kvspark.llm.ngram_join import jaccard_components, jaccard_links, keep_one
 
 
 def shingles(text, k):
@@ -79,3 +79,31 @@ def test_frequent_ngrams_change_the_work_only(spark, documents, monkeypatch):
     rows = some_rows(5)
     got = sorted(map(tuple, jaccard_components(documents(rows), 3, 8, 10, 5).collect()), key=str)
     assert got == brute(rows, 3, 8, 10)
+
+
+def brute_links(rows, k, num, den):
+    sets = [shingles(t, k) for _, t in rows]
+    found = []
+    for i, (a, _) in enumerate(rows):
+        n = 0
+        for j, (b, _) in enumerate(rows):
+            both = len(sets[i] & sets[j])
+            n += i != j and b is not None and both > 0 and den * both >= num * (len(sets[i]) + len(sets[j]) - both)
+        found.append((a, len(sets[i]), None if a is None else n))
+    return sorted(found, key=str)
+
+
+def test_all_links_are_counted(spark, documents):
+    for seed, k, num, den, limit in ((1, 3, 90, 100, 2048), (2, 3, 90, 100, 3), (3, 5, 8, 10, 2), (4, 3, 7, 10, 4)):
+        rows = some_rows(seed)
+        got = [tuple(r) for r in jaccard_links(documents(rows), k, num, den, limit).collect()]
+        assert sorted(((a, n, links) for a, n, _, links in got), key=str) == brute_links(rows, k, num, den), seed
+        assert sorted((r[:3] for r in got), key=str) == brute(rows, k, num, den), seed
+
+
+def test_links_within_a_large_group(spark, documents):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words[:i], "new", *words[i + 1 :]])) for i in range(90)] + [(i, " ".join(words)) for i in (200, 201)]
+    for limit in (20, 2048):
+        got = [tuple(r) for r in jaccard_links(documents(rows), limit=limit).collect()]
+        assert all(r[2:] == (0, 91) for r in got) and len(got) == 92
