@@ -46,21 +46,30 @@ class Ids:
 
     The pieces are the text cut before each space with a non-space on a side,
     which is always a pre-token's start; other texts are encoded whole. A piece
-    that is new goes through the merges of the vocabulary.
+    that is new goes through the merges of the vocabulary. With ``added``, texts are
+    first cut at the file's added tokens, which have their own ids, as the library
+    does by default; else these strings are ordinary text.
     """
 
     UNSAFE = re.compile(r"\s \s|\s \Z|\A \s| \Z")
 
-    def __init__(self, path: str, pattern: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, pattern: str, keep: int = 400_000, added: bool = False) -> None:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
         table, merges = byte_of(), model["merges"]
         made = {"".join(m.split(" ") if isinstance(m, str) else m) for m in merges}
         ranks = {bytes(map(table.__getitem__, t)): i for t, i in model["vocab"].items() if t in made or len(t) == 1}
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.keep, self.pieces = keep, {}
+        tokens = file.get("added_tokens") or [] if added else []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+            raise ValueError("added tokens that depend on the text beside them")
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in tokens}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def piece(self, part: str) -> bytes:
         packed = b"".join(i.to_bytes(4, "little") for i in self.encoding.encode_ordinary(part))
@@ -71,6 +80,12 @@ class Ids:
         return packed
 
     def packed(self, text: str) -> bytes:
+        if self.cut is None or self.cut.search(text) is None:
+            return self.ordinary(text)
+        parts = self.cut.split(text)
+        return b"".join(self.added[p] if i % 2 else self.ordinary(p) for i, p in enumerate(parts) if p)
+
+    def ordinary(self, text: str) -> bytes:
         if self.UNSAFE.search(text):
             return b"".join(i.to_bytes(4, "little") for i in self.encoding.encode_ordinary(text))
         known, piece = self.pieces.get, self.piece
@@ -161,15 +176,16 @@ NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, window: int = WINDOW,
-                   tiers: tuple[int, ...] = TIERS, pool: int = 256) -> DataFrame:
+                   tiers: tuple[int, ...] = TIERS, pool: int = 256, added: bool = False) -> DataFrame:
     """Pieces of the documents' ids in sequences of at most ``window`` ids.
 
     ``pool``: so many windows' worth of rests wait for a fitting gap, at most.
+    ``added``: the strings of the file's added tokens get these tokens' ids.
     """
     few = columns_as(docs, doc_id="doc_id", text="text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = worker_cache(f"packing:{path}", lambda: Ids(path, pattern))
+        ids = worker_cache(f"packing:{path}:{added}", lambda: Ids(path, pattern, added=added))
         packer = Packer(TaskContext.get().partitionId() << 32, window, tiers)
         end = end_id.to_bytes(4, "little")
 

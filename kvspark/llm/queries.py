@@ -41,7 +41,7 @@ def op5_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, added=True)
 
 
 def op7_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,21 @@ def test_packer_at_many_sizes():
         for row in packer.rows:
             steps[row[7]] += row[2]
         assert max(list(steps.values())[:-1]) - min(list(steps.values())[:-1]) <= 2048
+
+
+def test_added_tokens_have_their_ids(spark, tmp_path):
+    """The query and the pipeline's last stage, against the library with its default settings."""
+    import corpus_pipeline
+    from kvspark.llm import queries
+
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, end * 3, f"{end} a", f"a  {end}  b c ", f"{end}\n{end}", "<|endoftext", f"x <|endof{end}text|> y", None, "no token"]
+    rng = random.Random(3)
+    texts += [" ".join(rng.choice(["the", f"a{end}", end, "zß", " \n", ""]) for _ in range(2000)) for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(PATH)
+    ids_of = {i: library.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert ids_of[0] == [64, 50256, 65, 0]
+    for made in (queries.op6_tiered_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        check([tuple(r) for r in made.collect()], ids_of)
