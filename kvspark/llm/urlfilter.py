@@ -7,8 +7,10 @@ personalised PageRank along the links between hosts; distrust is one along the
 reversed links, so that it flows to those who link to blocked hosts. A host is
 blocked when its distrust is at least ``share`` percent of the sum of both.
 
-Mass is counted in integers (``UNIT`` for a seed page, floor division), so that
-results don't depend on the order of additions. Links are absolute or
+Mass is a double, 1 for a seed page, so that no host that a walk reaches has none,
+however many links divide it. A share within ``NEAR`` of the bound counts as on it, so
+that verdicts don't depend on the order of additions. ``judge_sql`` counts in integers
+(``UNIT`` for a seed page, floor division) and fits graphs that lose nothing by it. Links are absolute or
 scheme-relative ``href``s; links within a host don't count. Hosts and links are
 aggregated before they are shuffled; the state of the rounds is a table of hosts.
 
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from kvspark.llm._common import written
 
 UNIT, DAMPING = 1_000_000, 85
+NEAR = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 
@@ -60,8 +63,7 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
 
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     """kind, host, mass after ``rounds`` rounds from ``seeds`` (kind, host, mass) over ``edges`` (kind, a, b)."""
-    rest = 100 - DAMPING
-    base = seeds.selectExpr("kind", "host", f"mass * {rest} div 100 AS mass")
+    base = seeds.selectExpr("kind", "host", f"mass * {100 - DAMPING} / 100 AS mass")
     if edges.limit(1).count() == 0:
         return base
     degree = edges.groupBy("kind", "a").agg(F.count("*").alias("degree"))
@@ -69,7 +71,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     state = seeds
     for i in range(rounds):
         flow = edges.join(state.withColumnRenamed("host", "a"), ["kind", "a"])
-        flow = flow.selectExpr("kind", "b AS host", f"mass * {DAMPING} div 100 div degree AS mass")
+        flow = flow.selectExpr("kind", "b AS host", f"mass * {DAMPING} / 100 / degree AS mass")
         state = flow.union(base).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
         if i % 3 == 2:
             state = written(state, "mass")
@@ -87,17 +89,17 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, rounds: int = 10, share:
         F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("d"),
     )
     counts = written(counts, "hosts")
-    seeds = counts.selectExpr(f"stack(2, 't', t * {UNIT}, 'd', d * {UNIT}) AS (kind, mass)", "host")
+    seeds = counts.selectExpr("stack(2, 't', CAST(t AS DOUBLE), 'd', CAST(d AS DOUBLE)) AS (kind, mass)", "host")
     seeds = seeds.where("mass > 0").select("kind", "host", "mass")
     found = pages.select(host.alias("a"), F.explode(F.regexp_extract_all(pages["html"], F.lit(LINK), F.lit(1))).alias("b"))
     links = found.select("a", F.translate("b", UPPER, LOWER).alias("b")).where("a != '' and a != b").distinct()
     links = written(links, "edges")
     edges = links.selectExpr("'t' AS kind", "a", "b").union(links.selectExpr("'d' AS kind", "b AS a", "a AS b"))
     mass = propagate(seeds, edges, rounds).groupBy("host").agg(
-        F.sum(F.when(F.col("kind") == "t", F.col("mass")).otherwise(0)).alias("trust"),
-        F.sum(F.when(F.col("kind") == "d", F.col("mass")).otherwise(0)).alias("distrust"),
+        F.sum(F.when(F.col("kind") == "t", F.col("mass")).otherwise(0.0)).alias("trust"),
+        F.sum(F.when(F.col("kind") == "d", F.col("mass")).otherwise(0.0)).alias("distrust"),
     )
-    bad = mass.where(f"distrust > 0 and distrust * 100 >= (trust + distrust) * {share}")
+    bad = mass.where(f"distrust > 0 and distrust * 100 >= (trust + distrust) * {share} * {1 - NEAR!r}D")
     bad = bad.select("host", F.lit("block").alias("method"))
     out = told.join(bad, "host", "left")
     said = F.coalesce("ruled", "method", F.lit("allow")).alias("verdict")
