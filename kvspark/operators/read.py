@@ -103,13 +103,13 @@ def with_position(keys: DataFrame, segment: Column, order: Column) -> DataFrame:
     return cut.join(counts, "__s").withColumn("pos", (F.col("__b") + inside).cast("long")).drop("__s", "__b")
 
 
-def merge_runs(*runs: DataFrame) -> DataFrame:
-    """The newest version of each key over runs (with run_id), which may overlap."""
+def merge_runs(*runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The newest version of each key over runs (with run_id), which may overlap; ``by``: for each of these columns' values."""
     both = runs[0]
     for run in runs[1:]:
         both = both.unionByName(run)
-    newest = both.groupBy("uk").agg(F.max_by(F.struct("seq", "run_id"), "seq").alias("n"))
-    return newest.select("uk", "n.seq", "n.run_id")
+    newest = both.groupBy(*by, "uk").agg(F.max_by(F.struct("seq", "run_id"), "seq").alias("n"))
+    return newest.select(*by, "uk", "n.seq", "n.run_id")
 
 
 def diff(log: DataFrame, old: int, new: int | None = None) -> DataFrame:

@@ -96,6 +96,11 @@ def _(spark, sf_dir):
     return rows.where("o_orderkey >= 100 AND o_orderkey < 900").select("o_orderkey", "o_totalprice")
 
 
+@query("a8_all_rows", "SELECT o_orderkey, o_totalprice FROM orders")
+def _(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+
+
 @query("a13_recover_max_seq", f"SELECT max(seq) AS max_seq FROM {ML}")
 def _(spark, sf_dir):
     return events(spark, sf_dir).agg(F.max("seq").alias("max_seq"))
@@ -339,6 +344,17 @@ def _(spark, sf_dir):
     return read.live(events(spark, sf_dir), 9000)
 
 
+RUNS_LOG = f"(SELECT uk, seq, vt, val, CAST(floor((sum(b) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) - b) / 8192) AS BIGINT) AS run_id FROM (SELECT *, 16 + strlen(val) AS b FROM {ML}))"
+
+
+@query("d17_all_flushed", f"SELECT uk, val FROM {live_sql(RUNS_LOG, f'run_id < (SELECT max(run_id) FROM {RUNS_LOG})')}")
+def _(spark, sf_dir):
+    """All runs but the last, which is still in memory."""
+    rows = layout.with_runs(events(spark, sf_dir), entry_size(), 8192)
+    last = rows.agg(F.max("run_id")).first()[0]
+    return read.live(rows.where(F.col("run_id") < F.lit(last)).select("uk", "seq", "vt", "val"))
+
+
 @query("d18_past_end", f"SELECT uk, val FROM {live_sql()} WHERE uk >= 9000000000")
 def _(spark, sf_dir):
     return read.seek(events(spark, sf_dir), 9_000_000_000)
@@ -515,6 +531,18 @@ def _(spark, sf_dir):
     return layout.trivial_moves(f, layout.compaction_inputs(f, f.where("level < 2")))
 
 
+PICKED = INPUTS.replace(NARROW, FILES).replace("FROM f WHERE level < 2)", f"FROM f JOIN {PICK} USING (level, run_id))")
+
+
+@query("d12_every_pick", f"WITH {PICKED} SELECT pick, uk, max(seq) AS seq, max_by(run_id, seq) AS run_id FROM o JOIN {RUN_ROWS} USING (run_id) WHERE role IN ('input', 'next') GROUP BY pick, uk")
+def _(spark, sf_dir):
+    """The merge of each level's compaction: the inputs of its pick and those of the next level."""
+    f = files(spark, sf_dir)
+    inputs = layout.compaction_inputs(f, layout.pick(f, F.lit(149))).where("role IN ('input', 'next')").select("pick", "run_id")
+    rows = layout.with_runs(events(spark, sf_dir), entry_size(), 8192).select("uk", "seq", "run_id")
+    return read.merge_runs(rows.join(inputs, "run_id"), by=("pick",))
+
+
 def compact_sql(s: int, source: str = ML) -> str:
     return f"SELECT uk, seq, vt, val FROM (SELECT *, lag(seq) OVER (PARTITION BY uk ORDER BY seq DESC) AS newer FROM {source}) WHERE NOT (newer IS NOT NULL AND newer <= {s}) AND NOT (vt = 0 AND seq <= {s})"
 
