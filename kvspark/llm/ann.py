@@ -11,7 +11,10 @@ keeps as many of its smallest ids as a result can hold.
 
 Nearness is the largest inner product. The graph works on vectors with one more
 component, sqrt(M * M - |x|^2) for the shard's largest norm M, for which nearest
-by distance is largest by inner product.
+by distance is largest by inner product. It is kept as its difference from M, which
+changes no distance and doesn't lose the small norms; a query ranks by the inner
+product itself. Shards of norms that differ by more than ``WIDE`` use doubles, and
+queries start there at the ``LONGEST`` vectors too, which few edges reach.
 
 Graphs and queries are tables in the shared folder; queries travel packed in
 blocks, one copy for each shard.
@@ -37,28 +40,36 @@ from kvspark.llm._common import written
 
 DEGREE, BUILD_BEAM, QUERY_BEAM, WIDTH = 32, 48, 96, 4
 PER_SHARD, BLOCK = 8192, 1024
+WIDE, LONGEST = 100, 16
 
 
 class Graph:
-    """Vectors (float32, with the extra component) and their out-neighbours (-1: none)."""
+    """Vectors (for building with the extra component) and their out-neighbours (-1: none)."""
 
     def __init__(self, points: np.ndarray, edges: np.ndarray, start: int) -> None:
         self.points, self.edges, self.start = points, edges, start
 
-    def search(self, targets: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, targets: np.ndarray, beam: int, by_product: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """For each target the best ``beam`` nodes met (-1: none) and their squared distances, nearest first.
 
+        ``by_product``: the largest inner products are nearest, in place of the least distances.
         Each step expands the ``WIDTH`` best unexpanded nodes of every beam.
         """
         n, rows = len(self.points), len(targets)
-        norm = np.einsum("ij,ij->i", self.points, self.points)
+        kind = self.points.dtype
+        norm = np.zeros(n, dtype=kind) if by_product else np.einsum("ij,ij->i", self.points, self.points)
         ids = np.full((rows, beam), -1, dtype=np.int32)
-        far = np.full((rows, beam), np.inf, dtype=np.float32)
+        far = np.full((rows, beam), np.inf, dtype=kind)
         done = np.ones((rows, beam), dtype=bool)
         met = np.zeros((rows, n + 1), dtype=bool)
         met[:, n] = True
-        ids[:, 0], done[:, 0], met[:, self.start] = self.start, False, True
-        far[:, 0] = norm[self.start] - 2 * targets @ self.points[self.start]
+        begin = np.array([self.start])
+        if by_product and kind == np.float64:
+            size = np.einsum("ij,ij->i", self.points, self.points)
+            begin = np.union1d(begin, np.argsort(-size, kind="stable")[: min(LONGEST, beam - 1)])
+        at = slice(0, len(begin))
+        ids[:, at], done[:, at], met[:, begin] = begin, False, True
+        far[:, at] = norm[begin] - 2 * targets @ self.points[begin].T
         live = np.arange(rows)
         while len(live):
             wait = ~done[live]
@@ -77,7 +88,7 @@ class Graph:
             r, c = np.nonzero(near < n)
             node = near[r, c]
             met[live[r], node] = True
-            new = np.full(near.shape, np.inf, dtype=np.float32)
+            new = np.full(near.shape, np.inf, dtype=kind)
             new[r, c] = norm[node] - 2 * np.einsum("ij,ij->i", self.points[node], targets[live[r]])
             all_far = np.concatenate([far[live], new], axis=1)
             all_ids = np.concatenate([ids[live], np.where(near < n, near, -1)], axis=1)
@@ -88,7 +99,7 @@ class Graph:
             ids[live] = np.take_along_axis(all_ids, best, axis=1)
             done[live] = np.take_along_axis(all_done, best, axis=1)
             live = live[~done[live].all(axis=1)]
-        return ids, far + np.einsum("ij,ij->i", targets, targets)[:, None].astype(np.float32)
+        return ids, far + np.einsum("ij,ij->i", targets, targets)[:, None].astype(kind)
 
     def prune(self, nodes: np.ndarray, candidates: np.ndarray, alpha: float) -> np.ndarray:
         """Diverse out-neighbours for each node out of its candidates (-1: none)."""
@@ -150,6 +161,13 @@ def build(points: np.ndarray, seed: int, degree: int = DEGREE, beam: int = BUILD
     return graph
 
 
+def sized(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors in the precision that their norms need, squared norms in double)."""
+    size = np.einsum("ij,ij->i", own, own, dtype=np.float64)
+    wide = size.max() > WIDE * WIDE * np.median(size) or size.max() > 1e30
+    return own.astype(np.float64 if wide else np.float32), size
+
+
 def usable(vector, dim: int):
     """A vector of ``dim`` finite components that aren't all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -176,17 +194,17 @@ def nearest(
     def make(table: pa.Table) -> pa.Table:
         ids = table.column("ids").combine_chunks()
         own, number = matrix(table.column("v")), table.column("shard")[0].as_py()
-        size = np.einsum("ij,ij->i", own, own)
-        extra = np.sqrt(np.maximum(size.max() - size, 0))[:, None]
-        graph = build(np.concatenate([own, extra], axis=1).astype(np.float32), number)
+        points, size = sized(own)
+        short = size / (np.sqrt(size.max()) + np.sqrt(size.max() - size))  # M - sqrt(M * M - |x|^2)
+        graph = build(np.concatenate([points, short[:, None]], axis=1).astype(points.dtype), number)
         lengths = np.diff(ids.offsets.to_numpy())
-        row = [own.tobytes(), extra.astype("<f4").tobytes(), graph.edges.tobytes(), graph.start,
+        row = [own.tobytes(), graph.edges.tobytes(), graph.start,
                lengths.astype("<i8").tobytes(), ids.flatten().to_numpy().tobytes()]
-        kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-        names = ["own", "extra", "edges", "start", "lengths", "ids"]
+        kinds = [pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["own", "edges", "start", "lengths", "ids"]
         return pa.table([pa.array([number], pa.int32()), *[pa.array([x], t) for x, t in zip(row, kinds, strict=True)]], names=["shard", *names])
 
-    shape = "shard int, own binary, extra binary, edges binary, start int, lengths binary, ids binary"
+    shape = "shard int, own binary, edges binary, start int, lengths binary, ids binary"
     graphs = written(classes.select(shard, "v", "ids").groupBy("shard").applyInArrow(make, shape), "graphs")
 
     asked = few.where(F.col("vec_id") % every == 0).distinct()
@@ -206,14 +224,13 @@ def nearest(
 
     def search(row: dict) -> pa.RecordBatch:
         own = np.frombuffer(row["own"], dtype=np.float32).reshape(-1, dim)
-        extra = np.frombuffer(row["extra"], dtype=np.float32)[:, None]
-        graph = Graph(np.concatenate([own, extra], axis=1), np.frombuffer(row["edges"], dtype=np.int32).reshape(len(own), -1), row["start"])
+        graph = Graph(sized(own)[0], np.frombuffer(row["edges"], dtype=np.int32).reshape(len(own), -1), row["start"])
         ids, lengths = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["lengths"], dtype=np.int64)
         stops = np.cumsum(lengths)
         names = np.frombuffer(row["q"], dtype=np.int64)
         x = np.frombuffer(row["x"], dtype=np.float32).reshape(-1, dim)
-        size = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-        met, _ = graph.search(np.concatenate([x / size, np.zeros_like(size)], axis=1).astype(np.float32), max(beam, k + 1))
+        size = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))[:, None]
+        met, _ = graph.search((x / size).astype(graph.points.dtype), max(beam, k + 1), by_product=True)
         # exact scores; a sum per pair, in the same order for every pair
         score = (own[met].astype(np.float64) * x[:, None, :].astype(np.float64)).sum(axis=2)
         score[met < 0] = -np.inf

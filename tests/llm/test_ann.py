@@ -47,3 +47,15 @@ def test_few_and_empty(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0], 0, ""), (1, [0.5, 1.0], 0, ""), (2, [2.0, 0.0], 0, "")], SHAPE)
     assert results(nearest(frame)) == {0: [2, 1]}
     assert nearest(frame.limit(0)).count() == 0
+
+
+def test_recall_beside_vectors_of_large_norm(spark):
+    for large in (1e4, 1e25):
+        rng = np.random.default_rng(7)
+        x = rng.normal(size=(2000, 16)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x[[3, 777, 1501]] *= np.float32(large)
+        frame = spark.createDataFrame([(i, v.tolist(), 0, "x") for i, v in enumerate(x)], SHAPE)
+        got, want = results(nearest(frame, per_shard=1000)), brute(list(enumerate(x)), 20, 20)
+        hits = sum(len(set(got[q]) & set(want[q])) for q in want)
+        assert hits >= 0.95 * 20 * len(want), (large, hits / 20 / len(want))
