@@ -5,8 +5,9 @@ companding rules; ADPCM blocks are decoded with numpy across blocks: the loop
 runs over the sample position within a block, each step handles all blocks.
 Containers are RIFF/WAVE (format tags 1, 6, 7, 17).
 
-Defined results: a null payload counts as empty; bytes that are no such WAVE
-file give null audio columns; an empty table gives an empty result; repeated
+Defined results: a null payload counts as empty; bytes that are no such mono WAVE
+file, stereo ones too, give null audio columns, and so does ADPCM whose short last
+block holds no header; a longer one is decoded; an empty table gives an empty result; repeated
 rows are decoded each; extra columns are ignored.
 """
 
@@ -52,7 +53,7 @@ IMA_INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8], dtype=np.int64)
 
 
 def decode_adpcm(data: bytes, block: int) -> np.ndarray:
-    """Mono IMA ADPCM; each block starts with its predictor (int16), step index and a spare byte."""
+    """The whole blocks of mono IMA ADPCM; each block starts with its predictor (int16), step index and a spare byte."""
     n = len(data) // block
     raw = np.frombuffer(data, dtype=np.uint8, count=n * block).reshape(n, block)
     value = raw[:, :2].copy().view("<i2")[:, 0].astype(np.int64)
@@ -119,7 +120,12 @@ class Decoder:
         if tag in self.tables:
             return self.tables[tag][np.frombuffer(data, dtype=np.uint8)]
         if tag == ADPCM and block > 4:
-            return decode_adpcm(data, block)
+            whole = len(data) // block * block
+            tail = data[whole:]
+            if 0 < len(tail) < 4:
+                raise ValueError("last block without a header")
+            parts = [decode_adpcm(data[:whole], block), decode_adpcm(tail, len(tail)) if tail else []]
+            return np.concatenate(parts).astype(np.int16)
         if tag == PCM and bits == 16:
             return np.frombuffer(data[: len(data) & ~1], dtype="<i2")
         if tag == PCM and bits == 8:

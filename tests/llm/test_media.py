@@ -85,3 +85,15 @@ def test_documents(spark, documents):
         assert r["media_bytes"] == len(media.wrap(padded)) and r["media_sha256"] == hashlib.sha256(media.wrap(padded)).hexdigest()
     assert got[1]["feature"] == got[None]["feature"] and got[2]["feature"] == got[3]["feature"]
     assert media.telephony_digest(documents([])).count() == 0
+
+
+def test_adpcm_decodes_a_short_last_block(spark):
+    data = np.random.default_rng(2).integers(0, 256, 36 * 5 + 11, dtype=np.uint8).tobytes()
+    stereo = bytearray(media.wrap(data, media.ADPCM, block=36, bits=4))
+    stereo[22] = 2
+    cases = [media.wrap(data, media.ADPCM, rate=16000, block=36, bits=4), media.wrap(data[:-8], media.ADPCM, block=36, bits=4), bytes(stereo)]
+    frame = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cases)], "id long, media binary")
+    got = {r["key"]: r["pcm"] for r in media.decode_media(frame, "id", "media").collect()}
+    want = adpcm_by_sample(data, 36) + adpcm_by_sample(data[-11:], 11)
+    assert np.frombuffer(got[0], dtype="<i2").tolist() == want
+    assert got[1] is None and got[2] is None
