@@ -26,7 +26,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 80 % of their five-word shingles the smallest doc_id stays."""
-    return ngram_join.keep_one(docs, words=5, num=8, den=10)
+    return ngram_join.keep_one(docs, words=5, num=8, den=10, nameless=True)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

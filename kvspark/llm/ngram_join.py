@@ -49,7 +49,7 @@ from kvspark.llm._words import BASES, U64, Hasher, chunks, mix, positions
 SALTS = 16
 HOT, HOT_LEAST, HOT_TASK = 1 << 18, 16, 3
 NARROW, SURE = 64, 1 << 40
-DENSE = 1024
+DENSE, NAMELESS = 1024, 1 << 61
 LOWER = bytes(range(256)).lower()
 
 
@@ -506,8 +506,21 @@ def jaccard_links(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100
     return out.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"), links.cast("long").alias("n_links"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, limit: int = 2048) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group; rows without a doc_id or words stay."""
-    groups = jaccard_components(docs, words, num, den, limit)
-    groups = groups.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, limit: int = 2048, nameless: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group, one for each doc_id and text.
+
+    Rows without a doc_id or words stay. If ``nameless``, rows with words and no doc_id
+    are compared too, under surrogate ids past all others that come of their texts.
+    """
+    own = docs["doc_id"].cast("long")
+    if nameless:
+        past = F.xxhash64("text").bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS)
+        own = F.coalesce(own, F.when(docs["text"].rlike(r"[^\x20\x09-\x0D]"), past))
+    named = docs.withColumn("__id", own)
+    groups = jaccard_components(named.select(F.col("__id").alias("doc_id"), "text"), words, num, den, limit)
+    groups = groups.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
+    left = named.join(groups, "__id", "left_anti")
+    # only ids of several rows have their texts compared
+    several = named.where("__id is not null").groupBy("__id").agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    once = left.join(several, "__id", "left_anti")
+    return once.unionByName(left.join(several, "__id", "left_semi").dropDuplicates(["__id", "text"])).select(*docs.columns)

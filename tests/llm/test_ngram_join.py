@@ -107,3 +107,11 @@ def test_links_within_a_large_group(spark, documents):
     for limit in (20, 2048):
         got = [tuple(r) for r in jaccard_links(documents(rows), limit=limit).collect()]
         assert all(r[2:] == (0, 91) for r in got) and len(got) == 92
+
+
+def test_repeated_and_nameless_rows_stay_once(spark, documents):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(4, text), (4, text), (4, "two words"), (None, text), (None, other), (None, other), (None, other + " x"), (None, None), (None, None), (7, ""), (7, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_one(documents(rows), nameless=True).collect()), key=str)
+    assert [r for r in got if r[1] not in (other, other + " x")] == sorted([(4, text), (4, "two words"), (None, None), (None, None), (7, "")], key=str)
+    assert len(got) == 6
