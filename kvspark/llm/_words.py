@@ -40,7 +40,7 @@ class Hasher:
                 row = np.full(size, b, dtype=U64)
                 row[0] = 1
                 both.append(np.multiply.accumulate(row))
-            if size > 4 * CHUNK:  # one huge text: not kept
+            if size > 2 * CHUNK:  # one huge text: not kept
                 return both[0], both[1]
             self.powers[base] = held = (both[0], both[1])
         return held

@@ -3,29 +3,30 @@
 Documents are rows, hashed word n-grams are columns. Two documents link when
 den * overlap >= num * union of their sets. The product is never formed whole:
 
-* Blocks. All n-grams have one order. Linked sets overlap by at least num / den of
-  either's size, so that among the first size - ceil(num * size / den) + 1 n-grams
-  of both, in that order, one is common. Only these columns are looked at first:
-  common ones are counted for each pair that has any, and pairs whose count and
-  largest possible rest fall below the bound of their sizes are discarded. Columns
-  of more than ``NARROW`` documents aren't counted; they join all their documents
-  to the first. Pairs that are left, or joined, make blocks (connected components),
-  which hold every link. In the order frequent n-grams come last, by their counts,
-  so that a passage that many documents share is hardly ever among the columns. The
-  counts are those of the ``HOT`` most frequent n-grams, summed from what tasks see
-  several times; which n-grams are known as frequent changes the work, not the
-  result.
-* Product. In a block, a row's overlaps with all others are accumulated over the
-  postings of its n-grams; pairs below the bound that follows from both sizes are
-  discarded, the others link. Equal sets are one row of the product.
-* A block of more than ``limit`` rows is split: all rows are compared with the
-  block's first row, and only the rows that don't link to it are multiplied,
-  slice by slice, with all rows of the block.
-* These links are a spanning forest, enough for components. ``jaccard_links`` counts
-  all links: each block's sets are multiplied part by part with each other, and a
-  link counts the rows of its class of equal sets.
-
-The selected columns travel packed; equal sets within a task send theirs once.
+* Order. All n-grams have one order, rare ones first: by how often their counter
+  (one of ``COUNTERS``, summed over all documents in the pass that also takes the
+  sets' digests) was met, then by hash. Any common order gives the same links; one
+  by frequency keeps passages that many documents share out of the columns below.
+  Where distinct n-grams far outnumber the counters only the more frequent passages
+  stand out, and blocks grow.
+* Blocks. Linked sets overlap by at least num / den of either's size, so that among
+  the first size - ceil(num * size / den) + 1 n-grams of both one is common. Only
+  these columns are looked at. The sets of a column, in order of size, are joined
+  neighbour by neighbour while den * smaller >= num * larger: between two linked sets
+  each step's ratio is at least theirs, so that none is lost, and a column of n sets
+  gives n - 1 pairs at most. A task sends a set of each size of a column, the others
+  it joins to that one itself. Connected pairs are a block, which holds every link.
+* Product. Within a block the overlaps of all pairs of sets whose sizes are within
+  the bound are accumulated over the n-grams, common ones as dense parts, the rest by
+  postings; between the parts the pairs go whose overlap and rest are below the bound
+  that follows from their sizes. Equal sets are one row. A block of more than
+  ``limit`` rows or ``PART_BYTES`` is multiplied part by part, each pair of parts in
+  a task.
+* For components alone (``keep_one``) a large block is first compared with its first
+  row, and only the rows that don't link to it are multiplied with all others.
+
+Texts aren't shuffled but for those of blocks: a bitmap of the blocks' ids (``WORDS``
+long words at most) drops the others first.
 
 Defined results: null or empty text has an empty set, links with nothing and is its own component; a
 null doc_id takes no part and has itself, null, as component; rows with one
@@ -39,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +49,12 @@ from kvspark.llm._components import components
 from kvspark.llm._words import BASES, U64, Hasher, chunks, mix, positions
 
 SALTS = 16
-HOT, HOT_LEAST, HOT_TASK = 1 << 18, 16, 3
-NARROW, SURE = 64, 1 << 40
-DENSE, NAMELESS = 1024, 1 << 61
+#: Counters of n-grams, in slices that are summed apart, ``FAN`` tasks' at a time.
+COUNTER_BITS, SLICE_BITS, FAN = 22, 16, 256
+#: The bitmap of ids has this many words of 64 bits.
+WORDS = 1 << 20
+LIMIT, PART_BYTES, SMALL_BYTES = 2048, 1 << 26, 1 << 20
+DENSE, NAMELESS, SEEN = 1024, 1 << 61, 200_000
 LOWER = bytes(range(256)).lower()
 
 
@@ -86,17 +91,48 @@ def sums_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[stops] - total[stops - counts]
 
 
-def select(keys: np.ndarray, counts: np.ndarray, num: int, den: int, hot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram, index of its document): the first of each set in the common order.
+def digests(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set."""
+    x, y = (sums_of(mix(keys ^ U64(salt)), counts).view(np.int64) for salt in (0, 0xA5A5A5A5))
+    return x, y
 
-    ``hot`` are sorted frequent n-grams, ``rank`` their places from 1 by count.
-    """
-    late = np.zeros(len(keys), dtype=np.int64)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-        late = np.where(hot[at] == keys, rank[at], 0)
+
+def counter_of(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) >> U64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of integers plane by plane: small ones leave planes of zeros, which compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def unplanes(blob: bytes, n: int, dtype: str, offset: int) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    raw = np.frombuffer(blob, dtype=np.uint8, count=n * width, offset=offset).reshape(width, n)
+    return np.ascontiguousarray(raw.T).view(dtype)[:, 0]
+
+
+def sparse(counts: np.ndarray) -> bytes:
+    """Steps between the counters of a slice that aren't zero, and their counts."""
+    at = np.flatnonzero(counts)
+    return planes(np.diff(at, prepend=0).astype("<u2")) + planes(counts[at].astype("<u4"))
+
+
+def add_sparse(total: np.ndarray, blob: bytes) -> None:
+    n = len(blob) // 6
+    at = np.cumsum(unplanes(blob, n, "<u2", 0).astype(np.int64))
+    total[at] += unplanes(blob, n, "<u4", 2 * n)
+
+
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """Eight steps for each doubling."""
+    return np.minimum(255, np.log2(np.maximum(counts, 1)) * 8).astype(np.uint8)
+
+
+def select(keys: np.ndarray, counts: np.ndarray, num: int, den: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram, index of its document): the first of each set in the common order."""
     whose = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((mix(keys), late, whose))
+    order = np.lexsort((mix(keys), levels[counter_of(keys)], whose))
     place = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
     take = place < np.repeat(counts - -(-num * counts // den) + 1, counts)
     return keys[order][take], whose[take]
@@ -109,198 +145,201 @@ def packed(data: np.ndarray) -> bytes:
     """N-grams, steps between the sorted ids byte by byte (the upper bytes are zeros), sizes."""
     data = data[np.argsort(data["id"], kind="stable")]
     steps = np.diff(data["id"].astype(np.int64), prepend=0).astype(np.int64)
-    return data["s"].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes() + data["n"].tobytes()
+    return data["s"].tobytes() + planes(steps) + data["n"].tobytes()
 
 
 def unpacked(blob: bytes) -> np.ndarray:
     n = len(blob) // PAIR.itemsize
     data = np.empty(n, dtype=PAIR)
     data["s"] = np.frombuffer(blob, dtype=U64, count=n)
-    steps = np.frombuffer(blob, dtype=np.uint8, count=8 * n, offset=8 * n).reshape(8, n)
-    data["id"] = np.cumsum(np.ascontiguousarray(steps.T).view(np.int64)[:, 0])
+    data["id"] = np.cumsum(unplanes(blob, n, "<i8", 8 * n))
     data["n"] = np.frombuffer(blob, dtype=np.uint32, count=n, offset=16 * n)
     return data
 
 
-def meetings(data: np.ndarray, most: int) -> np.ndarray:
-    """(a, b, size of a, size of b, common columns) of the documents that share a column.
+def in_order(data: np.ndarray) -> np.ndarray:
+    return data[np.lexsort((data["id"], data["n"], data["s"]))]
 
-    Columns of more than ``most`` documents join each to the first one only, and
-    mark the pair with ``SURE`` columns.
-    """
-    data = data[np.lexsort((data["n"], data["id"], data["s"]))]
-    new = np.concatenate([[True], data["s"][1:] != data["s"][:-1]])
-    group = np.cumsum(new) - 1
-    size = np.bincount(group)
-    wide = size[group] > most
-    lead = np.flatnonzero(new)[group]
-    star = np.flatnonzero(wide & ~new)
-    left, right, times = [lead[star]], [star], [np.full(len(star), SURE)]
-    narrow = np.flatnonzero(~wide & (size[group] > 1))
-    for step in range(1, int(size[size <= most].max(initial=0))):
-        at = narrow[narrow + step < len(data)]
-        at = at[group[at] == group[at + step]]
-        left.append(at)
-        right.append(at + step)
-        times.append(np.ones(len(at), dtype=np.int64))
-    left, right, times = np.concatenate(left), np.concatenate(right), np.concatenate(times)
-    rows = np.stack([data["id"][left], data["id"][right], data["n"][left].astype(np.int64), data["n"][right].astype(np.int64)], axis=1)
-    apart = rows[:, 0] != rows[:, 1]
-    rows, times = rows[apart], times[apart]
-    order = np.lexsort(rows.T)
-    rows, times = rows[order], times[order]
-    if len(rows) == 0:
-        return np.empty((0, 5), dtype=np.int64)
-    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
-    return np.concatenate([rows[first], np.add.reduceat(times, first)[:, None]], axis=1)
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The different pairs (smaller, larger) of unequal ids, as rows."""
+    rows = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b]
+    return np.unique(rows, axis=0) if len(rows) else rows
 
-def texts_of(batch: pa.RecordBatch) -> list[bytes]:
-    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
+def same_size(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one row for each column and size, pairs that join the others to it); ``data`` is in order."""
+    new = np.concatenate([[True], (data["s"][1:] != data["s"][:-1]) | (data["n"][1:] != data["n"][:-1])])
+    lead = data["id"][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return data[new], distinct_pairs(lead[~new], data["id"][~new])
 
-class Product:
-    """Links among rows, and between rows and columns, by accumulated overlaps."""
 
-    def __init__(self, num: int, den: int) -> None:
-        self.num, self.den = num, den
+def neighbours(data: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Pairs of the sets that stand beside each other in a column and whose sizes allow a link."""
+    data = in_order(data)
+    size = data["n"].astype(np.int64)
+    near = (data["s"][1:] == data["s"][:-1]) & (den * size[:-1] >= num * size[1:])
+    return distinct_pairs(data["id"][:-1][near], data["id"][1:][near])
 
-    def links(self, sets: list[np.ndarray], rows: np.ndarray, stop_when_one: bool) -> list[tuple[int, int]]:
-        """A spanning forest of the links between ``rows`` and all of ``sets``."""
-        sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        keys = np.concatenate(sets)
-        whose = np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(keys, kind="stable")
-        keys, whose = keys[order], whose[order]
-        root, groups, found = np.arange(len(sets)), len(sets), []
-        for r in rows.tolist():
-            if stop_when_one and groups == 1:
-                break
-            low, high = np.searchsorted(keys, sets[r], "left"), np.searchsorted(keys, sets[r], "right")
-            take = np.repeat(low - np.concatenate([[0], np.cumsum(high - low)[:-1]]), high - low)
-            overlap = np.bincount(whose[take + np.arange(len(take))], minlength=len(sets))
-            union = sizes + sizes[r] - overlap
-            for c in np.flatnonzero((self.den * overlap >= self.num * union) & (root != root[r])).tolist():
-                if root[c] != root[r]:
-                    found.append((r, c))
-                    root[root == root[c]] = root[r]
-                    groups -= 1
-        return found
-
-    def linked(self, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-        """Whether each set of ``left`` links to each of ``right``.
-
-        Columns that many of both have are multiplied densely, the others by postings.
-        """
-        size = [np.array([len(s) for s in part], dtype=np.int64) for part in (left, right)]
-        overlap = np.zeros((len(left), len(right)), dtype=np.float32)
-        _, codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-        own = codes[: size[0].sum()], codes[size[0].sum() :]
-        whose = [np.repeat(np.arange(len(n)), n) for n in size]
-        met = np.prod([np.bincount(c, minlength=codes.max() + 1) for c in own], axis=0)
-        place = np.full(len(met), -1)
-        dense = np.flatnonzero(met > max(64, overlap.size // 32))
-        place[dense] = np.arange(len(dense))
-        for first in range(0, len(dense), DENSE):
-            sides = []
-            for c, w, n in zip(own, whose, size, strict=True):
-                take = (place[c] >= first) & (place[c] < first + DENSE)
-                side = np.zeros((len(n), DENSE), dtype=np.float32)
-                side[w[take], place[c][take] - first] = 1
-                sides.append(side)
-            overlap += sides[0] @ sides[1].T
-        rest = [(place[c] < 0) & (met[c] > 0) for c in own]
-        order = np.argsort(own[1][rest[1]], kind="stable")
-        keys, holder = own[1][rest[1]][order], whose[1][rest[1]][order]
-        mine, row = own[0][rest[0]], whose[0][rest[0]]
-        low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-        for r in np.unique(row).tolist():
-            a, z = np.searchsorted(row, r, "left"), np.searchsorted(row, r, "right")
-            n = high[a:z] - low[a:z]
-            take = np.repeat(low[a:z] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            overlap[r] += np.bincount(holder[take], minlength=len(right))
-        common = overlap.astype(np.int64)
-        return self.den * common >= self.num * (size[0][:, None] + size[1][None, :] - common)
-
-
-def jaccard_groups(
-    docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, limit: int = 2048
-) -> tuple[DataFrame, DataFrame]:
-    """(profile, components).
-
-    profile: doc_id, n, rep; components: a, b, as ``_groups`` has them.
-    """
-    of, joined, _ = _groups(docs, words, num, den, limit, False)
-    return of, joined
+
+def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _groups(
-    docs: DataFrame, words: int, num: int, den: int, limit: int, counted: bool
-) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(profile, components, classes).
-
-    profile: doc_id, n (size of the set), rep (smallest doc_id with an equal set,
-    null for empty sets), a row for each row of ``docs``. components: a, b for
-    each rep that isn't the smallest of its component, and that smallest doc_id.
-    If ``counted``, profile has x and y, the set's digests, and classes has n, x, y
-    and linked, the rows that link to the set, those with the set itself among them;
-    sets that have one row and link to no other may be absent.
-    """
-    spark = docs.sparkSession
-    few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+def linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Whether each set of ``left`` links to each of ``right``.
 
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(words)
+    Columns that many of both have are multiplied densely, the others by postings.
+    Pairs are discarded as soon as what they may still have in common is too little.
+    """
+    size = [np.array([len(s) for s in part], dtype=np.int64) for part in (left, right)]
+    small, large = np.minimum(size[0][:, None], size[1]), np.maximum(size[0][:, None], size[1])
+    alive = den * small >= num * large
+    need = (-(-num * (small + large) // (num + den))).astype(np.float32)
+    del small, large
+    overlap = np.zeros(alive.shape, dtype=np.float32)
+    _, codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    own = codes[: size[0].sum()], codes[size[0].sum() :]
+    whose = [np.repeat(np.arange(len(n)), n) for n in size]
+    met = np.prod([np.bincount(c, minlength=codes.max() + 1) for c in own], axis=0)
+    place = np.full(len(met), -1)
+    dense = np.flatnonzero(met > max(64, overlap.size // 32))
+    place[dense] = np.arange(len(dense))
+    # columns of one side only add nothing, but still stand in the way of a link
+    rest = [np.bincount(w[met[c] > 0], minlength=len(n)) for c, w, n in zip(own, whose, size, strict=True)]
+
+    def discard() -> None:
+        alive[...] &= overlap + np.minimum(rest[0][:, None], rest[1]) >= need
+
+    discard()
+    for first in range(0, len(dense), DENSE):
+        if not alive.any():
+            return alive
+        sides = []
+        for k, (c, w, n) in enumerate(zip(own, whose, size, strict=True)):
+            take = (place[c] >= first) & (place[c] < first + DENSE)
+            side = np.zeros((len(n), DENSE), dtype=np.float32)
+            side[w[take], place[c][take] - first] = 1
+            rest[k] = rest[k] - np.bincount(w[take], minlength=len(n))
+            sides.append(side)
+        overlap += sides[0] @ sides[1].T
+        discard()
+    thin = [(place[c] < 0) & (met[c] > 0) for c in own]
+    order = np.argsort(own[1][thin[1]], kind="stable")
+    keys, holder = own[1][thin[1]][order], whose[1][thin[1]][order]
+    mine, row = own[0][thin[0]], whose[0][thin[0]]
+    low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+    first = np.searchsorted(row, np.arange(len(left) + 1), "left")
+    for r in np.flatnonzero(alive.any(axis=1)).tolist():
+        a, z = first[r], first[r + 1]
+        if a == z:
+            continue
+        n = high[a:z] - low[a:z]
+        take = holder[np.repeat(low[a:z] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        overlap[r] += np.bincount(take[alive[r][take]], minlength=len(right))
+    return alive & (overlap >= need)
+
+
+def groups_of(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the components of a bipartite graph: of its rows, of its columns (-1: alone)."""
+    rows, columns = np.full(found.shape[0], -1), np.full(found.shape[1], -1)
+    for r in range(len(rows)):
+        if rows[r] >= 0:
+            continue
+        rows[r], reached = r, np.array([r])
+        while len(reached):
+            new = np.flatnonzero(found[reached].any(axis=0) & (columns < 0))
+            columns[new] = r
+            reached = np.flatnonzero(found[:, new].any(axis=1) & (rows < 0))
+            rows[reached] = r
+    return rows, columns
+
+
+def _counted(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, x, y for each row; level of each counter), from one pass over the texts."""
+    names = ["doc_id", "n", "x", "y", "part", "slice", "data"]
+
+    def rows_of(columns: dict, n: int, ids: pa.Array | None = None) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+        made = [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([ids if ids is not None else made[0], *made[1:]], names=names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, tally = Sets(words), np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
         for batch in batches:
             texts, columns = texts_of(batch), [[], [], []]
             for a, b in chunks(texts):
                 keys, counts = sets.read(texts[a:b])
-                columns[0].append(counts)
-                columns[1].append(sums_of(mix(keys), counts).view(np.int64))
-                columns[2].append(sums_of(mix(keys ^ U64(0xA5A5A5A5)), counts).view(np.int64))
-            made = [pa.array(np.concatenate(c) if c else [], type=pa.int64()) for c in columns]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "n", "x", "y"])
-
-    read = written(few.mapInArrow(profile, "doc_id long, n long, x long, y long"), "profile")
-    real = read.where("n > 0 and doc_id is not null")
-    # classes of one row need no join; the others are joined salted, as one may hold a third of all rows
-    classes = real.groupBy("n", "x", "y").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1")
-    equal = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("c")
-    salted = read.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    rep = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("least", "doc_id"))
-    extra = ["x", "y"] if counted else []
-    of = written(salted.join(equal, ["n", "x", "y", "salt"], "left").select("doc_id", "n", *extra, rep.alias("rep")), "reps")
-    hot, rank = _frequent(few, words)
+                np.add.at(tally, counter_of(keys), 1)
+                for column, made in zip(columns, (counts, *digests(keys, counts)), strict=True):
+                    column.append(made)
+            made = [np.concatenate(c) if c else np.empty(0, dtype=np.int64) for c in columns]
+            yield rows_of(dict(zip("nxy", made, strict=True)), batch.num_rows, batch.column("doc_id"))
+        own = [(i, s) for i, s in enumerate(tally.reshape(-1, 1 << SLICE_BITS)) if s.any()]
+        part = TaskContext.get().partitionId()
+        yield rows_of({"part": [part] * len(own), "slice": [i for i, _ in own], "data": [sparse(s) for _, s in own]}, len(own))
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << SLICE_BITS, dtype=np.uint64)
+        for blob in table.column("data").to_pylist():
+            add_sparse(total, blob)
+        told = sparse(np.minimum(total, np.iinfo(np.uint32).max))
+        return pa.table([pa.array([table.column("part")[0].as_py()], pa.int64()), pa.array([table.column("slice")[0].as_py()], pa.int32()), pa.array([told], pa.binary())], names=names[4:])
+
+    shape = "doc_id long, n long, x long, y long, part long, slice int, data binary"
+    made = written(docs.mapInArrow(read, shape), "profile")
+    told = made.where("slice is not null").select("part", "slice", "data")
+    parts = (told.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        parts = -(-parts // FAN)
+        told = told.withColumn("part", F.col("part") % parts).groupBy("slice", "part").applyInArrow(add, "part long, slice int, data binary")
+        if parts == 1:
+            break
+    levels = np.zeros((1 << (COUNTER_BITS - SLICE_BITS), 1 << SLICE_BITS), dtype=np.uint8)
+    for row in told.select("slice", "data").toLocalIterator():  # a row for each slice
+        total = np.zeros(1 << SLICE_BITS, dtype=np.uint64)
+        add_sparse(total, row["data"])
+        levels[row["slice"]] = level_of(total)
+    return made.where("slice is null").select("doc_id", "n", "x", "y"), levels.reshape(-1)
+
+
+def _pairs(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
+    """a, b: ids of neighbouring sets of a column."""
+    spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held_levels = spark.sparkContext.broadcast(levels)  # a byte for each counter
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, seen, held, size = Sets(words), set(), [], 0
+        sets, seen, held, size, levels = Sets(words), set(), [], 0, held_levels.value
 
         def flush() -> pa.RecordBatch:
-            data = np.concatenate(held) if held else np.empty(0, dtype=PAIR)
+            data, pairs = same_size(in_order(np.concatenate(held)))
             bucket = ((data["s"] >> U64(40)) % U64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            own = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            blobs = [packed(data[order[cuts[b] : cuts[b + 1]]]) for b in own]
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "data"])
+            rows = [(b, packed(data[order[cuts[b] : cuts[b + 1]]]), None) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            deal = pairs[:, 0] % buckets
+            rows += [(b, None, pairs[deal == b].astype("<i8").tobytes()) for b in np.unique(deal).tolist()]
+            kinds = [pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "data", "pairs"])
 
         for batch in batches:
             texts = texts_of(batch)
-            ids = batch.column("doc_id").to_pylist()
+            ids = np.array(batch.column("doc_id").fill_null(0), dtype=np.int64)
+            null = np.array(batch.column("doc_id").is_null(), dtype=bool)
             for a, b in chunks(texts):
                 keys, counts = sets.read(texts[a:b])
-                whole = sums_of(mix(keys), counts)
-                signs, owner = select(keys, counts, num, den, hot, rank)
-                use = np.zeros(b - a, dtype=bool)
-                for i, (h, c) in enumerate(zip(whole.tolist(), counts.tolist(), strict=True)):
-                    if c and ids[a + i] is not None and h not in seen:
-                        use[i] = True
+                use = (counts > 0) & ~null[a:b]
+                for i, h in enumerate(digests(keys, counts)[0].tolist()):
+                    if use[i] and h in seen:
+                        use[i] = False
+                    elif use[i]:
                         seen.add(h)
-                data = np.empty(int(use[owner].sum()), dtype=PAIR)
-                data["s"] = signs[use[owner]]
-                data["n"] = counts[owner[use[owner]]]
-                data["id"] = np.array([i or 0 for i in ids[a:b]], dtype=np.int64)[owner[use[owner]]]
+                if len(seen) > SEEN:  # equal sets that are sent again only meet again
+                    seen.clear()
+                signs, owner = select(keys[np.repeat(use, counts)], counts[use], num, den, levels)
+                data = np.empty(len(signs), dtype=PAIR)
+                data["s"], data["n"], data["id"] = signs, counts[use][owner], ids[a:b][use][owner]
                 held.append(data)
                 size += data.nbytes
                 if size > 1 << 25:
@@ -310,203 +349,234 @@ def _groups(
             yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        data = np.concatenate([unpacked(b) for b in table.column("data").to_pylist()])
-        rows = meetings(data, NARROW)
-        return pa.table({c: pa.array(rows[:, i]) for i, c in enumerate(("a", "b", "na", "nb", "c"))})
-
-    # what two sets have in common beyond the columns is at most the rest of one of them
-    rest = [f"(({num} * {n} + {den - 1}) div {den} - 1)" for n in ("na", "nb")]
-    enough = f"({num} * (na + nb) + {num + den - 1}) div {num + den}"
-    bound = f"c >= {SURE} OR c + greatest({rest[0]}, {rest[1]}) >= {enough} AND least(na, nb) * {den} >= {num} * greatest(na, nb)"
-    shape = "a long, b long, na long, nb long, c long"
-    met = few.mapInArrow(sign, "bucket int, data binary").groupBy("bucket").applyInArrow(meet, shape)
-    shared = met.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(bound).select("a", "b")
-    named = of.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"))  # rows with one doc_id: one node
+        data = [unpacked(b) for b in table.column("data").to_pylist() if b]
+        pairs = [np.frombuffer(b, dtype="<i8").reshape(-1, 2) for b in table.column("pairs").to_pylist() if b]
+        if data:
+            pairs.append(neighbours(np.concatenate(data), num, den))
+        rows = np.unique(np.concatenate(pairs), axis=0)
+        return pa.table({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1])})
+
+    signed = docs.mapInArrow(sign, "bucket int, data binary, pairs binary")
+    return signed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` joined with ``ids`` on doc_id; a bitmap of the ids keeps other texts from being shuffled."""
+    word, bit = F.expr(f"pmod(xxhash64(doc_id), {64 * WORDS}) div 64"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))")
+    bitmap = ids.select(word.alias("__w"), bit.alias("__b")).groupBy("__w").agg(F.bit_or("__b").alias("__bits"))
+    few = docs.withColumn("__w", word).join(F.broadcast(bitmap), "__w")  # WORDS rows at most
+    few = few.where(F.col("__bits").bitwiseAND(bit) != 0).drop("__w", "__bits")
+    return few.join(ids.hint("merge"), "doc_id")
+
+
+def _groups(
+    docs: DataFrame, words: int, num: int, den: int, limit: int, counted: bool
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(profile, components, links).
+
+    profile: doc_id, n, x, y (size and digests of the set), rep (smallest doc_id with
+    an equal set, null for empty sets), a row for each row of ``docs``. components:
+    a, b for each rep that isn't the smallest of its component, and that smallest.
+    links, if ``counted``: n, x, y and linked, the rows that link to the set, those
+    with the set itself among them; sets of one row that link to no other may be absent.
+    """
+    few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    read, levels = _counted(few, words)
+    # classes of one row need no join; the others are joined salted, as one may hold a third of all rows
+    real = read.where("n > 0 and doc_id is not null")
+    classes = real.groupBy("n", "x", "y").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
+    classes = written(classes.where("c > 1"), "classes")
+    equal = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("c")
+    salted = read.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rep = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("least", "doc_id")).alias("rep")
+    of = written(salted.join(equal, ["n", "x", "y", "salt"], "left").select("doc_id", "n", "x", "y", rep), "reps")
+    # rows with one doc_id are one node: their reps are tied
+    named = of.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("top"))
+    moved = written(named.where("rep != doc_id or rep != top"), "moved")
+    tied = of.join(moved.where("rep != top").select("doc_id", F.col("rep").alias("b")), "doc_id")
+    tied = tied.select(F.col("rep").alias("a"), "b").where("a != b").distinct()
+    shared = _pairs(few, words, num, den, levels)
     for c in ("a", "b"):
-        shared = shared.distinct().join(named.withColumnRenamed("doc_id", c), c).drop(c).withColumnRenamed("rep", c)
-    # rows with one doc_id and different sets: their reps are one node
-    tied = of.where("rep is not null").join(named.withColumnRenamed("rep", "b"), "doc_id").select(F.col("rep").alias("a"), "b")
-    tied = written(tied.where("a != b").distinct(), "tied")
-    blocks = components(shared.select("a", "b").union(tied))
+        own = moved.select(F.col("doc_id").alias(c), "rep")
+        other = "b" if c == "a" else "a"
+        shared = shared.join(own, c, "left").select(F.coalesce("rep", c).alias(c), other)
+    tied = written(tied, "tied")
+    blocks = components(shared.select("a", "b").where("a != b").union(tied))
     block = blocks.union(blocks.select(F.col("b").alias("a"), "b").distinct()).toDF("doc_id", "block")
+    own = of.where("doc_id = rep").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    block = written(block.join(own, "doc_id"), "block")
+    size = block.groupBy("block").agg(F.count("*").alias("rows"), (8 * F.sum("n")).alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("rows") / F.lit(limit), F.col("bytes") / F.lit(PART_BYTES))).cast("int")
+    size = written(size.select("block", "bytes", parts.alias("parts")), "sizes")
+    lines = _incidence(few, block.select("doc_id", "block").join(size, "block"), words)
+    if counted:
+        told = written(_products(lines, size, classes, num, den), "product")
+        links = classes.join(told.groupBy("n", "x", "y").agg(F.sum("linked").alias("linked")), ["n", "x", "y"], "full_outer")
+        links = links.select("n", "x", "y", F.coalesce("linked", "c").alias("linked"))
+        return of, components(told.select("a", "b").where("a != b").union(tied)), links
+    joined = _products(lines.where("parts = 1"), size, None, num, den).select("a", "b").where("a != b")
+    if size.where("parts > 1").limit(1).count():
+        joined = joined.union(_large_blocks(lines.where("parts > 1"), limit, num, den))
+    return of, components(joined.union(tied)), None
+
+
+def _incidence(docs: DataFrame, block: DataFrame, words: int) -> DataFrame:
+    """block, bytes, parts, doc_id, n, x, y, data (the sorted hashes) of the texts of ``block``'s ids."""
+    names = ["block", "bytes", "parts", "doc_id", "n", "x", "y", "data"]
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(words)
         for batch in batches:
-            texts, blobs, sizes = texts_of(batch), [], []
+            texts, columns = texts_of(batch), [[], [], [], []]
             for a, b in chunks(texts):
                 keys, counts = sets.read(texts[a:b])
-                stops = np.cumsum(counts)
-                blobs += [keys[i - c : i].tobytes() for i, c in zip(stops.tolist(), counts.tolist(), strict=True)]
-                sizes += counts.tolist()
-            columns = [batch.column("block"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "n", "data"])
-
-    shape = "block long, doc_id long, n long, data binary"
-    # always by sorting: a broadcast at small sizes only would hide what the join shuffles
-    lines = few.join(block.hint("merge"), "doc_id").select("block", "doc_id", "text").mapInArrow(incidence, shape).where("n > 0")
-    lines = written(lines, "incidence")
-    sizes = lines.groupBy("block").agg(F.count("*").alias("rows"))
-    small = lines.join(sizes.where(F.col("rows") <= limit), "block", "left_semi")
-    large = lines.join(sizes.where(F.col("rows") > limit), "block")
-    product = Product(num, den)
-
-    def links_of(table: pa.Table, rows: np.ndarray | None) -> pa.Table:
-        sets = [np.frombuffer(b, dtype=U64) for b in table.column("data").to_pylist()]
-        ids = table.column("doc_id").to_numpy()
-        found = product.links(sets, np.arange(len(sets)) if rows is None else rows, rows is None)
-        return pa.table({"a": pa.array([int(ids[r]) for r, _ in found], pa.int64()), "b": pa.array([int(ids[c]) for _, c in found], pa.int64())})
-
-    def multiply(table: pa.Table) -> pa.Table:
-        return links_of(table.sort_by("doc_id"), None)
+                stops = np.cumsum(counts).tolist()
+                made = [counts.tolist(), *[d.tolist() for d in digests(keys, counts)]]
+                made.append([keys[i - c : i].tobytes() for i, c in zip(stops, counts.tolist(), strict=True)])
+                for column, values in zip(columns, made, strict=True):
+                    column += values
+            made = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:4]], *made], names=names)
 
-    links = small.groupBy("block").applyInArrow(multiply, "a long, b long")
-    if large.limit(1).count():
-        links = links.union(_large_blocks(large, limit, product, links_of))
-    if counted:
-        classes = written(classes.select("n", "x", "y", "c"), "classes")
-        all_links = _links_by_class(lines, classes, limit, product)
-        all_links = classes.join(all_links, ["n", "x", "y"], "full_outer")
-        return of, components(links.union(tied)), all_links.select("n", "x", "y", F.coalesce("linked", "c").alias("linked"))
-    return of, components(links.union(tied)), None
+    shape = "block long, bytes long, parts int, doc_id long, n long, x long, y long, data binary"
+    lines = _texts_of(docs, block).select(*names[:4], "text")
+    return written(lines.mapInArrow(incidence, shape).where("n > 0"), "incidence")
 
 
-def _links_by_class(lines: DataFrame, classes: DataFrame, limit: int, product: Product) -> DataFrame:
-    """n, x, y, linked for each set of ``lines``; ``classes`` (n, x, y, c) has the rows of sets with several."""
+def _products(lines: DataFrame, size: DataFrame, classes: DataFrame | None, num: int, den: int) -> DataFrame:
+    """a, b, n, x, y, linked for each set of each pair of parts of a block.
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = batch.column("data").to_pylist()
-            keys, counts = np.frombuffer(b"".join(blobs), dtype=U64), np.array([len(b) // 8 for b in blobs], dtype=np.int64)
-            x, y = (sums_of(mix(keys ^ U64(salt)), counts).view(np.int64) for salt in (0, 0xA5A5A5A5))
-            columns = [batch.column("block"), batch.column("n"), pa.array(x), pa.array(y), batch.column("data")]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "n", "x", "y", "data"])
-
-    # rows with one doc_id bring a set several times
-    sets = lines.mapInArrow(name, "block long, n long, x long, y long, data binary").dropDuplicates(["block", "n", "x", "y"])
-    sets = written(sets.join(classes, ["n", "x", "y"], "left").withColumn("c", F.coalesce("c", F.lit(1))), "sets")
-    parts = sets.groupBy("block").agg(F.ceil(F.count("*") / F.lit(limit)).cast("int").alias("parts"))
-    dealt = sets.join(parts, "block").withColumn("own", F.pmod(F.xxhash64("x", "y"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(
-        "block", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "n", "x", "y", "c", "data"
-    )
+    b: the smallest id that a is connected with there; linked: the rows that link to
+    the set there, if ``classes`` (n, x, y, c) has the rows of sets with several.
+    Blocks of a few bytes share groups.
+    """
+    spark = lines.sparkSession
+    small = (F.col("parts") == 1) & (F.col("bytes") <= SMALL_BYTES)
+    total = size.where(small).agg(F.sum("bytes")).first()[0] or 0
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 * SMALL_BYTES) + 1)
+    if classes is not None:
+        lines = lines.join(classes.select("n", "x", "y", "c"), ["n", "x", "y"], "left")
+    weight = F.coalesce("c", F.lit(1)) if classes is not None else F.lit(1)
+    dealt = lines.withColumn("own", F.pmod(F.xxhash64("x", "y"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        F.when(small, -1 - F.pmod(F.xxhash64("block"), F.lit(bins))).otherwise(F.col("block")).alias("g"), small.alias("shared"),
+        F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
+        "block", "own", "doc_id", "n", "x", "y", weight.cast("long").alias("c"), "data",
+    )
+    names = ["a", "b", "n", "x", "y", "linked"]
 
     def multiply(table: pa.Table) -> pa.Table:
-        alone = table.column("p")[0].as_py() == table.column("q")[0].as_py()
+        table = table.sort_by([("block", "ascending"), ("doc_id", "ascending")])
+        columns = [table.column(c).to_numpy() for c in ("doc_id", "n", "x", "y", "c")]
         low = table.column("own").to_numpy() == table.column("p").to_numpy()
-        weight, linked = table.column("c").to_numpy(), np.zeros(len(table), dtype=np.int64)
+        alone = table.column("p")[0].as_py() == table.column("q")[0].as_py()
         sets = [np.frombuffer(b, dtype=U64) for b in table.column("data").to_pylist()]
-        left, right = np.flatnonzero(low), np.flatnonzero(low if alone else ~low)
-        if len(left) and len(right):
-            found = product.linked([sets[i] for i in left], [sets[i] for i in right])
-            linked[left] = found @ weight[right]
-            if not alone:
-                linked[right] = weight[left] @ found
-        return table.select(["n", "x", "y"]).append_column("linked", pa.array(linked))
-
-    told = dealt.groupBy("block", "p", "q").applyInArrow(multiply, "n long, x long, y long, linked long")
-    return told.groupBy("n", "x", "y").agg(F.sum("linked").alias("linked"))
-
-
-def _large_blocks(large: DataFrame, limit: int, product: Product, links_of) -> DataFrame:
-    """Links within the blocks of more than ``limit`` rows."""
-    slices = F.ceil(F.col("rows") / F.lit(limit)).cast("int")
-    dealt = large.withColumn("slice", F.pmod(F.xxhash64("doc_id"), slices).cast("int"))
+        blocks = table.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        made = [_block_links(np.arange(i, j), sets, columns, low, alone, num, den) for i, j in zip(cuts, cuts[1:], strict=False)]
+        rows = np.concatenate(made)
+        return pa.table({c: pa.array(rows[:, i]) for i, c in enumerate(names)})
+
+    return dealt.groupBy("g", "shared", "p", "q").applyInArrow(multiply, ", ".join(f"{c} long" for c in names))
+
+
+def _block_links(rows: np.ndarray, sets: list, columns: list, low: np.ndarray, alone: bool, num: int, den: int) -> np.ndarray:
+    """The rows that ``_products`` tells of one pair of parts; ``rows`` are ordered by id."""
+    ids, n, x, y, c = columns
+    lead: dict[tuple, int] = {}
+    first = np.array([lead.setdefault((n[i], x[i], y[i]), i) for i in rows.tolist()])
+    again = rows[first != rows]  # rows with one doc_id may bring an equal set again
+    out = [np.stack([ids[again], ids[first[first != rows]], n[again], x[again], y[again], np.zeros(len(again), dtype=np.int64)], axis=1)]
+    rows = rows[first == rows]
+    left = rows[low[rows]]
+    right = left if alone else rows[~low[rows]]
+    if len(left) and len(right):
+        found = linked([sets[i] for i in left], [sets[i] for i in right], num, den)
+        own, other = groups_of(found)
+        least = np.full(len(left), np.iinfo(np.int64).max)
+        np.minimum.at(least, own, ids[left])
+        np.minimum.at(least, other[other >= 0], ids[right][other >= 0])
+        sides = [(left, least[own], found @ c[right])]
+        if not alone:
+            sides.append((right, np.where(other >= 0, least[other], ids[right]), c[left] @ found))
+        out += [np.stack([ids[s], b, n[s], x[s], y[s], k], axis=1) for s, b, k in sides]
+    return np.concatenate(out).astype(np.int64)
+
+
+def _large_blocks(large: DataFrame, limit: int, num: int, den: int) -> DataFrame:
+    """a, b: links that connect all that is linked within blocks of several parts."""
+    dealt = large.withColumn("slice", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
     first = large.where("doc_id = block").dropDuplicates(["block"])
-    first = first.select("block", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("data").alias("head"))
-    shape = "block long, slice int, rows long, doc_id long, n long, data binary, linked boolean"
+    first = first.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), F.col("data").alias("head"))
+    names = ["block", "slice", "parts", "doc_id", "data"]
+    shape = "block long, slice int, parts int, doc_id long, data binary, star boolean"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
+            star = []
             for mine, head in zip(batch.column("data").to_pylist(), batch.column("head").to_pylist(), strict=True):
                 a, b = np.frombuffer(mine, dtype=U64), np.frombuffer(head, dtype=U64)
                 overlap = len(np.intersect1d(a, b, assume_unique=True))
-                linked.append(product.den * overlap >= product.num * (len(a) + len(b) - overlap))
-            names = ["block", "slice", "rows", "doc_id", "n", "data"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(linked, pa.bool_())], names=[*names, "linked"])
+                star.append(den * overlap >= num * (len(a) + len(b) - overlap))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(star, pa.bool_())], names=[*names, "star"])
 
     compared = written(dealt.join(first, ["block", "slice"]).mapInArrow(compare, shape), "compared")
-    star = compared.where("linked and doc_id != block").select(F.col("doc_id").alias("a"), F.col("block").alias("b"))
-    loose = compared.where("not linked")
-    apart = loose.groupBy("block").agg(F.count("*").alias("loose"))
-    parts = F.ceil(F.col("loose") / F.lit(limit)).cast("int")
+    star = compared.where("star and doc_id != block").select(F.col("doc_id").alias("a"), F.col("block").alias("b"))
+    loose = compared.where("not star")
+    apart = loose.groupBy("block").agg(F.count("*").alias("loose"), F.sum(F.octet_length("data")).alias("bytes"))
+    turns = F.ceil(F.greatest(F.col("loose") / F.lit(limit), F.col("bytes") / F.lit(PART_BYTES))).cast("int")
+    apart = apart.select("block", turns.alias("turns"))
     rows = loose.join(apart, "block").select(
-        "block", F.pmod(F.hash("doc_id"), parts).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "doc_id", "data", F.lit(True).alias("row"),
+        "block", F.pmod(F.hash("doc_id"), "turns").cast("int").alias("turn"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), "doc_id", "data", F.lit(True).alias("row"),
     )
     columns = compared.join(apart, "block").select(
-        "block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "slice", "doc_id", "data", F.lit(False).alias("row")
+        "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "slice", "doc_id", "data", F.lit(False).alias("row")
     )
 
     def multiply(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("row", "descending"), ("doc_id", "ascending")])
-        return links_of(table, np.arange(int(np.sum(table.column("row").to_numpy(zero_copy_only=False)))))
+        ids, own = table.column("doc_id").to_numpy(), table.column("row").to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(b, dtype=U64) for b in table.column("data").to_pylist()]
+        left, right = np.flatnonzero(own), np.flatnonzero(~own)
+        a, b = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        if len(left) and len(right):
+            rows, columns = groups_of(linked([sets[i] for i in left], [sets[i] for i in right], num, den))
+            lead = ids[left]
+            a = np.concatenate([lead, ids[right][columns >= 0]])
+            b = np.concatenate([lead[rows], lead[columns[columns >= 0]]])
+        return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
 
-    crossed = rows.union(columns).groupBy("block", "part", "slice").applyInArrow(multiply, "a long, b long")
+    crossed = rows.union(columns).groupBy("block", "turn", "slice").applyInArrow(multiply, "a long, b long")
     return star.union(crossed)
 
 
-def _frequent(few: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``HOT`` most frequent n-grams, sorted, and their places from 1 by count."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, seen, held, size = Sets(words), set(), [], 0
-
-        def told() -> pa.RecordBatch:
-            found, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= HOT_TASK
-            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["h", "c"])
-
-        for batch in batches:
-            texts = texts_of(batch)
-            for a, b in chunks(texts):
-                keys, counts = sets.read(texts[a:b])
-                whole = sums_of(mix(keys), counts)
-                new = np.array([h not in seen and not seen.add(h) for h in whole.tolist()], dtype=bool)
-                held.append(keys[np.repeat(new, counts)])
-                size += len(held[-1])
-                if size > 1 << 23:
-                    yield told()
-                    held, size = [], 0
-        if held:
-            yield told()
-
-    often = few.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT_LEAST)
-    got = often.orderBy(F.desc("c"), "h").limit(HOT).toPandas()
-    hot = got["h"].to_numpy().astype(np.int64).view(U64)
-    rank = np.arange(len(hot), 0, -1)
-    order = np.argsort(hot)
-    return hot[order], rank[order]
+def _labelled(of: DataFrame, joined: DataFrame) -> DataFrame:
+    """``of`` with component_id."""
+    joined = joined.select(F.col("a").alias("rep"), F.col("b").alias("__least"))
+    return of.join(joined, "rep", "left").withColumn("component_id", F.coalesce("__least", "rep", "doc_id"))
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, limit: int = 2048) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
-    of, joined = jaccard_groups(docs, words, num, den, limit)
-    joined = joined.select(F.col("a").alias("rep"), F.col("b").alias("__least"))
-    out = of.join(joined, "rep", "left")
-    least = F.coalesce("__least", "rep", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"))
+    of, joined, _ = _groups(docs, words, num, den, limit, False)
+    return _labelled(of, joined).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def jaccard_links(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, limit: int = 2048) -> DataFrame:
+def jaccard_links(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for each row.
 
     n_links: the other rows that link to it, exact copies among them; 0 for an empty
     set, null for a null doc_id.
     """
-    of, joined, classes = _groups(docs, words, num, den, limit, True)
-    joined = joined.select(F.col("a").alias("rep"), F.col("b").alias("__least"))
-    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of, joined, links = _groups(docs, words, num, den, limit, True)
+    links = links.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = of.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = out.join(classes, ["n", "x", "y", "salt"], "left").join(joined, "rep", "left")
-    least = F.coalesce("__least", "rep", "doc_id")
-    links = F.when(F.col("rep").isNotNull(), F.coalesce("linked", F.lit(1)) - 1).when(F.col("doc_id").isNotNull(), 0)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"), links.cast("long").alias("n_links"))
+    out = _labelled(out.join(links, ["n", "x", "y", "salt"], "left"), joined)
+    told = F.when(F.col("rep").isNotNull(), F.coalesce("linked", F.lit(1)) - 1).when(F.col("doc_id").isNotNull(), 0)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", told.cast("long").alias("n_links"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, limit: int = 2048, nameless: bool = False) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, limit: int = LIMIT, nameless: bool = False) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group, one for each doc_id and text.
 
     Rows without a doc_id or words stay. If ``nameless``, rows with words and no doc_id

@@ -18,11 +18,6 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
-
-
-def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op2_ngram_jaccard, with the number of links of each document."""
     return ngram_join.jaccard_links(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
@@ -64,7 +59,6 @@ def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_ngram_jaccard": op2_ngram_jaccard,
-        "op2_ngram_links": op2_ngram_links,
         "op3_nb_svm": op3_nb_svm,
         "op4_kneser_ney": op4_kneser_ney,
         "op5_bitmap_bpe": op5_bitmap_bpe,
@@ -102,19 +96,14 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
-SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.other) AS component_id
+SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.other) AS component_id,
+       CAST((SELECT count(*) FROM e WHERE e.a = w.doc_id) AS BIGINT) AS n_links
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id
 """
 
-OP2_LINKS_SQL = OP2_SQL.replace(
-    "AS component_id\n", "AS component_id, CAST((SELECT count(*) FROM e WHERE e.a = w.doc_id) AS BIGINT) AS n_links\n"
-)
-
-
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1_SQL,
         "op2_ngram_jaccard": OP2_SQL,
-        "op2_ngram_links": OP2_LINKS_SQL,
         "op7_link_graph": urlfilter.judge_sql(),
     }

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from kvspark.llm import ngram_join
 from kvspark.llm.ngram_join import jaccard_components, jaccard_links, keep_one
 
@@ -72,13 +74,59 @@ def test_one_stays(spark, documents):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 3, 9, None]
 
 
-def test_frequent_ngrams_change_the_work_only(spark, documents, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HOT_LEAST", 1)
-    monkeypatch.setattr(ngram_join, "HOT_TASK", 1)
-    monkeypatch.setattr(ngram_join, "HOT", 40)
+def test_levels_change_the_work_only(spark, documents, monkeypatch):
     rows = some_rows(5)
-    got = sorted(map(tuple, jaccard_components(documents(rows), 3, 8, 10, 5).collect()), key=str)
-    assert got == brute(rows, 3, 8, 10)
+    want = brute(rows, 3, 8, 10)
+    for step in (8, 0):  # with and without an order by frequency
+        monkeypatch.setattr(ngram_join, "level_of", lambda counts, step=step: (np.log2(np.maximum(counts, 1)) * step).astype(np.uint8))
+        got = sorted(map(tuple, jaccard_components(documents(rows), 3, 8, 10, 5).collect()), key=str)
+        assert got == want
+
+
+def test_counts_of_many_tasks(monkeypatch):
+    rng = np.random.default_rng(1)
+    total, parts = np.zeros(1 << 10, dtype=np.uint64), []
+    for _ in range(5):
+        counts = rng.integers(0, 3, 1 << 10).astype(np.uint32) * rng.integers(0, 2, 1 << 10).astype(np.uint32) * 70_000
+        ngram_join.add_sparse(total, ngram_join.sparse(counts))
+        parts.append(counts)
+    assert (total == np.sum(parts, axis=0)).all()
+
+
+def test_copies_and_near_copies_over_many_partitions(spark, documents):
+    """A group of exact copies, and one of more near copies than ``limit``, dealt over 200 partitions."""
+    base = [f"w{i}" for i in range(60)]
+    near = [f"v{i}" for i in range(300)]
+    rows = [(i, " ".join(base)) for i in range(300)]
+    rows += [(1000 + i, " ".join([*near[: i % 300], f"new{i}", *near[i % 300 + 1 :]])) for i in range(150)]
+    rows += [(5000 + i, " ".join(f"u{i}.{j}" for j in range(30))) for i in range(50)]
+    docs = documents(rows).repartition(200)
+    want = {i: (0, 299) for i in range(300)} | {1000 + i: (1000, 149) for i in range(150)} | {5000 + i: (5000 + i, 0) for i in range(50)}
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_links(docs, limit=40).collect()}
+    assert got == want
+    kept = keep_one(docs, words=3, num=9, den=10, limit=40)
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {0, 1000, *range(5000, 5050)}
+
+
+def test_a_column_makes_fewer_pairs_than_rows():
+    rng = np.random.default_rng(2)
+    data = np.zeros(5000, dtype=ngram_join.PAIR)
+    data["s"], data["id"], data["n"] = rng.integers(0, 3, 5000), rng.permutation(5000), rng.integers(10, 400, 5000)
+    lead, pairs = ngram_join.same_size(ngram_join.in_order(data))
+    assert len(pairs) + len(lead) == 5000 and len(ngram_join.neighbours(lead, 9, 10)) < len(lead)
+
+
+def test_linked_sets(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(ngram_join, "DENSE", 8)
+    for num, den in ((9, 10), (8, 10), (5, 10)):
+        base = rng.integers(0, 1000, 60).astype(np.uint64)
+        sets = [np.unique(np.where(rng.random(60) < r, rng.integers(0, 1000, 60), base).astype(np.uint64)[: rng.integers(1, 61)]) for r in rng.random(150) * 0.4]
+        both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+        size = np.array([len(s) for s in sets])
+        want = den * both >= num * (size[:, None] + size - both)
+        assert (ngram_join.linked(sets[:70], sets[70:], num, den) == want[:70, 70:]).all()
+        assert (ngram_join.linked(sets, sets, num, den) == want).all()
 
 
 def brute_links(rows, k, num, den):
