@@ -296,7 +296,7 @@ def _counted(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         if parts == 1:
             break
     levels = np.zeros((1 << (COUNTER_BITS - SLICE_BITS), 1 << SLICE_BITS), dtype=np.uint8)
-    for row in told.select("slice", "data").toLocalIterator():  # a row for each slice
+    for row in told.select("slice", "data").collect():  # a row for each slice
         total = np.zeros(1 << SLICE_BITS, dtype=np.uint64)
         add_sparse(total, row["data"])
         levels[row["slice"]] = level_of(total)
