@@ -36,6 +36,7 @@ columns are ignored. Hashes of n-grams have 64 bits.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,9 @@ SALTS = 16
 COUNTER_BITS, SLICE_BITS, FAN = 22, 16, 256
 #: The bitmap of ids has this many words of 64 bits.
 WORDS = 1 << 20
-LIMIT, PART_BYTES, SMALL_BYTES = 2048, 1 << 26, 1 << 20
+LIMIT, PART_BYTES, SMALL_BYTES = 2048, 1 << 23, 1 << 20
+#: So many rows of a product are compared by size at a time.
+STRIP = 256
 DENSE, NAMELESS, SEEN = 1024, 1 << 61, 200_000
 LOWER = bytes(range(256)).lower()
 
@@ -115,10 +118,11 @@ def unplanes(blob: bytes, n: int, dtype: str, offset: int) -> np.ndarray:
 def sparse(counts: np.ndarray) -> bytes:
     """Steps between the counters of a slice that aren't zero, and their counts."""
     at = np.flatnonzero(counts)
-    return planes(np.diff(at, prepend=0).astype("<u2")) + planes(counts[at].astype("<u4"))
+    return zlib.compress(planes(np.diff(at, prepend=0).astype("<u2")) + planes(counts[at].astype("<u4")), 1)
 
 
 def add_sparse(total: np.ndarray, blob: bytes) -> None:
+    blob = zlib.decompress(blob)
     n = len(blob) // 6
     at = np.cumsum(unplanes(blob, n, "<u2", 0).astype(np.int64))
     total[at] += unplanes(blob, n, "<u4", 2 * n)
@@ -186,21 +190,26 @@ def texts_of(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Whether each set of ``left`` links to each of ``right``.
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> np.ndarray:
+    """Whether each set of ``left`` links to each of ``right`` (None: of ``left``).
 
     Columns that many of both have are multiplied densely, the others by postings.
     Pairs are discarded as soon as what they may still have in common is too little.
     """
-    size = [np.array([len(s) for s in part], dtype=np.int64) for part in (left, right)]
-    small, large = np.minimum(size[0][:, None], size[1]), np.maximum(size[0][:, None], size[1])
-    alive = den * small >= num * large
-    need = (-(-num * (small + large) // (num + den))).astype(np.float32)
-    del small, large
+    alone = right is None
+    size = [np.array([len(s) for s in part], dtype=np.int64) for part in ((left,) if alone else (left, right))]
+    _, codes = np.unique(np.concatenate(left if alone else [*left, *right]), return_inverse=True)
+    codes = codes.astype(np.int32)
+    own = [codes[: size[0].sum()], codes if alone else codes[size[0].sum() :]]
+    size = [size[0], size[-1]]
+    alive = np.empty((len(size[0]), len(size[1])), dtype=bool)
+    need = np.empty(alive.shape, dtype=np.float32)
+    for at in range(0, len(alive), STRIP):
+        n = size[0][at : at + STRIP, None]
+        alive[at : at + STRIP] = den * np.minimum(n, size[1]) >= num * np.maximum(n, size[1])
+        need[at : at + STRIP] = -(-num * (n + size[1]) // (num + den))
     overlap = np.zeros(alive.shape, dtype=np.float32)
-    _, codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    own = codes[: size[0].sum()], codes[size[0].sum() :]
-    whose = [np.repeat(np.arange(len(n)), n) for n in size]
+    whose = [np.repeat(np.arange(len(n), dtype=np.int32), n) for n in size]
     met = np.prod([np.bincount(c, minlength=codes.max() + 1) for c in own], axis=0)
     place = np.full(len(met), -1)
     dense = np.flatnonzero(met > max(64, overlap.size // 32))
@@ -209,7 +218,9 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int)
     rest = [np.bincount(w[met[c] > 0], minlength=len(n)) for c, w, n in zip(own, whose, size, strict=True)]
 
     def discard() -> None:
-        alive[...] &= overlap + np.minimum(rest[0][:, None], rest[1]) >= need
+        for at in range(0, len(alive), STRIP):
+            part = slice(at, at + STRIP)
+            alive[part] &= overlap[part] + np.minimum(rest[0][part, None], rest[1]) >= need[part]
 
     discard()
     for first in range(0, len(dense), DENSE):
@@ -236,8 +247,9 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int)
             continue
         n = high[a:z] - low[a:z]
         take = holder[np.repeat(low[a:z] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        overlap[r] += np.bincount(take[alive[r][take]], minlength=len(right))
-    return alive & (overlap >= need)
+        overlap[r] += np.bincount(take[alive[r][take]], minlength=len(size[1]))
+    alive &= overlap >= need
+    return alive
 
 
 def groups_of(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -403,26 +415,32 @@ def _groups(
     tied = written(tied, "tied")
     blocks = components(shared.select("a", "b").where("a != b").union(tied))
     block = blocks.union(blocks.select(F.col("b").alias("a"), "b").distinct()).toDF("doc_id", "block")
-    own = of.where("doc_id = rep").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    # rows of the set that an id is the smallest of; null if it is that of several sets
+    own = of.where("doc_id = rep").select("doc_id", "n", "x", "y").distinct().join(classes.drop("least"), ["n", "x", "y"], "left")
+    only = F.when(F.count("*") == 1, F.coalesce(F.first("c"), F.lit(1)))
+    own = own.groupBy("doc_id").agg(F.sum("n").alias("n"), only.alias("c"))
     block = written(block.join(own, "doc_id"), "block")
     size = block.groupBy("block").agg(F.count("*").alias("rows"), (8 * F.sum("n")).alias("bytes"))
     parts = F.ceil(F.greatest(F.col("rows") / F.lit(limit), F.col("bytes") / F.lit(PART_BYTES))).cast("int")
     size = written(size.select("block", "bytes", parts.alias("parts")), "sizes")
-    lines = _incidence(few, block.select("doc_id", "block").join(size, "block"), words)
+    block = block.select("doc_id", "block", "c").join(size, "block")
     if counted:
-        told = written(_products(lines, size, classes, num, den), "product")
+        lines = _incidence(few, block, words)
+        several = lines.where("c is null").drop("c").join(classes.select("n", "x", "y", "c"), ["n", "x", "y"], "left")
+        lines = lines.where("c is not null").unionByName(several) if block.where("c is null").limit(1).count() else lines
+        told = written(_products(lines, size, num, den), "product")
         links = classes.join(told.groupBy("n", "x", "y").agg(F.sum("linked").alias("linked")), ["n", "x", "y"], "full_outer")
         links = links.select("n", "x", "y", F.coalesce("linked", "c").alias("linked"))
         return of, components(told.select("a", "b").where("a != b").union(tied)), links
-    joined = _products(lines.where("parts = 1"), size, None, num, den).select("a", "b").where("a != b")
+    joined = _products(_incidence(few, block.where("parts = 1"), words), size, num, den).select("a", "b").where("a != b")
     if size.where("parts > 1").limit(1).count():
-        joined = joined.union(_large_blocks(lines.where("parts > 1"), limit, num, den))
+        joined = joined.union(_large_blocks(_incidence(few, block.where("parts > 1"), words), limit, num, den))
     return of, components(joined.union(tied)), None
 
 
 def _incidence(docs: DataFrame, block: DataFrame, words: int) -> DataFrame:
-    """block, bytes, parts, doc_id, n, x, y, data (the sorted hashes) of the texts of ``block``'s ids."""
-    names = ["block", "bytes", "parts", "doc_id", "n", "x", "y", "data"]
+    """The columns of ``block`` with n, x, y, data (the sorted hashes) of its ids' texts."""
+    names = ["block", "bytes", "parts", "doc_id", "c", "n", "x", "y", "data"]
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(words)
@@ -436,32 +454,29 @@ def _incidence(docs: DataFrame, block: DataFrame, words: int) -> DataFrame:
                 for column, values in zip(columns, made, strict=True):
                     column += values
             made = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:4]], *made], names=names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:5]], *made], names=names)
 
-    shape = "block long, bytes long, parts int, doc_id long, n long, x long, y long, data binary"
-    lines = _texts_of(docs, block).select(*names[:4], "text")
-    return written(lines.mapInArrow(incidence, shape).where("n > 0"), "incidence")
+    shape = "block long, bytes long, parts int, doc_id long, c long, n long, x long, y long, data binary"
+    lines = _texts_of(docs, block).select(*names[:5], "text")
+    return lines.mapInArrow(incidence, shape).where("n > 0")
 
 
-def _products(lines: DataFrame, size: DataFrame, classes: DataFrame | None, num: int, den: int) -> DataFrame:
+def _products(lines: DataFrame, size: DataFrame, num: int, den: int) -> DataFrame:
     """a, b, n, x, y, linked for each set of each pair of parts of a block.
 
     b: the smallest id that a is connected with there; linked: the rows that link to
-    the set there, if ``classes`` (n, x, y, c) has the rows of sets with several.
-    Blocks of a few bytes share groups.
+    the set there, by the rows c of each set (null: one). Blocks of a few bytes share
+    groups.
     """
     spark = lines.sparkSession
     small = (F.col("parts") == 1) & (F.col("bytes") <= SMALL_BYTES)
     total = size.where(small).agg(F.sum("bytes")).first()[0] or 0
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 * SMALL_BYTES) + 1)
-    if classes is not None:
-        lines = lines.join(classes.select("n", "x", "y", "c"), ["n", "x", "y"], "left")
-    weight = F.coalesce("c", F.lit(1)) if classes is not None else F.lit(1)
     dealt = lines.withColumn("own", F.pmod(F.xxhash64("x", "y"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         F.when(small, -1 - F.pmod(F.xxhash64("block"), F.lit(bins))).otherwise(F.col("block")).alias("g"), small.alias("shared"),
         F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-        "block", "own", "doc_id", "n", "x", "y", weight.cast("long").alias("c"), "data",
+        "block", "own", "doc_id", "n", "x", "y", F.coalesce("c", F.lit(1)).alias("c"), "data",
     )
     names = ["a", "b", "n", "x", "y", "linked"]
 
@@ -491,7 +506,7 @@ def _block_links(rows: np.ndarray, sets: list, columns: list, low: np.ndarray, a
     left = rows[low[rows]]
     right = left if alone else rows[~low[rows]]
     if len(left) and len(right):
-        found = linked([sets[i] for i in left], [sets[i] for i in right], num, den)
+        found = linked([sets[i] for i in left], None if alone else [sets[i] for i in right], num, den)
         own, other = groups_of(found)
         least = np.full(len(left), np.iinfo(np.int64).max)
         np.minimum.at(least, own, ids[left])
@@ -505,6 +520,7 @@ def _block_links(rows: np.ndarray, sets: list, columns: list, low: np.ndarray, a
 
 def _large_blocks(large: DataFrame, limit: int, num: int, den: int) -> DataFrame:
     """a, b: links that connect all that is linked within blocks of several parts."""
+    large = written(large, "large")
     dealt = large.withColumn("slice", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
     first = large.where("doc_id = block").dropDuplicates(["block"])
     first = first.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), F.col("data").alias("head"))
