@@ -51,11 +51,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def worker_cache(key: str, make):
+def worker_cache(key: str, make, large: bool = False):
     """A value that a Python worker keeps over its tasks (functions are pickled
-    by value, so their own globals live for one task only)."""
+    by value, so their own globals live for one task only).
+
+    Of ``large`` values, models and vocabularies, a worker keeps one: the next
+    operator's takes the place of the one before.
+    """
     held = sys.__dict__.setdefault("_kvspark_cache", {})
     if key not in held:
+        if large:
+            for other in held.pop("", ()):
+                held.pop(other, None)
+            held[""] = (key,)
         held[key] = make()
     return held[key]
 

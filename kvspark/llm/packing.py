@@ -185,7 +185,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, wi
     few = columns_as(docs, doc_id="doc_id", text="text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = worker_cache(f"packing:{path}:{added}", lambda: Ids(path, pattern, added=added))
+        ids = worker_cache(f"packing:{path}:{added}", lambda: Ids(path, pattern, added=added), large=True)
         packer = Packer(TaskContext.get().partitionId() << 32, window, tiers)
         end = end_id.to_bytes(4, "little")
 

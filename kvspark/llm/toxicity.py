@@ -35,97 +35,130 @@ from kvspark.llm._labels import fit_logistic, held_out, labelled_sample, logisti
 
 ORDER, DISCOUNT, MAX_ROWS = 5, 0.75, 20_000
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+#: An n-gram of up to 7 bytes is a number: its length in the top byte, its bytes below.
+LENGTH, BODY = 56, (1 << 56) - 1
+#: Words and n-grams that a task remembers.
+KEEP_WORDS, KEEP_GRAMS = 200_000, 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LETTERS).split()
 
 
-def grams(word: bytes, order: int) -> list[bytes]:
-    """For each byte after the start mark: it and up to order - 1 bytes before it."""
-    marked = b"^" + word + b"$"
-    return [marked[max(0, i - order + 1) : i + 1] for i in range(1, len(marked))]
+def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte after a word's start mark the n-gram of it and up to order - 1 bytes before it, and its word."""
+    raw = np.frombuffer(b"^" + b"$^".join(words) + b"$", dtype=np.uint8).astype(np.int64)
+    sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    place = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    body = raw.copy()
+    for back in range(1, order):
+        body[back:] |= raw[:-back] << (8 * back)
+    size = np.minimum(place + 1, order)
+    inner = place > 0
+    return ((size << LENGTH) | (body & ((1 << 8 * size) - 1)))[inner], np.repeat(np.arange(len(words)), sizes)[inner]
 
 
-class Shared:
-    """Continuation counts by n-gram (shorter than the top order), with totals and types by context."""
+def context_of(gram: np.ndarray) -> np.ndarray:
+    """Without the last byte."""
+    return (((gram >> LENGTH) - 1) << LENGTH) | ((gram & BODY) >> 8)
 
-    def __init__(self, counts: dict[bytes, int], totals: dict[bytes, int], types: dict[bytes, int]) -> None:
-        self.counts, self.totals, self.types = counts, totals, types
-        self.known: dict[bytes, float] = {b"": 1 / 256}
 
-    def p(self, gram: bytes) -> float:
-        found = self.known.get(gram)
-        if found is None:
-            context, lower = gram[:-1], self.p(gram[1:])
-            total = self.totals.get(context, 0)
-            found = lower
-            if total:
-                seen = max(self.counts.get(gram, 0) - DISCOUNT, 0) / total
-                found = seen + DISCOUNT * self.types[context] / total * lower
-            self.known[gram] = found
-        return found
+def back_of(gram: np.ndarray) -> np.ndarray:
+    """Without the first byte."""
+    size = (gram >> LENGTH) - 1
+    return (size << LENGTH) | (gram & ((1 << 8 * size) - 1))
 
 
-def evidence(counts: list[dict[bytes, int]], shared: Shared) -> tuple[dict[bytes, float], dict[bytes, float]]:
+class Table:
+    """Numbers by n-gram; ``rest`` for others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def get(self, keys: np.ndarray, rest: float | np.ndarray = 0.0) -> np.ndarray:
+        if len(self.keys) == 0:
+            return np.broadcast_to(np.asarray(rest, dtype=np.float64), keys.shape)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], rest)
+
+
+class Counts:
+    """Counts by n-gram, with totals and types by context."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys, self.counts = keys, Table(keys, counts)
+        self.contexts, whose = np.unique(context_of(keys), return_inverse=True)
+        self.totals = Table(self.contexts, np.bincount(whose, weights=counts, minlength=len(self.contexts)))
+        self.types = Table(self.contexts, np.bincount(whose, minlength=len(self.contexts)))
+
+    def left(self, context: np.ndarray) -> np.ndarray:
+        """The share that a context leaves to the shorter one: all, if it was never seen."""
+        total = self.totals.get(context)
+        return np.where(total > 0, DISCOUNT * self.types.get(context) / np.maximum(total, 1), 1.0)
+
+    def own(self, gram: np.ndarray) -> np.ndarray:
+        """The discounted share of its context."""
+        total = self.totals.get(context_of(gram))
+        return np.where(total > 0, np.maximum(self.counts.get(gram) - DISCOUNT, 0) / np.maximum(total, 1), 0.0)
+
+    def p(self, gram: np.ndarray) -> np.ndarray:
+        """Interpolated probabilities; the empty n-gram is one byte of 256."""
+        out = np.full(len(gram), 1 / 256)
+        some = np.flatnonzero(gram >> LENGTH > 0)
+        if len(some):
+            lower, at = np.unique(back_of(gram[some]), return_inverse=True)
+            out[some] = self.own(gram[some]) + self.left(context_of(gram[some])) * self.p(lower)[at]
+        return out
+
+
+def evidence(classes: list[Counts], shared: Counts) -> tuple[Table, Table]:
     """Log-likelihood differences of the n-grams that a class has seen, and of others by context."""
-    totals, types = [Counter(), Counter()], [Counter(), Counter()]
-    for c in (0, 1):
-        for gram, k in counts[c].items():
-            totals[c][gram[:-1]] += k
-            types[c][gram[:-1]] += 1
-
-    def left(c: int, context: bytes) -> float:
-        total = totals[c].get(context, 0)
-        return DISCOUNT * types[c][context] / total if total else 1.0
-
-    contexts = {h: float(np.log(left(1, h) / left(0, h))) for h in totals[0].keys() | totals[1].keys()}
-    seen = {}
-    for gram in counts[0].keys() | counts[1].keys():
-        context, back = gram[:-1], shared.p(gram[1:])
-        p = []
-        for c in (0, 1):
-            total = totals[c].get(context, 0)
-            own = max(counts[c].get(gram, 0) - DISCOUNT, 0) / total if total else 0.0
-            p.append(own + left(c, context) * back)
-        seen[gram] = float(np.log(p[1] / p[0]))
-    return seen, contexts
+    contexts = np.union1d(classes[0].contexts, classes[1].contexts)
+    gram = np.union1d(classes[0].keys, classes[1].keys)
+    lower, at = np.unique(back_of(gram), return_inverse=True)
+    back = shared.p(lower)[at]
+    p = [c.own(gram) + c.left(context_of(gram)) * back for c in classes]
+    others = np.log(classes[1].left(contexts) / classes[0].left(contexts))
+    return Table(gram, np.log(p[1] / p[0])), Table(contexts, others)
 
 
 class Model:
-    def __init__(self, seen: dict[bytes, float], contexts: dict[bytes, float], order: int, keep: int = 400_000) -> None:
+    def __init__(self, seen: Table, contexts: Table, order: int, keep: int = KEEP_WORDS) -> None:
         self.seen, self.contexts, self.order, self.keep = seen, contexts, order, keep
         self.words: dict[bytes, float] = {}
         self.weights = np.zeros(3)
 
-    def word(self, word: bytes) -> float:
-        found = self.words.get(word)
-        if found is None:
-            found = 0.0
-            for gram in grams(word, self.order):
-                value = self.seen.get(gram)
-                found += self.contexts.get(gram[:-1], 0.0) if value is None else value
-            if len(word) <= 64:
-                if len(self.words) >= self.keep:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+    def told(self, words: list[bytes]) -> np.ndarray:
+        """The evidence of each word."""
+        gram, whose = grams(words, self.order)
+        value = self.seen.get(gram, self.contexts.get(context_of(gram)))
+        return np.bincount(whose, weights=value, minlength=len(words))
 
     def stats(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), 2))
-        known, word = self.words.get, self.word
-        for i, text in enumerate(texts):
-            words = words_of(text)
+        """Mean and largest evidence of each text's words."""
+        out, split = np.zeros((len(texts), 2)), [words_of(t) for t in texts]
+        fresh = set().union(*split)
+        if len(self.words) > self.keep:
+            self.words.clear()
+        new = list(fresh - self.words.keys())
+        if new:
+            self.words.update(zip(new, self.told(new).tolist(), strict=True))
+        value = self.words.__getitem__
+        for i, words in enumerate(split):
             if words:
-                got = [word(w) if (v := known(w)) is None else v for w in words]
+                got = list(map(value, words))
                 out[i] = sum(got) / len(got), max(got)
+        for word in new:
+            if len(word) > 64:
+                del self.words[word]
         return np.clip(out, -50, 50)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"words": {}}
 
 
-def _count(sample: DataFrame, order: int) -> list[dict[bytes, int]]:
+def _count(sample: DataFrame, order: int) -> list[Counts]:
     """n-gram counts of both classes; a word counts once for each text that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,65 +167,65 @@ def _count(sample: DataFrame, order: int) -> list[dict[bytes, int]]:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 held[label].update(set(words_of(text)))
         for c in (0, 1):
-            found = Counter()
-            for word, k in held[c].items():
-                for gram in grams(word, order):
-                    found[gram] += k
-            columns = [pa.array(list(found), pa.binary()), pa.array([c] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())]
+            gram, whose = grams(list(held[c]), order) if held[c] else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+            found, at = np.unique(gram, return_inverse=True)
+            times = np.bincount(at, weights=np.array(list(held[c].values()))[whose], minlength=len(found)) if len(found) else found
+            columns = [pa.array(found), pa.array(np.full(len(found), c, dtype=np.int32)), pa.array(times.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["gram", "label", "n"])
 
-    rows = sample.where("not check").select("text", "label").mapInArrow(run, "gram binary, label int, n long")
-    out: list[dict[bytes, int]] = [{}, {}]
-    for gram, label, n in rows.groupBy("gram", "label").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
-        out[label][bytes(gram)] = int(n)
-    return out
+    rows = sample.where("not check").select("text", "label").mapInArrow(run, "gram long, label int, n long")
+    got = rows.groupBy("gram", "label").agg(F.sum("n").alias("n")).toArrow()  # of the labelled sample
+    gram, label, n = (got.column(c).to_numpy() for c in ("gram", "label", "n"))
+    return [Counts(gram[label == c], n[label == c].astype(np.float64)) for c in (0, 1)]
 
 
-def _shared(docs: DataFrame, order: int, wanted: set[bytes]) -> Shared:
+def _shared(docs: DataFrame, order: int, wanted: np.ndarray) -> Counts:
     """Continuation counts over all documents, of the contexts that the class models can ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[bytes] = set()
-        words: set[bytes] = set()
+        told, words = np.empty(0, dtype=np.int64), set()
         for batch in batches:
             fresh: set[bytes] = set()
             for text in batch.column("text").to_pylist():
                 fresh.update(words_of(text))
             fresh -= words
-            found = {g for w in fresh for g in grams(w, order)} - told
-            told |= found
+            if not fresh:
+                continue
+            found = np.setdiff1d(grams(list(fresh), order)[0], told)
+            told = np.union1d(told, found)
             words |= fresh
-            if len(words) > 400_000:
+            if len(words) > KEEP_WORDS:
                 words = set()
-            if len(told) > 1_000_000:
-                told = set()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["gram"])
-
-    top = written(docs.select("text").mapInArrow(run, "gram binary").distinct(), "grams")
-    asked = docs.sparkSession.createDataFrame([(h,) for h in sorted(wanted)], "context binary")
+            if len(told) > KEEP_GRAMS:
+                told = told[:0]
+            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["gram"])
+
+    top = written(docs.select("text").mapInArrow(run, "gram long").distinct(), "grams")
+    asked = docs.sparkSession.createDataFrame(pa.table({"context": pa.array(wanted)}))
+    size = f"(shiftright(gram, {LENGTH}) - 1)"
+    back = f"shiftleft({size}, {LENGTH}) | (gram & (shiftleft(1L, cast(8 * {size} AS int)) - 1))"
+    context = f"shiftleft({size}, {LENGTH}) | shiftright(gram & {BODY}L, 8)"
     # the n-grams of a length are those of the next one without their first byte, counted by
     # those first bytes, and the ones that start a word
-    level, both = top.where(F.length("gram") == order), None
+    level, both = top.where(f"shiftright(gram, {LENGTH}) = {order}"), None
     for k in range(order - 1, 0, -1):
-        level = level.selectExpr("substring(gram, 2) AS gram").groupBy("gram").agg(F.count("*").alias("n"))
-        context = level.withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)"))
-        part = context.join(F.broadcast(asked), "context").select("context", "gram", "n")  # asked: of the labelled sample
-        both = part if both is None else both.union(part)
-        level = level.select("gram").union(top.where(F.length("gram") == k))
-    counts, totals, types = {}, Counter(), Counter()
-    for context, gram, n in both.toPandas().itertuples(index=False):
-        counts[bytes(gram)] = int(n)
-        totals[bytes(context)] += int(n)
-        types[bytes(context)] += 1
-    return Shared(counts, totals, types)
+        level = level.selectExpr(f"{back} AS gram").groupBy("gram").agg(F.count("*").alias("n"))
+        part = level.withColumn("context", F.expr(context)).join(F.broadcast(asked), "context")  # asked: of the labelled sample
+        both = part.select("gram", "n") if both is None else both.union(part.select("gram", "n"))
+        level = level.select("gram").union(top.where(f"shiftright(gram, {LENGTH}) = {k}"))
+    got = both.toArrow()
+    return Counts(got.column("gram").to_numpy(), got.column("n").to_numpy().astype(np.float64))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, order: int = ORDER) -> Model:
     """The class models from labelled rows that aren't held out, the shared one from all of ``docs``."""
     sample = labelled_sample(docs, labels, "toxic", max_rows)
-    counts = _count(sample, order)
-    wanted = {g[i:-1] for c in counts for g in c for i in range(1, len(g))}
-    model = Model(*evidence(counts, _shared(docs, order, wanted)), order)
+    classes = _count(sample, order)
+    wanted = [np.union1d(classes[0].contexts, classes[1].contexts)]
+    while len(wanted[-1]) and (wanted[-1] >> LENGTH).max() > 0:  # each context's shorter ones, down to the empty one
+        some = wanted[-1]
+        wanted.append(np.unique(back_of(some[some >> LENGTH > 0])))
+    model = Model(*evidence(classes, _shared(docs, order, np.unique(np.concatenate(wanted)))), order)
 
     def make(batch: pa.RecordBatch) -> list:
         stats = model.stats(batch.column("text").to_pylist())
@@ -211,7 +244,7 @@ def _scorer(docs: DataFrame, model: Model):
     name = f"toxicity:{context.applicationId}:{held._jbroadcast.id()}"
 
     def scores(batch: pa.RecordBatch) -> np.ndarray:
-        own = worker_cache(name, lambda: held.value)
+        own = worker_cache(name, lambda: held.value, large=True)
         return logistic(own.stats(batch.column("text").to_pylist()), own.weights)
 
     return scores

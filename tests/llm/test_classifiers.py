@@ -69,9 +69,9 @@ def test_no_labels_and_no_rows(spark, documents, call):
 def test_shared_counts_are_kneser_ney(spark, documents):
     """The shared model against one by definition, over all documents."""
     docs = [(1, "abc abd"), (2, "bca ab"), (3, None), (4, "ab")]
-    grams = {g for _, t in docs for w in toxicity.words_of(t) for g in toxicity.grams(w, 3)}
-    asked = {g[i:-1] for g in grams for i in range(1, len(g))}
-    shared = toxicity._shared(documents(docs).select("text"), 3, asked)
+    grams = {g for _, t in docs for w in toxicity.words_of(t) for g in plain_grams(w, 3)}
+    asked = {g[i:-1] for g in grams for i in range(len(g))}
+    shared = toxicity._shared(documents(docs).select("text"), 3, np.array(sorted(map(number, asked))))
 
     level, seen = {g for g in grams if len(g) == 3}, {}
     for k in (2, 1):
@@ -89,7 +89,54 @@ def test_shared_counts_are_kneser_ney(spark, documents):
         return max(same.get(gram, 0) - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * len(same) / total * lower
 
     for gram in (b"bc", b"ab", b"ca", b"b$", b"a", b"zz"):
-        assert shared.p(gram) == pytest.approx(by_definition(gram))
+        assert shared.p(np.array([number(gram)]))[0] == pytest.approx(by_definition(gram))
+
+
+def plain_grams(word, order):
+    marked = b"^" + word + b"$"
+    return [marked[max(0, i - order + 1) : i + 1] for i in range(1, len(marked))]
+
+
+def number(gram):
+    return len(gram) << toxicity.LENGTH | int.from_bytes(gram, "big")
+
+
+def test_grams_as_numbers():
+    words = [b"a", b"telephone", "größe".encode(), b"x" * 80]
+    gram, whose = toxicity.grams(words, 5)
+    want = [(number(g), i) for i, w in enumerate(words) for g in plain_grams(w, 5)]
+    assert list(zip(gram.tolist(), whose.tolist())) == want
+    some = np.array([number(b"abcde"), number(b"a")])
+    assert toxicity.context_of(some).tolist() == [number(b"abcd"), number(b"")]
+    assert toxicity.back_of(some).tolist() == [number(b"bcde"), number(b"")]
+
+
+def test_evidence_is_the_difference_of_two_models():
+    """The class models and the words' evidence against models by definition."""
+    texts = ([b"good", b"goal", b"mood"], [b"bad", b"bald", b"mad", b"good"])
+    alphabet = {g for words in texts for w in words for g in plain_grams(w, 3)}
+    shared_counts = {g[1:]: 2 for g in alphabet if len(g) > 1} | {g[2:]: 3 for g in alphabet if len(g) > 2}
+    counts = [{}, {}]
+    for c, words in enumerate(texts):
+        for w in words:
+            for g in plain_grams(w, 3):
+                counts[c][g] = counts[c].get(g, 0) + 1
+
+    def interpolated(table, gram, lower):
+        same = {g: n for g, n in table.items() if g[:-1] == gram[:-1] and len(g) == len(gram)}
+        total = sum(same.values())
+        if not total:
+            return lower
+        return max(same.get(gram, 0) - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * len(same) / total * lower
+
+    def shared_p(gram):
+        return interpolated(shared_counts, gram, shared_p(gram[1:])) if gram else 1 / 256
+
+    made = lambda table: toxicity.Counts(np.array(list(map(number, table)), dtype=np.int64), np.array(list(table.values()), dtype=float))
+    model = toxicity.Model(*toxicity.evidence([made(c) for c in counts], made(shared_counts)), 3)
+    words = [b"good", b"bad", b"mood", b"zebra", b"gold"]
+    want = [sum(np.log(interpolated(counts[1], g, shared_p(g[1:])) / interpolated(counts[0], g, shared_p(g[1:]))) for g in plain_grams(w, 3)) for w in words]
+    assert model.told(words) == pytest.approx(want)
 
 
 def test_dual_descent_reaches_the_optimum():
