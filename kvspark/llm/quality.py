@@ -86,24 +86,22 @@ def dual_descent(x: np.ndarray, value: np.ndarray, stops: np.ndarray, y: np.ndar
     """min w.w/2 + sum cost * hinge, by coordinates of the dual (the last column is the bias)."""
     w = np.zeros(SIZE + 1)
     sign = np.where(y == 1, 1.0, -1.0)
-    rows = []
-    start = 0
-    for stop in stops.tolist():
-        rows.append((np.append(x[start:stop], SIZE), np.append(value[start:stop], 1.0)))
-        start = stop
-    norm = [float(v @ v) for _, v in rows]
+    cuts = [0, *stops.tolist()]
+    rows = [(x[i:j], value[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]  # views
+    norm = [float(v @ v) + 1 for _, v in rows]
     alpha = np.zeros(len(rows))
     rng = np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(rows)).tolist():
             index, v = rows[i]
-            slope = sign[i] * float(w[index] @ v) - 1
+            slope = sign[i] * (float(w[index] @ v) + w[SIZE]) - 1
             new = min(max(alpha[i] - slope / norm[i], 0.0), cost[i])
             step = new - alpha[i]
             if step:
                 alpha[i] = new
                 w[index] += step * sign[i] * v
+                w[SIZE] += step * sign[i]
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
