@@ -19,10 +19,11 @@ den * overlap >= num * union of their sets. The product is never formed whole:
 * Product. Within a block the overlaps of all pairs of sets whose sizes are within
   the bound are accumulated over the n-grams, common ones as dense parts, the rest by
   postings; between the parts the pairs go whose overlap and rest are below the bound
-  that follows from their sizes. Equal sets are one row. A block of more than
-  ``limit`` rows or ``PART_BYTES`` is multiplied part by part, each pair of parts in
-  a task.
-* For components alone (``keep_one``) a large block is first compared with its first
+  that follows from their sizes. Equal sets are one row. A block is cut by size into
+  bands as wide as the bound; a unit is a band with the next one, which holds all
+  links of its sets to larger ones. A unit of more than ``limit`` rows or
+  ``PART_BYTES`` is multiplied part by part, each pair of parts in a task.
+* For components alone (``keep_one``) a large unit is first compared with its first
   row, and only the rows that don't link to it are multiplied with all others.
 
 Texts aren't shuffled but for those of blocks: a bitmap of the blocks' ids (``WORDS``
@@ -38,6 +39,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +53,7 @@ from kvspark.llm._words import BASES, U64, Hasher, chunks, mix, positions
 
 SALTS = 16
 #: Counters of n-grams, in slices that are summed apart, ``FAN`` tasks' at a time.
-COUNTER_BITS, SLICE_BITS, FAN = 22, 16, 256
+COUNTER_BITS, SLICE_BITS, FAN = 24, 18, 256
 #: The bitmap of ids has this many words of 64 bits.
 WORDS = 1 << 20
 LIMIT, PART_BYTES, SMALL_BYTES = 2048, 1 << 23, 1 << 20
@@ -118,14 +120,14 @@ def unplanes(blob: bytes, n: int, dtype: str, offset: int) -> np.ndarray:
 def sparse(counts: np.ndarray) -> bytes:
     """Steps between the counters of a slice that aren't zero, and their counts."""
     at = np.flatnonzero(counts)
-    return zlib.compress(planes(np.diff(at, prepend=0).astype("<u2")) + planes(counts[at].astype("<u4")), 1)
+    return zlib.compress(planes(np.diff(at, prepend=0).astype("<u4")) + planes(counts[at].astype("<u4")), 1)
 
 
 def add_sparse(total: np.ndarray, blob: bytes) -> None:
     blob = zlib.decompress(blob)
-    n = len(blob) // 6
-    at = np.cumsum(unplanes(blob, n, "<u2", 0).astype(np.int64))
-    total[at] += unplanes(blob, n, "<u4", 2 * n)
+    n = len(blob) // 8
+    at = np.cumsum(unplanes(blob, n, "<u4", 0).astype(np.int64))
+    total[at] += unplanes(blob, n, "<u4", 4 * n)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -298,6 +300,15 @@ def _counted(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         told = sparse(np.minimum(total, np.iinfo(np.uint32).max))
         return pa.table([pa.array([table.column("part")[0].as_py()], pa.int64()), pa.array([table.column("slice")[0].as_py()], pa.int32()), pa.array([told], pa.binary())], names=names[4:])
 
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for blob in batch.column("data").to_pylist():
+                total = np.zeros(1 << SLICE_BITS, dtype=np.uint64)
+                add_sparse(total, blob)
+                made.append(zlib.compress(level_of(total).tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(made, pa.binary())], names=["slice", "data"])
+
     shape = "doc_id long, n long, x long, y long, part long, slice int, data binary"
     made = written(docs.mapInArrow(read, shape), "profile")
     told = made.where("slice is not null").select("part", "slice", "data")
@@ -308,10 +319,8 @@ def _counted(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         if parts == 1:
             break
     levels = np.zeros((1 << (COUNTER_BITS - SLICE_BITS), 1 << SLICE_BITS), dtype=np.uint8)
-    for row in told.select("slice", "data").collect():  # a row for each slice
-        total = np.zeros(1 << SLICE_BITS, dtype=np.uint64)
-        add_sparse(total, row["data"])
-        levels[row["slice"]] = level_of(total)
+    for row in told.select("slice", "data").mapInArrow(level, "slice int, data binary").collect():  # a row for each slice
+        levels[row["slice"]] = np.frombuffer(zlib.decompress(row["data"]), dtype=np.uint8)
     return made.where("slice is null").select("doc_id", "n", "x", "y"), levels.reshape(-1)
 
 
@@ -366,10 +375,18 @@ def _pairs(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray)
         if data:
             pairs.append(neighbours(np.concatenate(data), num, den))
         rows = np.unique(np.concatenate(pairs), axis=0)
+        deal = rows[:, 0] % buckets
+        own = np.unique(deal).tolist()
+        return pa.table({"bucket": pa.array(own, pa.int32()), "pairs": pa.array([rows[deal == b].astype("<i8").tobytes() for b in own], pa.binary())})
+
+    def once(table: pa.Table) -> pa.Table:
+        rows = np.unique(np.frombuffer(b"".join(table.column("pairs").to_pylist()), dtype="<i8").reshape(-1, 2), axis=0)
         return pa.table({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1])})
 
+    # a pair with many common columns is met in many buckets: pairs travel packed and are told once
     signed = docs.mapInArrow(sign, "bucket int, data binary, pairs binary")
-    return signed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    met = signed.groupBy("bucket").applyInArrow(meet, "bucket int, pairs binary")
+    return met.groupBy("bucket").applyInArrow(once, "a long, b long")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -415,58 +432,84 @@ def _groups(
     tied = written(tied, "tied")
     blocks = components(shared.select("a", "b").where("a != b").union(tied))
     block = blocks.union(blocks.select(F.col("b").alias("a"), "b").distinct()).toDF("doc_id", "block")
-    # rows of the set that an id is the smallest of; null if it is that of several sets
-    own = of.where("doc_id = rep").select("doc_id", "n", "x", "y").distinct().join(classes.drop("least"), ["n", "x", "y"], "left")
-    only = F.when(F.count("*") == 1, F.coalesce(F.first("c"), F.lit(1)))
-    own = own.groupBy("doc_id").agg(F.sum("n").alias("n"), only.alias("c"))
-    block = written(block.join(own, "doc_id"), "block")
-    size = block.groupBy("block").agg(F.count("*").alias("rows"), (8 * F.sum("n")).alias("bytes"))
-    parts = F.ceil(F.greatest(F.col("rows") / F.lit(limit), F.col("bytes") / F.lit(PART_BYTES))).cast("int")
-    size = written(size.select("block", "bytes", parts.alias("parts")), "sizes")
-    block = block.select("doc_id", "block", "c").join(size, "block")
+    sets = of.where("doc_id = rep").select("doc_id", "n", "x", "y").distinct()
+    sets = sets.join(classes.drop("least"), ["n", "x", "y"], "left").join(block, "doc_id")
+    band = F.floor(F.log("n") / F.lit(max(log(den / num), 1e-6) * (1 + 1e-9))).cast("int")
+    sets = written(sets.withColumn("c", F.coalesce("c", F.lit(1))).withColumn("unit", band), "sets")
+    size = _units(sets, limit)
+    lines = _lines(few, sets, size, words)
     if counted:
-        lines = _incidence(few, block, words)
-        several = lines.where("c is null").drop("c").join(classes.select("n", "x", "y", "c"), ["n", "x", "y"], "left")
-        lines = lines.where("c is not null").unionByName(several) if block.where("c is null").limit(1).count() else lines
-        told = written(_products(lines, size, num, den), "product")
+        told = written(_products(lines, size, num, den, True), "product")
         links = classes.join(told.groupBy("n", "x", "y").agg(F.sum("linked").alias("linked")), ["n", "x", "y"], "full_outer")
         links = links.select("n", "x", "y", F.coalesce("linked", "c").alias("linked"))
         return of, components(told.select("a", "b").where("a != b").union(tied)), links
-    joined = _products(_incidence(few, block.where("parts = 1"), words), size, num, den).select("a", "b").where("a != b")
     if size.where("parts > 1").limit(1).count():
-        joined = joined.union(_large_blocks(_incidence(few, block.where("parts > 1"), words), limit, num, den))
+        lines = written(lines, "lines")
+        joined = _products(lines.where("parts = 1"), size, num, den, False).select("a", "b").where("a != b")
+        joined = joined.union(_large_units(lines.where("parts > 1"), limit, num, den))
+    else:
+        joined = _products(lines, size, num, den, False).select("a", "b").where("a != b")
     return of, components(joined.union(tied)), None
 
 
-def _incidence(docs: DataFrame, block: DataFrame, words: int) -> DataFrame:
-    """The columns of ``block`` with n, x, y, data (the sorted hashes) of its ids' texts."""
-    names = ["block", "bytes", "parts", "doc_id", "c", "n", "x", "y", "data"]
+def _units(sets: DataFrame, limit: int) -> DataFrame:
+    """block, unit, bytes, parts. A unit has the sets of a band of sizes (its low ones) and of
+    the next band: linked sets are of one band or of neighbouring ones."""
+    own = sets.groupBy("block", "unit").agg(F.count("*").alias("rows"), (8 * F.sum("n")).alias("bytes"))
+    own = written(own, "bands")
+    over = own.select("block", (F.col("unit") - 1).alias("unit"), F.col("rows").alias("more"), F.col("bytes").alias("wide"))
+    both = own.join(over, ["block", "unit"], "left").na.fill(0, ["more", "wide"])
+    both = both.select("block", "unit", (F.col("rows") + F.col("more")).alias("rows"), (F.col("bytes") + F.col("wide")).alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("rows") / F.lit(limit), F.col("bytes") / F.lit(PART_BYTES))).cast("int")
+    return written(both.where("rows > 1").select("block", "unit", "bytes", parts.alias("parts")), "units")
+
 
-    def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(words)
-        for batch in batches:
-            texts, columns = texts_of(batch), [[], [], [], []]
-            for a, b in chunks(texts):
-                keys, counts = sets.read(texts[a:b])
-                stops = np.cumsum(counts).tolist()
-                made = [counts.tolist(), *[d.tolist() for d in digests(keys, counts)]]
-                made.append([keys[i - c : i].tobytes() for i, c in zip(stops, counts.tolist(), strict=True)])
-                for column, values in zip(columns, made, strict=True):
-                    column += values
-            made = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:5]], *made], names=names)
+UNIT = ["block", "unit", "low", "bytes", "parts", "doc_id", "c", "n", "x", "y", "data"]
+UNIT_SHAPE = "block long, unit int, low boolean, bytes long, parts int, doc_id long, c long, n long, x long, y long, data binary"
 
-    shape = "block long, bytes long, parts int, doc_id long, c long, n long, x long, y long, data binary"
-    lines = _texts_of(docs, block).select(*names[:5], "text")
-    return lines.mapInArrow(incidence, shape).where("n > 0")
 
+def _lines(docs: DataFrame, sets: DataFrame, size: DataFrame, words: int) -> DataFrame:
+    """The columns ``UNIT``: a row for each set and unit that it is in, with its sorted hashes."""
+    dealt = sets.withColumn("low", F.explode(F.array(F.lit(True), F.lit(False))))
+    dealt = dealt.withColumn("unit", F.when(F.col("low"), F.col("unit")).otherwise(F.col("unit") - 1)).join(size, ["block", "unit"])
+    # an id that is the smallest of many sets brings their digests along one by one
+    several = dealt.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 2").select("doc_id")
+    few = dealt.join(several, "doc_id", "left_anti")
+    ids = few.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in UNIT if c not in ("doc_id", "data")])).alias("at"))
 
-def _products(lines: DataFrame, size: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, n, x, y, linked for each set of each pair of parts of a block.
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's set, once for each of its places; rows of an id with another set than the told one go."""
+        reader = Sets(words)
+        for batch in batches:
+            texts, places, names, rows = texts_of(batch), batch.column("at").to_pylist(), batch.column("doc_id").to_pylist(), []
+            for a, b in chunks(texts):
+                keys, counts = reader.read(texts[a:b])
+                x, y = (d.tolist() for d in digests(keys, counts))
+                for i, stop in enumerate(np.cumsum(counts).tolist()):
+                    mine = keys[stop - counts[i] : stop].tobytes()
+                    told = places[a + i] if places[a + i] is not None else [{"n": int(counts[i]), "x": x[i], "y": y[i]}]
+                    for at in told:
+                        if counts[i] and at["n"] == counts[i] and at["x"] == x[i] and at["y"] == y[i]:
+                            rows.append((*[at.get(c) for c in UNIT[:5]], names[a + i], at.get("c"), at["n"], x[i], y[i], mine))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(UNIT)
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=UNIT)
+
+    lines = _texts_of(docs, ids).select("doc_id", "at", "text").mapInArrow(hashed, UNIT_SHAPE)
+    if several.limit(1).count():
+        nowhere = several.withColumn("at", F.lit(None).cast(ids.schema["at"].dataType))
+        rest = _texts_of(docs, nowhere).select("doc_id", "at", "text").mapInArrow(hashed, UNIT_SHAPE)
+        rest = rest.select("doc_id", "n", "x", "y", "data").join(dealt, ["doc_id", "n", "x", "y"])
+        lines = lines.unionByName(rest.select(*UNIT))
+    return lines
+
+
+def _products(lines: DataFrame, size: DataFrame, num: int, den: int, counted: bool) -> DataFrame:
+    """a, b, n, x, y, linked for each set of each pair of parts of a unit.
 
     b: the smallest id that a is connected with there; linked: the rows that link to
-    the set there, by the rows c of each set (null: one). Blocks of a few bytes share
-    groups.
+    the set there. Units of a few bytes share groups. If not ``counted``, links among
+    a unit's high sets, which are found in the next unit, may be told too.
     """
     spark = lines.sparkSession
     small = (F.col("parts") == 1) & (F.col("bytes") <= SMALL_BYTES)
@@ -474,58 +517,61 @@ def _products(lines: DataFrame, size: DataFrame, num: int, den: int) -> DataFram
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 * SMALL_BYTES) + 1)
     dealt = lines.withColumn("own", F.pmod(F.xxhash64("x", "y"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        F.when(small, -1 - F.pmod(F.xxhash64("block"), F.lit(bins))).otherwise(F.col("block")).alias("g"), small.alias("shared"),
-        F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-        "block", "own", "doc_id", "n", "x", "y", F.coalesce("c", F.lit(1)).alias("c"), "data",
+        F.when(small, -1 - F.pmod(F.xxhash64("block", "unit"), F.lit(bins))).otherwise(F.col("block")).alias("g"),
+        F.when(~small, F.col("unit")).alias("u"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
+        "block", "unit", "low", "own", "doc_id", "n", "x", "y", "c", "data",
     )
     names = ["a", "b", "n", "x", "y", "linked"]
 
     def multiply(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("block", "ascending"), ("doc_id", "ascending")])
+        table = table.sort_by([("block", "ascending"), ("unit", "ascending"), ("doc_id", "ascending")])
         columns = [table.column(c).to_numpy() for c in ("doc_id", "n", "x", "y", "c")]
-        low = table.column("own").to_numpy() == table.column("p").to_numpy()
+        first = table.column("own").to_numpy() == table.column("p").to_numpy()
+        low = table.column("low").to_numpy()
         alone = table.column("p")[0].as_py() == table.column("q")[0].as_py()
         sets = [np.frombuffer(b, dtype=U64) for b in table.column("data").to_pylist()]
-        blocks = table.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
-        made = [_block_links(np.arange(i, j), sets, columns, low, alone, num, den) for i, j in zip(cuts, cuts[1:], strict=False)]
+        block, unit = table.column("block").to_numpy(), table.column("unit").to_numpy()
+        new = (block[1:] != block[:-1]) | (unit[1:] != unit[:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(block)]
+        made = [_unit_links(np.arange(i, j), sets, columns, first, low, alone, num, den) for i, j in zip(cuts, cuts[1:], strict=False)]
         rows = np.concatenate(made)
         return pa.table({c: pa.array(rows[:, i]) for i, c in enumerate(names)})
 
-    return dealt.groupBy("g", "shared", "p", "q").applyInArrow(multiply, ", ".join(f"{c} long" for c in names))
+    return dealt.groupBy("g", "u", "p", "q").applyInArrow(multiply, ", ".join(f"{c} long" for c in names))
 
 
-def _block_links(rows: np.ndarray, sets: list, columns: list, low: np.ndarray, alone: bool, num: int, den: int) -> np.ndarray:
+def _unit_links(
+    rows: np.ndarray, sets: list, columns: list, first: np.ndarray, low: np.ndarray, alone: bool, num: int, den: int
+) -> np.ndarray:
     """The rows that ``_products`` tells of one pair of parts; ``rows`` are ordered by id."""
     ids, n, x, y, c = columns
     lead: dict[tuple, int] = {}
-    first = np.array([lead.setdefault((n[i], x[i], y[i]), i) for i in rows.tolist()])
-    again = rows[first != rows]  # rows with one doc_id may bring an equal set again
-    out = [np.stack([ids[again], ids[first[first != rows]], n[again], x[again], y[again], np.zeros(len(again), dtype=np.int64)], axis=1)]
-    rows = rows[first == rows]
-    left = rows[low[rows]]
-    right = left if alone else rows[~low[rows]]
-    if len(left) and len(right):
-        found = linked([sets[i] for i in left], None if alone else [sets[i] for i in right], num, den)
-        own, other = groups_of(found)
-        least = np.full(len(left), np.iinfo(np.int64).max)
-        np.minimum.at(least, own, ids[left])
-        np.minimum.at(least, other[other >= 0], ids[right][other >= 0])
-        sides = [(left, least[own], found @ c[right])]
-        if not alone:
-            sides.append((right, np.where(other >= 0, least[other], ids[right]), c[left] @ found))
-        out += [np.stack([ids[s], b, n[s], x[s], y[s], k], axis=1) for s, b, k in sides]
-    return np.concatenate(out).astype(np.int64)
-
-
-def _large_blocks(large: DataFrame, limit: int, num: int, den: int) -> DataFrame:
-    """a, b: links that connect all that is linked within blocks of several parts."""
-    large = written(large, "large")
+    rows = np.array([i for i in rows.tolist() if lead.setdefault((n[i], x[i], y[i]), i) == i])  # repeated rows once
+    left = rows[first[rows]]
+    right = left if alone else rows[~first[rows]]
+    if len(left) == 0 or len(right) == 0:
+        return np.empty((0, 6), dtype=np.int64)
+    found = linked([sets[i] for i in left], None if alone else [sets[i] for i in right], num, den)
+    found &= low[left][:, None] | low[right]
+    own, other = groups_of(found)
+    least = np.full(len(left), np.iinfo(np.int64).max)
+    np.minimum.at(least, own, ids[left])
+    np.minimum.at(least, other[other >= 0], ids[right][other >= 0])
+    sides = [(left, least[own], found @ c[right])]
+    if not alone:
+        sides.append((right, np.where(other >= 0, least[other], ids[right]), c[left] @ found))
+    out = np.concatenate([np.stack([ids[s], b, n[s], x[s], y[s], k], axis=1) for s, b, k in sides]).astype(np.int64)
+    return out[(out[:, 0] != out[:, 1]) | (out[:, 5] > 0)]
+
+
+def _large_units(large: DataFrame, limit: int, num: int, den: int) -> DataFrame:
+    """a, b: links that connect all that is linked within units of several parts."""
+    key = ["block", "unit"]
     dealt = large.withColumn("slice", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
-    first = large.where("doc_id = block").dropDuplicates(["block"])
-    first = first.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), F.col("data").alias("head"))
-    names = ["block", "slice", "parts", "doc_id", "data"]
-    shape = "block long, slice int, parts int, doc_id long, data binary, star boolean"
+    first = large.where("low").groupBy(*key, "parts").agg(F.min("doc_id").alias("lead"), F.min_by("data", "doc_id").alias("head"))
+    first = first.select(*key, "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), "head")
+    names = [*key, "slice", "parts", "doc_id", "lead", "data"]
+    shape = "block long, unit int, slice int, parts int, doc_id long, lead long, data binary, star boolean"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -536,18 +582,18 @@ def _large_blocks(large: DataFrame, limit: int, num: int, den: int) -> DataFrame
                 star.append(den * overlap >= num * (len(a) + len(b) - overlap))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(star, pa.bool_())], names=[*names, "star"])
 
-    compared = written(dealt.join(first, ["block", "slice"]).mapInArrow(compare, shape), "compared")
-    star = compared.where("star and doc_id != block").select(F.col("doc_id").alias("a"), F.col("block").alias("b"))
+    compared = written(dealt.join(first, [*key, "slice"]).mapInArrow(compare, shape), "compared")
+    star = compared.where("star and doc_id != lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
     loose = compared.where("not star")
-    apart = loose.groupBy("block").agg(F.count("*").alias("loose"), F.sum(F.octet_length("data")).alias("bytes"))
+    apart = loose.groupBy(*key).agg(F.count("*").alias("loose"), F.sum(F.octet_length("data")).alias("bytes"))
     turns = F.ceil(F.greatest(F.col("loose") / F.lit(limit), F.col("bytes") / F.lit(PART_BYTES))).cast("int")
-    apart = apart.select("block", turns.alias("turns"))
-    rows = loose.join(apart, "block").select(
-        "block", F.pmod(F.hash("doc_id"), "turns").cast("int").alias("turn"),
+    apart = apart.select(*key, turns.alias("turns"))
+    rows = loose.join(apart, key).select(
+        *key, F.pmod(F.hash("doc_id"), "turns").cast("int").alias("turn"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slice"), "doc_id", "data", F.lit(True).alias("row"),
     )
-    columns = compared.join(apart, "block").select(
-        "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "slice", "doc_id", "data", F.lit(False).alias("row")
+    columns = compared.join(apart, key).select(
+        *key, F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "slice", "doc_id", "data", F.lit(False).alias("row")
     )
 
     def multiply(table: pa.Table) -> pa.Table:
@@ -562,7 +608,7 @@ def _large_blocks(large: DataFrame, limit: int, num: int, den: int) -> DataFrame
             b = np.concatenate([lead[rows], lead[columns[columns >= 0]]])
         return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
 
-    crossed = rows.union(columns).groupBy("block", "turn", "slice").applyInArrow(multiply, "a long, b long")
+    crossed = rows.union(columns).groupBy(*key, "turn", "slice").applyInArrow(multiply, "a long, b long")
     return star.union(crossed)
 
 
