@@ -17,14 +17,18 @@ product itself. Shards of norms that differ by more than ``WIDE`` use doubles, a
 queries start there at the ``LONGEST`` vectors too, which few edges reach.
 
 Graphs and queries are tables in the shared folder; queries travel packed in
-blocks, one copy for each shard.
-
-Defined results: vectors that are null, empty, zero, of another length than the
-most frequent one, or hold null or non-finite components take no part, nor do rows
-with a null id; rows with one id and vector are one row of the index; a query row
-is not its own neighbour; ties go to the smaller id; with fewer candidates than
-``k`` all are returned; an empty table gives an empty result; extra columns are
-ignored.
+blocks, one copy for each shard. All arithmetic is on vectors that are scaled by a
+power of two, which loses nothing, so that norms neither overflow nor vanish; scores
+are taken of the vectors as they are. The work of the search is queries x shards:
+every query asks every shard.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite
+components take no part, nor do rows with a null id; vectors of another length are
+searched among themselves; rows with one id and vector are one row of the index; a
+query row is not its own neighbour; ties go to the smaller id; scores beyond the
+range of doubles (infinite, or vanishing) are told so and ordered by the exact
+products; with fewer candidates than ``k`` all are returned; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 from kvspark.llm._common import written
 
 DEGREE, BUILD_BEAM, QUERY_BEAM, WIDTH = 32, 48, 96, 4
-PER_SHARD, BLOCK = 8192, 1024
+PER_SHARD, BLOCK, TURN = 8192, 1024, 64
 WIDE, LONGEST = 100, 16
 
 
@@ -161,39 +165,80 @@ def build(points: np.ndarray, seed: int, degree: int = DEGREE, beam: int = BUILD
     return graph
 
 
-def sized(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors in the precision that their norms need, squared norms in double)."""
-    size = np.einsum("ij,ij->i", own, own, dtype=np.float64)
-    wide = size.max() > WIDE * WIDE * np.median(size) or size.max() > 1e30
-    return own.astype(np.float64 if wide else np.float32), size
+def scaled(own: np.ndarray) -> tuple[np.ndarray, int]:
+    """(the vectors as doubles, divided by a power of two so that the largest component is below 1; its exponent)."""
+    wide = own.astype(np.float64)
+    exponent = int(np.frexp(np.abs(wide).max(initial=0))[1])
+    return np.ldexp(wide, -exponent), exponent
 
 
-def usable(vector, dim: int):
-    """A vector of ``dim`` finite components that aren't all zero."""
+def sized(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scaled vectors in the precision that their norms need, squared norms in double)."""
+    own, _ = scaled(own)
+    size = np.einsum("ij,ij->i", own, own)
+    spread = size.max() > WIDE * WIDE * np.median(size)
+    return own if spread else own.astype(np.float32), size
+
+
+def products(own: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of rows of ``own`` with those of ``x``, in double, and what orders equal ones.
+
+    A sum per pair, in the same order for every pair. Where it leaves the range of
+    doubles the product is taken again of vectors that are scaled by powers of two.
+    """
+    with np.errstate(all="ignore"):
+        score = (own.astype(np.float64) * x.astype(np.float64)).sum(axis=-1)
+        key = np.zeros(score.shape)
+        odd = ~np.isfinite(score) | (np.abs(score) < 1e-280)
+        if odd.any():
+            a, b = np.broadcast_arrays(own.astype(np.float64), x.astype(np.float64))
+            a, b = a[odd], b[odd]
+            up = [np.frexp(np.abs(v).max(axis=-1))[1] for v in (a, b)]
+            value = (np.ldexp(a, -up[0][:, None]) * np.ldexp(b, -up[1][:, None])).sum(axis=-1)
+            exact = np.ldexp(value, up[0] + up[1])
+            score[odd] = np.where(np.isfinite(score[odd]) & (score[odd] != 0), score[odd], exact)
+            # order by sign, then by the power of two, then by the rest of the number
+            part, power = np.frexp(value)
+            power = power + up[0] + up[1]
+            key[odd] = np.where(value == 0, 0, np.sign(part) * np.where(value == 0, 0, 8192 + power) + part)
+        key[np.isfinite(score) & (np.abs(score) >= 1e-280)] = 0
+    return score, key
+
+
+def usable(vector):
+    """A vector of finite components that aren't all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vector.isNotNull() & (F.size(vector) == dim) & finite & F.exists(vector, lambda x: x != 0)
+    return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
 
 
 def nearest(
     vectors: DataFrame, every: int = 20, k: int = 20, per_shard: int = PER_SHARD, beam: int = QUERY_BEAM
 ) -> DataFrame:
     """query_id, rank, vec_id, score for each row whose id is divisible by ``every``."""
-    few = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<float>").alias("v"))
-    few = few.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
-    common = few.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim = int(common["dim"]) if common else 0
-    few = few.where(usable(F.col("v"), dim))
+    spark = vectors.sparkSession
+    single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+    kind = np.float32 if single else np.float64  # vectors keep their numbers
+    values = vectors["embedding"] if single else vectors["embedding"].cast("array<double>")
+    few = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), values.alias("v"))
+    few = few.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     ranked = few.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     classes = written(ranked.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "classes")
-    shards = max(1, -(-classes.count() // per_shard))
-    shard = F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int").alias("shard")
-
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    # vectors of each length have shards of their own; a row for each length
+    lengths, first = [], 0
+    for row in classes.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect():
+        shards = -(-row["count"] // per_shard)
+        lengths.append((row["dim"], first, shards))
+        first += shards
+    table = F.broadcast(spark.createDataFrame(lengths, "dim int, first int, shards int"))
+    shard = (F.col("first") + F.pmod(F.xxhash64(F.col("ids")[0]), "shards")).cast("int").alias("shard")
+
+    def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
 
     def make(table: pa.Table) -> pa.Table:
         ids = table.column("ids").combine_chunks()
-        own, number = matrix(table.column("v")), table.column("shard")[0].as_py()
+        number, dim = table.column("shard")[0].as_py(), table.column("dim")[0].as_py()
+        own = matrix(table.column("v"), dim)
         points, size = sized(own)
         short = size / (np.sqrt(size.max()) + np.sqrt(size.max() - size))  # M - sqrt(M * M - |x|^2)
         graph = build(np.concatenate([points, short[:, None]], axis=1).astype(points.dtype), number)
@@ -202,20 +247,34 @@ def nearest(
                lengths.astype("<i8").tobytes(), ids.flatten().to_numpy().tobytes()]
         kinds = [pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
         names = ["own", "edges", "start", "lengths", "ids"]
-        return pa.table([pa.array([number], pa.int32()), *[pa.array([x], t) for x, t in zip(row, kinds, strict=True)]], names=["shard", *names])
+        return pa.table([pa.array([x], t) for x, t in zip([number, dim, *row], [pa.int32()] * 2 + kinds, strict=True)], names=["shard", "dim", *names])
 
-    shape = "shard int, own binary, edges binary, start int, lengths binary, ids binary"
-    graphs = written(classes.select(shard, "v", "ids").groupBy("shard").applyInArrow(make, shape), "graphs")
+    shape = "shard int, dim int, own binary, edges binary, start int, lengths binary, ids binary"
+    # a graph is heavy work on few bytes: the shards are dealt to tasks of their own, which aren't put together by size
+    dealt = classes.withColumn("dim", F.size("v")).join(table, "dim").select(shard, "dim", "v", "ids")
+    dealt = dealt.repartition(2 * max(first, 1), "shard")
+    graphs = written(dealt.groupBy("shard").applyInArrow(make, shape), "graphs")
 
-    asked = few.where(F.col("vec_id") % every == 0).distinct()
+    asked = few.where(F.col("vec_id") % every == 0).distinct().withColumn("dim", F.size("v"))
+    asked = written(asked.join(table, "dim"), "asked")
     blocks = max(1, -(-asked.count() // BLOCK))
 
     def pack(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        return pa.table({"q": pa.array([ids.tobytes()], pa.binary()), "x": pa.array([matrix(table.column("v")).tobytes()], pa.binary())})
-
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInArrow(pack, "q binary, x binary")
-    packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        ids, dim = table.column("vec_id").to_numpy(), table.column("dim")[0].as_py()
+        rows = {"dim": dim, "first": table.column("first")[0].as_py(), "shards": table.column("shards")[0].as_py(),
+                "turn": table.column("turn")[0].as_py(), "q": ids.tobytes(), "x": matrix(table.column("v"), dim).tobytes()}
+        kinds = [*[pa.int32()] * 4, pa.binary(), pa.binary()]
+        return pa.table({c: pa.array([v], t) for (c, v), t in zip(rows.items(), kinds, strict=True)})
+
+    # a shard's queries are dealt to tasks of TURN blocks
+    turns = -(-blocks // TURN)
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    packed = asked.withColumn("block", block).withColumn("turn", (F.col("block") % turns).cast("int"))
+    packed = packed.groupBy("dim", "block").applyInArrow(pack, "dim int, first int, shards int, turn int, q binary, x binary")
+    packed = packed.select("turn", "q", "x", F.explode(F.expr("sequence(first, first + shards - 1)")).alias("shard"))
+    asking = graphs.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    tasks = 2 * max(first, 1) * turns
+    met = packed.repartition(tasks, "shard", "turn").join(asking.repartition(tasks, "shard", "turn").hint("merge"), ["shard", "turn"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,33 +282,33 @@ def nearest(
                 yield search(batch.slice(i, 1).to_pylist()[0])
 
     def search(row: dict) -> pa.RecordBatch:
-        own = np.frombuffer(row["own"], dtype=np.float32).reshape(-1, dim)
+        own = np.frombuffer(row["own"], dtype=kind).reshape(-1, row["dim"])
         graph = Graph(sized(own)[0], np.frombuffer(row["edges"], dtype=np.int32).reshape(len(own), -1), row["start"])
         ids, lengths = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["lengths"], dtype=np.int64)
         stops = np.cumsum(lengths)
         names = np.frombuffer(row["q"], dtype=np.int64)
-        x = np.frombuffer(row["x"], dtype=np.float32).reshape(-1, dim)
-        size = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))[:, None]
-        met, _ = graph.search((x / size).astype(graph.points.dtype), max(beam, k + 1), by_product=True)
-        # exact scores; a sum per pair, in the same order for every pair
-        score = (own[met].astype(np.float64) * x[:, None, :].astype(np.float64)).sum(axis=2)
+        x = np.frombuffer(row["x"], dtype=kind).reshape(-1, row["dim"])
+        # a query's length changes no order
+        unit = np.ldexp(x.astype(np.float64), -np.frexp(np.abs(x).max(axis=1).astype(np.float64))[1][:, None])
+        unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]
+        met, _ = graph.search(unit.astype(graph.points.dtype), max(beam, k + 1), by_product=True)
+        score, key = products(own[met], x[:, None, :])
         score[met < 0] = -np.inf
         rows = []
-        for q, nodes, values in zip(names.tolist(), met, score, strict=True):
-            order = np.lexsort((ids[stops[nodes] - lengths[nodes]], -values))[: k + 1]
+        for q, nodes, value, rest in zip(names.tolist(), met, score, key, strict=True):
+            order = [j for j in np.lexsort((ids[stops[nodes] - lengths[nodes]], -rest, -value)) if nodes[j] >= 0][: k + 1]
             got = [
-                (-values[j], int(v))
+                (-value[j], -rest[j], int(v))
                 for j in order
-                if nodes[j] >= 0
                 for v in ids[stops[nodes[j]] - lengths[nodes[j]] : stops[nodes[j]]]
                 if v != q
             ]
-            rows += [(q, v, -s) for s, v in sorted(got)[:k]]
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        kinds = [pa.int64(), pa.int64(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"])
+            rows += [(q, v, -s, -r) for s, r, v in sorted(got)[:k]]
+        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score", "rest"])
 
-    found = packed.join(graphs, "shard").mapInArrow(look, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.mapInArrow(look, "query_id long, vec_id long, score double, rest double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("rest"), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
