@@ -13,18 +13,19 @@ rows are decoded each; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kvspark.llm._common import by_rows, columns_as
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
 RATE, TARGET, FRAME = 8000, 16000, 192
+#: So many ADPCM blocks are decoded at once.
+BLOCKS = 1 << 14
 
 
 def mulaw_table() -> np.ndarray:
@@ -48,26 +49,35 @@ IMA_STEPS = np.array(
      107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796,
      876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871,
      5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623,
-     27086, 29794, 32767], dtype=np.int64)
-IMA_INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8], dtype=np.int64)
+     27086, 29794, 32767], dtype=np.int32)
+IMA_INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8], dtype=np.int32)
+
+
+def adpcm_blocks(raw: np.ndarray) -> np.ndarray:
+    """The samples of blocks of mono IMA ADPCM (a row each: predictor (int16), step index, a spare byte, codes)."""
+    n, block = raw.shape
+    out = np.empty((n, 1 + 2 * (block - 4)), dtype=np.int16)
+    for at in range(0, n, BLOCKS):
+        part = raw[at : at + BLOCKS]
+        value = np.ascontiguousarray(part[:, :2]).view("<i2")[:, 0].astype(np.int32)
+        index = np.minimum(part[:, 2], 88).astype(np.int32)
+        codes = np.stack([part[:, 4:].T & 15, part[:, 4:].T >> 4], axis=1).reshape(-1, len(part))
+        rows = np.empty((out.shape[1], len(part)), dtype=np.int16)
+        rows[0] = value
+        for i, code in enumerate(codes):
+            step = IMA_STEPS[index]
+            change = (step >> 3) + step * ((code >> 2) & 1) + (step >> 1) * ((code >> 1) & 1) + (step >> 2) * (code & 1)
+            value = np.clip(np.where(code & 8, value - change, value + change), -32768, 32767)
+            index = np.clip(index + IMA_INDEX[code & 7], 0, 88)
+            rows[i + 1] = value
+        out[at : at + BLOCKS] = rows.T
+    return out
 
 
 def decode_adpcm(data: bytes, block: int) -> np.ndarray:
-    """The whole blocks of mono IMA ADPCM; each block starts with its predictor (int16), step index and a spare byte."""
+    """The samples of the whole blocks."""
     n = len(data) // block
-    raw = np.frombuffer(data, dtype=np.uint8, count=n * block).reshape(n, block)
-    value = raw[:, :2].copy().view("<i2")[:, 0].astype(np.int64)
-    index = np.clip(raw[:, 2].astype(np.int64), 0, 88)
-    out = np.empty((n, 1 + 2 * (block - 4)), dtype=np.int16)
-    out[:, 0] = value
-    nibbles = np.stack([raw[:, 4:] & 15, raw[:, 4:] >> 4], axis=2).reshape(n, -1).astype(np.int64)
-    for i in range(nibbles.shape[1]):
-        code, step = nibbles[:, i], IMA_STEPS[index]
-        change = (step >> 3) + step * ((code >> 2) & 1) + (step >> 1) * ((code >> 1) & 1) + (step >> 2) * (code & 1)
-        value = np.clip(np.where(code & 8, value - change, value + change), -32768, 32767)
-        index = np.clip(index + IMA_INDEX[code & 7], 0, 88)
-        out[:, i + 1] = value
-    return out.reshape(-1)
+    return adpcm_blocks(np.frombuffer(data, dtype=np.uint8, count=n * block).reshape(n, block)).reshape(-1)
 
 
 def resample(pcm: np.ndarray, rate: int, target: int) -> np.ndarray:
@@ -149,44 +159,55 @@ def decode_media(df: DataFrame, key: str, media: str, target: int = TARGET) -> D
                 rows.append((None, None, None))
         return list(zip(*rows, strict=True))
 
-    run = by_rows(make, ["rate", "samples", "pcm"], [pa.int32(), pa.int64(), pa.binary()], ("key",))
+    run = by_rows(make, ["rate", "samples", "pcm"], [pa.int32(), pa.int64(), pa.binary()], ("key",), weigh="media")
     return few.mapInArrow(run, f"key {few.schema['key'].dataType.simpleString()}, rate int, samples long, pcm binary")
 
 
-def features(pcm: np.ndarray, wide: np.ndarray, seconds: float) -> str:
-    """Level, peak and zero crossings of the samples; length and checksum of the stored PCM."""
+def features(kind: str, pcm: np.ndarray) -> str:
+    """Level, peak and zero crossings of the samples."""
     x = pcm.astype(np.float64)
     crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    return (
-        f"mulaw;s={seconds:.3f};peak={int(np.abs(x).max())};rms={np.sqrt(np.mean(x * x)):.2f};zc={crossings};"
-        f"pcm{TARGET}={len(wide)};crc={zlib.crc32(wide.astype('<i2').tobytes())}"
-    )
+    return f"{kind};s={len(pcm) / RATE:.3f};peak={int(np.abs(x).max())};rms={np.sqrt(np.mean(x * x)):.2f};zc={crossings}"
 
 
-def telephony_digest(docs: DataFrame) -> DataFrame:
-    """Each whole text as mu-law audio: stored as WAVE, read back, expanded, resampled, described."""
+def telephony_media(docs: DataFrame) -> DataFrame:
+    """Each whole text as telephony audio: doc_id, n_bytes, media (its WAVE file of mu-law samples),
+    payload (the samples, read back from it), pcm (the mu-law samples, expanded and resampled to
+    ``TARGET`` Hz, 16 bits) and feature.
+
+    The payload's bytes are decoded in three ways, of which ``feature`` tells: as mu-law
+    and A-law samples by their tables, and as ADPCM blocks of ``FRAME`` bytes, all blocks
+    of a batch at once.
+    """
     few = columns_as(docs, doc_id="doc_id", text="text")
     decoder = Decoder()
 
     def make(batch: pa.RecordBatch) -> list:
-        rows = []
-        for text in batch.column("text").to_pylist():
-            raw = (text or "").encode()
-            size = max(FRAME, -(-len(raw) // FRAME) * FRAME)
-            stored = wrap(raw + b" " * (size - len(raw)))
-            tag, rate, block, bits, payload = unwrap(stored)
-            pcm = decoder.pcm(tag, block, bits, payload)
-            told = features(pcm, resample(pcm, rate, TARGET), len(pcm) / rate)
-            rows.append(
-                (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored),
-                 hashlib.sha256(stored).hexdigest(), told)
-            )
-        return list(zip(*rows, strict=True))
+        raws = [(t or "").encode() for t in batch.column("text").to_pylist()]
+        stored = [wrap(raw + b" " * (max(FRAME, -(-len(raw) // FRAME) * FRAME) - len(raw))) for raw in raws]
+        read = [unwrap(s) for s in stored]
+        payloads = [r[-1] for r in read]
+        every = adpcm_blocks(np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, FRAME))
+        stops = np.cumsum([len(p) // FRAME for p in payloads]).tolist()
+        pcms, told = [], []
+        for payload, (tag, rate, block, bits, _), stop in zip(payloads, read, stops, strict=True):
+            mulaw, alaw = decoder.pcm(tag, block, bits, payload), decoder.pcm(ALAW, block, bits, payload)
+            adpcm = every[stop - len(payload) // FRAME : stop].reshape(-1)
+            pcms.append(resample(mulaw, rate, TARGET).astype("<i2").tobytes())
+            told.append("|".join(features(k, x) for k, x in (("mulaw", mulaw), ("alaw", alaw), ("adpcm", adpcm))))
+        return [list(map(len, raws)), stored, payloads, pcms, told]
+
+    names, types = ["n_bytes", "media", "payload", "pcm", "feature"], [pa.int64(), *[pa.binary()] * 3, pa.string()]
+    shape = "doc_id long, n_bytes long, media binary, payload binary, pcm binary, feature string"
+    return few.mapInArrow(by_rows(make, names, types, ("doc_id",), limit=1 << 20), shape)
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return few.mapInArrow(
-        by_rows(make, names, types, ("doc_id",)),
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-        "media_sha256 string, feature string",
-    )
+
+def telephony_digest(docs: DataFrame) -> DataFrame:
+    """``telephony_media`` with checksums in place of the bytes; ``feature`` tells of the PCM too."""
+    size = lambda c: F.octet_length(c).cast("long")
+    pcm = F.concat(F.lit(f"|pcm{TARGET}="), (size("pcm") / 2).cast("long"), F.lit(";crc="), F.crc32("pcm"))
+    return telephony_media(docs).select(
+        "doc_id", "n_bytes", size("payload").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"), size("media").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), F.concat("feature", pcm).alias("feature"),
+    )

@@ -85,6 +85,19 @@ def test_documents(spark, documents):
         assert r["media_bytes"] == len(media.wrap(padded)) and r["media_sha256"] == hashlib.sha256(media.wrap(padded)).hexdigest()
     assert got[1]["feature"] == got[None]["feature"] and got[2]["feature"] == got[3]["feature"]
     assert media.telephony_digest(documents([])).count() == 0
+    made = {r["doc_id"]: r for r in media.telephony_media(documents(rows)).collect()}
+    for i, t in rows:
+        data, told = bytes(made[i]["payload"]), dict((x.split(";")[0], x) for x in got[i]["feature"].split("|"))
+        assert bytes(made[i]["media"]) == media.wrap(data)
+        decoded = {"mulaw": [mulaw_by_rule(b) for b in data], "alaw": [alaw_by_rule(b) for b in data]}
+        if len(data) < 2000:
+            decoded["adpcm"] = adpcm_by_sample(data, 192)
+        for kind, x in decoded.items():
+            crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+            assert told[kind].endswith(f"peak={max(map(abs, x))};rms={(sum(v * v for v in x) / len(x)) ** 0.5:.2f};zc={crossings}")
+        wide = media.resample(np.array(decoded["mulaw"], dtype=np.int16), 8000, 16000)
+        assert made[i]["pcm"] == wide.astype("<i2").tobytes()
+        assert got[i]["feature"].endswith(f"|pcm16000={len(wide)};crc={zlib.crc32(made[i]['pcm'])}")
 
 
 def test_adpcm_decodes_a_short_last_block(spark):
