@@ -17,7 +17,8 @@ fewer rows leave their first shard.
 Defined results: a null key hashes as the empty string and its rows are dealt
 like any other; repeated rows are separate rows; ties are broken by content, and
 rows equal in all columns are interchangeable; an empty table gives an empty
-result; extra columns are ignored.
+result; extra columns are carried along, but for ones named ``shard`` or ``slot``,
+whose place the new ones take.
 """
 
 from __future__ import annotations
@@ -97,16 +98,17 @@ def assign_shards(
     ranks have to be taken of the same rows as the counts.
     """
     points, owners = ring(n_shards, vnodes)
+    names = [c for c in df.columns if c not in ("shard", "slot")]
 
     @F.pandas_udf("int")
     def arc_of(h: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(points, h.to_numpy(), side="left") % len(points)).astype("int32")
 
-    text = F.coalesce(df[key].cast("string"), F.lit(""))
+    text = F.coalesce(df[key].cast("string"), F.lit(""))  # also where the key is one of the replaced columns
     position = F.conv(F.substring(F.md5(text.cast("binary")), 1, RING_BITS // 4), 16, 10).cast("long")
     kept = written(
         df.select(
-            *[df[c] for c in df.columns],
+            *[df[c] for c in names],
             position.alias("__h"),
             arc_of(position).alias("__arc"),
             F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(segments)).cast("int").alias("__seg"),
@@ -137,9 +139,9 @@ def assign_shards(
             run = run + more
         return pd.DataFrame({"shard": run_shard[run], "slot": run_slot[run] + at - run_from[run]})
 
-    order = Window.partitionBy("__arc", "__seg").orderBy("__h", *[c for c in df.columns])
+    order = Window.partitionBy("__arc", "__seg").orderBy("__h", *names)
     placed = kept.withColumn("__at", place("__arc", "__seg", F.row_number().over(order)))
-    return placed.select(*df.columns, F.col("__at.shard").alias("shard"), F.col("__at.slot").alias("slot"))
+    return placed.select(*names, F.col("__at.shard").alias("shard"), F.col("__at.slot").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:

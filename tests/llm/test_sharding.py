@@ -1,10 +1,11 @@
+import hashlib
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 
-from kvspark.llm.sharding import assign_shards, preferences, ring, shard_documents
+from kvspark.llm.sharding import assign_shards, preferences, quotas, ring, shard_documents
 
 
 def slots(rows):
@@ -47,3 +48,35 @@ def test_preferences():
     prefer = preferences(owners, 5)
     assert all(sorted(row) == list(range(5)) for row in prefer.tolist())
     assert (prefer[:, 0] == owners).all()
+
+
+def test_each_row_goes_where_it_walks(spark):
+    """Against the walk of single rows: a full shard refuses, the row goes on clockwise."""
+    n, vnodes = 5, 8
+    rows = spark.range(700).selectExpr("id % 300 AS doc_id", "7 AS shard", "id AS other")
+    points, owners = ring(n, vnodes)
+    for slack in (0.0, 0.2):
+        got = assign_shards(rows, "doc_id", n, vnodes, slack)
+        assert got.columns == ["doc_id", "other", "shard", "slot"]
+        got = got.collect()
+        slots(got)
+        room = dict(enumerate(quotas(700, n, slack).tolist()))
+        arcs = Counter()
+        for r in got:
+            h = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:15], 16)
+            arcs[int(np.searchsorted(points, h) % len(points))] += 1
+        want, left = Counter(), dict(arcs)
+        for step in range(len(points)):  # all rows take one step at a time; arcs in order at each shard
+            for arc in sorted(left):
+                seen = [int(owners[(arc + k) % len(points)]) for k in range(len(points))]
+                order = list(dict.fromkeys(seen))
+                if step < len(order) and left[arc]:
+                    take = min(left[arc], room[order[step]])
+                    want[arc, order[step]] += take
+                    room[order[step]] -= take
+                    left[arc] -= take
+        have = Counter()
+        for r in got:
+            h = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:15], 16)
+            have[int(np.searchsorted(points, h) % len(points)), r["shard"]] += 1
+        assert have == +want
