@@ -6,10 +6,13 @@ two) that holds it. Each tier is packed into windows of its size; the gap of a
 window is filled by the largest fitting rests of the same and of shorter tiers
 and, where none fits, by a cut of one, so that every window is full. What a
 partition has left at its end goes to windows of a power of two each. Steps take
-sequences in the order in which they close and hold about the same number of ids.
+sequences in the order in which they close, partition after partition, and hold
+``STEP`` ids, up to one sequence more or less; the table's last one may hold fewer.
 
 Partitions pack on their own: nothing is shuffled, and a lost task is run again
-with the same result. ``sequence_id`` holds the partition in its upper half.
+with the same result. ``sequence_id`` holds the partition in its upper half. The
+pieces are written once, since the steps need the ids of the partitions before, a
+number for each partition.
 
 Defined results: null text counts as empty, that is one sequence place for the
 end id; repeated rows are packed each; an empty table gives an empty result;
@@ -28,8 +31,9 @@ from itertools import chain
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from kvspark.llm._common import columns_as, worker_cache
+from kvspark.llm._common import columns_as, release, slices, worker_cache, written
 
 WINDOW, TIERS, STEP = 1024, (256, 512, 1024), 65_536
 
@@ -97,8 +101,8 @@ class Ids:
 class Packer:
     """Packs the documents of one partition; rows come out as sequences close."""
 
-    def __init__(self, first_id: int, window: int = WINDOW, tiers: tuple[int, ...] = TIERS, step: int = STEP) -> None:
-        self.window, self.tiers, self.step = window, tiers, step
+    def __init__(self, first_id: int, window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> None:
+        self.window, self.tiers = window, tiers
         self.next, self.first, self.told = first_id, first_id, 0
         #: By tier: rests (length, number, document, start, its ids' bytes), shortest first.
         self.pools: list[list[tuple]] = [[] for _ in tiers]
@@ -132,7 +136,7 @@ class Packer:
     def close(self, pieces: list[tuple]) -> None:
         at = 0
         for length, _, doc, start, ids in pieces:
-            self.rows.append((doc[0], start, length, zlib.crc32(ids), doc[1], self.next, at, self.told // self.step))
+            self.rows.append((doc[0], start, length, zlib.crc32(ids), doc[1], self.next, at, self.told))
             at += length
         self.told += at
         self.next += 1
@@ -172,15 +176,16 @@ class Packer:
             self.fill(min(self.tiers[-1], 1 << (left.bit_length() - 1)), len(self.tiers) - 1)
 
 
-NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "step_group"]
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "told"]
 
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, window: int = WINDOW,
-                   tiers: tuple[int, ...] = TIERS, pool: int = 256, added: bool = False) -> DataFrame:
+                   tiers: tuple[int, ...] = TIERS, pool: int = 256, added: bool = False, step: int = STEP) -> DataFrame:
     """Pieces of the documents' ids in sequences of at most ``window`` ids.
 
     ``pool``: so many windows' worth of rests wait for a fitting gap, at most.
     ``added``: the strings of the file's added tokens get these tokens' ids.
+    ``step_group``: the step of ``step`` ids that takes the sequence.
     """
     few = columns_as(docs, doc_id="doc_id", text="text")
 
@@ -195,8 +200,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, wi
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=NAMES)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, rows=512):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     packed = ids.packed(text or "") + end
                     packer.add((doc_id, len(packed) // 4), packed)
@@ -206,5 +210,15 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, wi
                     yield told()
         packer.finish()
         yield told()
-
-    return few.mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
+        release()
+
+    pieces = written(few.mapInArrow(run, ", ".join(f"{n} long" for n in NAMES)), "pieces")
+    partition = F.shiftright("sequence_id", 32).alias("partition")
+    sums = pieces.groupBy(partition).agg(F.sum("length").alias("n")).orderBy("partition").collect()  # a row for each partition
+    before, at = [], 0
+    for row in sums:
+        before.append((row["partition"], at))
+        at += row["n"]
+    before = docs.sparkSession.createDataFrame(before, "partition long, before long")
+    group = F.expr(f"(before + told) div {step}").alias("step_group")
+    return pieces.withColumn("partition", partition).join(F.broadcast(before), "partition").select(*NAMES[:-1], group)

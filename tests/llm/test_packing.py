@@ -63,10 +63,22 @@ def test_packer_at_many_sizes():
         sizes = check(packer.rows, ids_of)
         assert all(s == 1024 or s & (s - 1) == 0 for s in sizes)
         assert sum(s < 256 for s in sizes) <= 8 or min(tiers) < 256
-        steps = defaultdict(int)
-        for row in packer.rows:
-            steps[row[7]] += row[2]
-        assert max(list(steps.values())[:-1]) - min(list(steps.values())[:-1]) <= 2048
+
+
+def test_steps_hold_the_same_over_partitions(spark, documents):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["the", "Word", "zßé"]) for _ in range(rng.choice([3, 30, 900])))) for i in range(200)]
+    docs = documents(rows).repartition(7)
+    got = pack_documents(docs, PATH, PATTERN, step=5000).collect()
+    assert len({r["sequence_id"] >> 32 for r in got}) > 3
+    steps, sequences = defaultdict(int), defaultdict(set)
+    for r in got:
+        steps[r["step_group"]] += r["length"]
+        sequences[r["sequence_id"]].add(r["step_group"])
+    assert all(len(s) == 1 for s in sequences.values()) and sorted(steps) == list(range(len(steps)))
+    assert all(abs(n - 5000) <= 1024 for g, n in steps.items() if g < len(steps) - 1)
+    # no more sequences than ids need, but for the powers of two at the partitions' ends
+    assert len(sequences) <= sum(steps.values()) / 1024 + 7 * 10
 
 
 def test_added_tokens_have_their_ids(spark, tmp_path):
