@@ -16,12 +16,12 @@ D: equal windows share an aligned anchor. Three passes over blocks of documents:
 Hashes travel packed, a row per pair of block and bucket, so that a passage that
 a third of the documents share adds one hash for each block. The shuffle of the
 texts into blocks is the same in all passes and is reused. Memory in a task is a
-block of texts, or a bucket of hashes: both shrink as ``spark.sql.shuffle.
-partitions`` grows with the data.
+block of texts, or a bucket of hashes; the number of both follows the input's bytes
+(``blocks_for``).
 
 Defined results: null text has no words; a null doc_id counts as smallest; rows
-with one doc_id count as separate documents ordered by text (null first), equal
-rows in any order; windows are judged on the input, not on what is left; texts
+with one doc_id count as separate documents in an order by the block that their id
+and text fall in, then by text (null first), equal rows in any order; windows are judged on the input, not on what is left; texts
 of under ``window`` words are kept; an empty table gives an empty result; extra
 columns are ignored, or carried along by ``drop_repeats``.
 """
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm._common import worker_cache
+from kvspark.llm._common import lean, release, worker_cache
 from kvspark.llm._words import BASES, Hasher, chunks, positions
 
 #: Perfect difference sets by their period.
@@ -44,6 +44,8 @@ COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31:
 NO_ID = np.iinfo(np.int64).min
 #: A window's row: 96 bits of its hash, doc_id, place.
 WINDOW_BYTES = 24
+#: Of the input's files, for each block, and for each pair of block and bucket.
+BLOCK_BYTES, BYTES_A_PAIR = 8 << 20, 2048
 
 
 def period_for(window: int) -> int:
@@ -121,11 +123,21 @@ def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def blocks_for(docs: DataFrame) -> int:
+    """As many blocks and buckets as shuffle partitions, more where a block would exceed ``BLOCK_BYTES`` of
+    the input's files; where pairs of block and bucket would have less than ``BYTES_A_PAIR`` of them,
+    blocks grow as the root of the input."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > 1 << 56:  # Spark can't tell
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, min(size // BLOCK_BYTES, int((size // BYTES_A_PAIR) ** 0.5)))
+
+
 def _repeats(docs: DataFrame, window: int, blocks: int | None, finish, out: str) -> DataFrame:
     """``finish(table, texts, masks)`` makes the rows of one block; a mask tells the words to remove."""
-    spark = docs.sparkSession
-    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.withColumn("__block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "__block")
+    n = blocks or blocks_for(docs)
+    placed = docs.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "__block")
     to_bucket = pa.schema([("bucket", pa.int32()), ("__block", pa.int32()), ("data", pa.binary())])
     to_block = pa.schema([("__block", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 
@@ -168,6 +180,8 @@ def _repeats(docs: DataFrame, window: int, blocks: int | None, finish, out: str)
             whose.append(np.repeat(ids[a:b], counts)[start])
             ordinal.append((start + base).astype(np.int64))
             base += len(words)
+        if base > 1 << 32:
+            raise ValueError("a block of more than 2**32 words: give more blocks")
         one, two, whose, ordinal = map(np.concatenate, (one, two, whose, ordinal))
         order = np.lexsort((ordinal, two, one))
         one, two, whose, ordinal = one[order], two[order], whose[order], ordinal[order]
@@ -196,7 +210,7 @@ def _repeats(docs: DataFrame, window: int, blocks: int | None, finish, out: str)
                 begin += part[-1].nbytes
         one, two, whose, at = map(np.concatenate, parts)
         owner = np.repeat(table.column("__block").to_numpy(), [len(b) // WINDOW_BYTES for b in blobs])
-        order = np.lexsort((at, whose, two, one))
+        order = np.lexsort((at, owner, whose, two, one))
         one, two, at, owner = one[order], two[order], at[order], owner[order]
         lead = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
         at, owner = at[lead], owner[lead]
@@ -223,15 +237,17 @@ def _repeats(docs: DataFrame, window: int, blocks: int | None, finish, out: str)
             drop = np.cumsum(change[:-1]) > 0
             masks += np.split(drop, np.cumsum(counts)[:-1])
             base += len(words)
-        return finish(table, texts, masks)
+        out = finish(table, texts, masks)
+        release()
+        return out
 
     blocks_again = placed.groupBy("__block")
     shape = "bucket int, __block int, data binary"
     back = "__block int, kind int, data binary"
-    repeated = placed.groupBy("__block").applyInArrow(send, shape).groupBy("bucket").applyInArrow(match, back)
+    repeated = placed.groupBy("__block").applyInArrow(lean(send), shape).groupBy("bucket").applyInArrow(lean(match), back)
     leads = (
         blocks_again.cogroup(repeated.groupBy("__block")).applyInArrow(extend, shape)
-        .groupBy("bucket").applyInArrow(first, back)
+        .groupBy("bucket").applyInArrow(lean(first), back)
     )
     return placed.groupBy("__block").cogroup(repeated.union(leads).groupBy("__block")).applyInArrow(decide, out)
 
@@ -266,6 +282,9 @@ def drop_repeats(docs: DataFrame, window: int = 20, blocks: int | None = None) -
     one, is counted again.
     """
 
+    if "__block" in docs.columns:  # the operator's own name
+        other = "__block" + "_" * max(len(c) for c in docs.columns)
+        return drop_repeats(docs.withColumnRenamed("__block", other), window, blocks).withColumnRenamed(other, "__block")
     names = docs.columns
 
     def finish(table: pa.Table, texts: list[bytes], masks: list[np.ndarray]) -> pa.Table:

@@ -5,7 +5,7 @@ from kvspark.llm.substring import drop_repeats, repeat_digest
 
 
 def brute(rows, window):
-    """By definition: the earliest start of each window, in order of (doc_id, text)."""
+    """By definition: the earliest start of each window, in order of doc_id (of rows with one id: of their text)."""
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, rows[k][1] is not None, rows[k][1] or ""))
     seen, out = set(), []
     for k in order:
@@ -53,6 +53,9 @@ def test_empty(spark, documents):
 def test_texts_keep_their_columns(spark, documents):
     passage = " ".join(f"p{i}" for i in range(30))
     docs = documents([(1, "a  b\n" + passage), (2, "c " + passage + " d"), (3, None), (4, "x  y")])
-    got = {r["doc_id"]: r for r in drop_repeats(docs).collect()}
+    made = drop_repeats(docs.withColumn("__block", docs["n_chars"] + 1))
+    assert made.columns == [*docs.columns, "__block"]
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert got[4]["__block"] == 5
     assert [got[i]["text"] for i in (1, 2, 3, 4)] == ["a  b\n" + passage, "c d", None, "x  y"]
     assert got[2]["n_chars"] == 3 and got[2]["block"] == "x" and got[3]["n_chars"] is None
