@@ -2,53 +2,55 @@
 
 from __future__ import annotations
 
-import atexit
+import ctypes
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from kvspark.sources.scratch import discard  # noqa: F401
+from kvspark.sources.scratch import settled as written  # noqa: F401  (cuts lineage by a table in the shared folder)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; read by Spark only, so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``).
+def release() -> None:
+    """Give freed memory back to the system: a reused worker else keeps what its largest task took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
-    Only a session without that setting (local tests) gets a temporary folder.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(sys, "_kvspark_scratch", None) or tempfile.mkdtemp(prefix="kvspark-")
-        sys._kvspark_scratch = path
-    return path.rstrip("/")
 
+def lean(fn):
+    """``fn`` for ``applyInArrow``, with ``release`` after each group."""
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM may already be gone when the interpreter ends
-        pass
+    def run(table: pa.Table) -> pa.Table:
+        out = fn(table)
+        release()
+        return out
 
+    return run
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it to the shared folder and read it again.
 
-    Every executor can read the files, so losing one loses nothing. The files
-    are removed when the driver's interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kvspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 22, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``limit`` bytes of the column, and of at most ``rows`` rows; a longer value is alone."""
+    values = batch.column(column)
+    size = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    size = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = size[at - 1] if at else 0
+        stop = min(max(at + 1, int(np.searchsorted(size, base + limit, side="right"))), at + rows)
+        yield batch.slice(at, stop - at)
+        at = min(stop, batch.num_rows)
 
 
 def worker_cache(key: str, make, large: bool = False):
@@ -75,16 +77,17 @@ def columns_as(df: DataFrame, **wanted: str) -> DataFrame:
 
 
 def by_rows(fn: Callable[[pa.RecordBatch], list], names: list[str], types: list[pa.DataType], keep: tuple[str, ...] = (),
-            rows: int = 512) -> Callable:
+            rows: int = 512, weigh: str = "text", limit: int = 1 << 22) -> Callable:
     """A function for ``mapInArrow``: ``fn`` makes the columns ``names`` of at
-    most ``rows`` input rows at a time; the columns ``keep`` pass unchanged."""
+    most ``rows`` input rows, and about ``limit`` bytes of the column ``weigh``, at a
+    time; the columns ``keep`` pass unchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, weigh, limit, rows):
                 made = [pa.array(c, type=t) for c, t in zip(fn(part), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], *made], names=[*keep, *names])
+        release()
 
     return run
 
@@ -94,8 +97,8 @@ def kept_rows(fn: Callable[[pa.RecordBatch], list], rows: int = 512) -> Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows=rows):
                 yield part.filter(pa.array(fn(part), type=pa.bool_()))
+        release()
 
     return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm._common import written
+from kvspark.llm._common import discard, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -30,8 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = written(edges.where("a != b").select("a", "b").distinct(), "edges")
     told = None
     while True:
-        now = state.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        hashes = [F.sum(F.xxhash64(F.lit(k), "a", "b").bitwiseAND(F.lit((1 << 40) - 1))) for k in (1, 2)]
+        now = state.agg(F.count("*"), *hashes).first()
         if now == told or now[0] == 0:
             return state
-        told = now
+        told, old = now, state
         state = written(_small(_large(state).where("a != b").distinct()).where("a != b").distinct(), "edges")
+        discard(old)

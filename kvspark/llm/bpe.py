@@ -4,8 +4,9 @@ A pre-token's bytes form a linked list. For each merge rank there is a bucket of
 list positions whose pair has that rank; a bitmap with one bit per rank, and
 bitmaps over its words above it, tell the lowest rank that has a bucket
 (find-first-set from the top down). The leftmost position of that bucket is
-merged if its pair still has that rank, and skipped if it is stale. A merge costs
-constant time however long the pre-token is.
+merged if its pair still has that rank, and skipped if it is stale. Buckets are
+heaps of positions: a merge costs the logarithm of a bucket's size, however long the
+pre-token is.
 
 Text is cut before each space that has a non-space beside it: such a space always
 starts a match of the pre-token pattern, so that the pieces can be encoded apart
@@ -308,7 +309,7 @@ class ByteBPE:
 
 def encoder(path: str, pattern: str) -> ByteBPE:
     """The worker's encoder for a rank file, made once per worker."""
-    return worker_cache(f"bpe:{path}:{pattern}", lambda: ByteBPE(load_ranks(path), pattern))
+    return worker_cache(f"bpe:{path}:{pattern}", lambda: ByteBPE(load_ranks(path), pattern), large=True)
 
 
 def bpe_encode(df: DataFrame, key: str, text: str, path: str, pattern: str) -> DataFrame:
@@ -321,7 +322,7 @@ def bpe_encode(df: DataFrame, key: str, text: str, path: str, pattern: str) -> D
         bpe.learn(texts)
         return [[bpe.encode(t) for t in texts]]
 
-    run = by_rows(make, ["ids"], [pa.list_(pa.int32())], ("key",), rows=BATCH)
+    run = by_rows(make, ["ids"], [pa.list_(pa.int32())], ("key",), rows=BATCH, limit=1 << 24)
     return few.mapInArrow(run, f"key {few.schema['key'].dataType.simpleString()}, ids array<int>")
 
 
@@ -333,7 +334,7 @@ def bpe_decode(df: DataFrame, key: str, ids: str, path: str, pattern: str) -> Da
         bpe = encoder(path, pattern)
         return [[bpe.decode(x or []) for x in batch.column("ids").to_pylist()]]
 
-    run = by_rows(make, ["bytes"], [pa.binary()], ("key",), rows=BATCH)
+    run = by_rows(make, ["bytes"], [pa.binary()], ("key",), rows=BATCH, weigh="ids", limit=1 << 24)
     return few.mapInArrow(run, f"key {few.schema['key'].dataType.simpleString()}, bytes binary")
 
 
@@ -356,5 +357,5 @@ def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         return out
 
     run = by_rows(make, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()],
-                  ("doc_id",), rows=BATCH)
+                  ("doc_id",), rows=BATCH, limit=1 << 24)
     return few.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

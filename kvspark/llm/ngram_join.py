@@ -47,13 +47,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm._common import worker_cache, written
+from kvspark.llm._common import lean, release, slices, worker_cache, written
 from kvspark.llm._components import components
 from kvspark.llm._words import BASES, U64, Hasher, chunks, mix, positions
 
 SALTS = 16
 #: Counters of n-grams, in slices that are summed apart, ``FAN`` tasks' at a time.
-COUNTER_BITS, SLICE_BITS, FAN = 24, 18, 256
+COUNTER_BITS, SLICE_BITS, FAN = 23, 17, 256
 #: The bitmap of ids has this many words of 64 bits.
 WORDS = 1 << 20
 LIMIT, PART_BYTES, SMALL_BYTES = 2048, 1 << 23, 1 << 20
@@ -292,6 +292,8 @@ def _counted(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         own = [(i, s) for i, s in enumerate(tally.reshape(-1, 1 << SLICE_BITS)) if s.any()]
         part = TaskContext.get().partitionId()
         yield rows_of({"part": [part] * len(own), "slice": [i for i, _ in own], "data": [sparse(s) for _, s in own]}, len(own))
+        del tally, own
+        release()
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << SLICE_BITS, dtype=np.uint64)
@@ -344,7 +346,7 @@ def _pairs(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray)
             kinds = [pa.int32(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "data", "pairs"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = texts_of(batch)
             ids = np.array(batch.column("doc_id").fill_null(0), dtype=np.int64)
             null = np.array(batch.column("doc_id").is_null(), dtype=bool)
@@ -363,11 +365,13 @@ def _pairs(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray)
                 data["s"], data["n"], data["id"] = signs, counts[use][owner], ids[a:b][use][owner]
                 held.append(data)
                 size += data.nbytes
-                if size > 1 << 25:
+                if size > 1 << 24:
                     yield flush()
                     held, size = [], 0
         if size:
             yield flush()
+        del held, seen, levels
+        release()
 
     def meet(table: pa.Table) -> pa.Table:
         data = [unpacked(b) for b in table.column("data").to_pylist() if b]
@@ -385,7 +389,7 @@ def _pairs(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray)
 
     # a pair with many common columns is met in many buckets: pairs travel packed and are told once
     signed = docs.mapInArrow(sign, "bucket int, data binary, pairs binary")
-    met = signed.groupBy("bucket").applyInArrow(meet, "bucket int, pairs binary")
+    met = signed.groupBy("bucket").applyInArrow(lean(meet), "bucket int, pairs binary")
     return met.groupBy("bucket").applyInArrow(once, "a long, b long")
 
 
@@ -480,7 +484,7 @@ def _lines(docs: DataFrame, sets: DataFrame, size: DataFrame, words: int) -> Dat
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text's set, once for each of its places; rows of an id with another set than the told one go."""
         reader = Sets(words)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts, places, names, rows = texts_of(batch), batch.column("at").to_pylist(), batch.column("doc_id").to_pylist(), []
             for a, b in chunks(texts):
                 keys, counts = reader.read(texts[a:b])
@@ -537,7 +541,7 @@ def _products(lines: DataFrame, size: DataFrame, num: int, den: int, counted: bo
         rows = np.concatenate(made)
         return pa.table({c: pa.array(rows[:, i]) for i, c in enumerate(names)})
 
-    return dealt.groupBy("g", "u", "p", "q").applyInArrow(multiply, ", ".join(f"{c} long" for c in names))
+    return dealt.groupBy("g", "u", "p", "q").applyInArrow(lean(multiply), ", ".join(f"{c} long" for c in names))
 
 
 def _unit_links(
@@ -557,9 +561,10 @@ def _unit_links(
     least = np.full(len(left), np.iinfo(np.int64).max)
     np.minimum.at(least, own, ids[left])
     np.minimum.at(least, other[other >= 0], ids[right][other >= 0])
-    sides = [(left, least[own], found @ c[right])]
+    sides = [(left, least[own], np.concatenate([found[i : i + STRIP] @ c[right] for i in range(0, len(left), STRIP)]))]
     if not alone:
-        sides.append((right, np.where(other >= 0, least[other], ids[right]), c[left] @ found))
+        told = np.concatenate([c[left] @ found[:, i : i + STRIP] for i in range(0, len(right), STRIP)])
+        sides.append((right, np.where(other >= 0, least[other], ids[right]), told))
     out = np.concatenate([np.stack([ids[s], b, n[s], x[s], y[s], k], axis=1) for s, b, k in sides]).astype(np.int64)
     return out[(out[:, 0] != out[:, 1]) | (out[:, 5] > 0)]
 
@@ -608,7 +613,7 @@ def _large_units(large: DataFrame, limit: int, num: int, den: int) -> DataFrame:
             b = np.concatenate([lead[rows], lead[columns[columns >= 0]]])
         return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
 
-    crossed = rows.union(columns).groupBy(*key, "turn", "slice").applyInArrow(multiply, "a long, b long")
+    crossed = rows.union(columns).groupBy(*key, "turn", "slice").applyInArrow(lean(multiply), "a long, b long")
     return star.union(crossed)
 
 
