@@ -219,9 +219,11 @@ def _(spark, sf_dir):
     return read.get(events(spark, sf_dir), 7)
 
 
-@query("c2_get_asof", f"SELECT uk, val FROM {live_sql(where=f'seq <= {SNAP}')} WHERE uk = 7")
+@query("c2_get_asof", f"SELECT uk, val FROM {live_sql(where=f'seq <= {SNAP}')} WHERE uk = (SELECT min(uk) FROM {live_sql(where=f'seq <= {SNAP}')})")
 def _(spark, sf_dir):
-    return read.get(events(spark, sf_dir), 7, SNAP)
+    """The smallest key that lives at the snapshot, read by a point lookup."""
+    rows = events(spark, sf_dir)
+    return read.get(rows, read.live(rows, SNAP).agg(F.min("uk")).first()[0], SNAP)
 
 
 @query("c3_multi_get", f"SELECT c_custkey AS uk, CASE WHEN vt IS NULL THEN 'absent' WHEN vt = 0 THEN 'deleted' ELSE 'value' END AS status, CASE WHEN vt = 1 THEN val END AS val FROM customer LEFT JOIN {latest_sql()} l ON l.uk = c_custkey")
@@ -720,51 +722,57 @@ def _(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", keys.test_key(F.col("event_id")).alias("k"))
 
 
-@query("i1_varint")
+@query("i1_varint", "SELECT event_id, array_to_string([printf('%02X', ((event_id >> (7 * i)) & 127) | CASE WHEN event_id >> (7 * i + 7) > 0 THEN 128 ELSE 0 END) FOR i IN range(0, 9) IF i = 0 OR event_id >> (7 * i) > 0], '') AS varint, event_id AS value FROM events")
 def _(spark, sf_dir):
     made = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", codec.varint64(F.col("event_id")).alias("v"))
     return made.select("event_id", F.hex("v").alias("varint"), codec.varint64_value("v").alias("value"))
 
 
-@query("i9_crc32c")
+CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, %s), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: xor(c >> 1, (c & 1) * 2197175160))))"
+BYTES = "list_transform(string_split(props, ''), lambda x: ascii(x)::BIGINT)"
+
+
+@query("i9_crc32c", f"SELECT event_id, c AS crc, ((c >> 15 | ((c * 131072) & 4294967295)) + 2726488792) & 4294967295 AS masked FROM (SELECT event_id, {CRC % BYTES} AS c FROM events)")
 def _(spark, sf_dir):
     raw = F.encode("props", "UTF-8")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     return rows.select("event_id", codec.crc32c(raw).alias("crc"), codec.masked_crc32c(raw).alias("masked"))
 
 
-@query("i18_chunk_checksum")
+@query("i18_chunk_checksum", f"SELECT event_id, ((c >> 15 | ((c * 131072) & 4294967295)) + 2726488792) & 4294967295 AS checksum FROM (SELECT event_id, {CRC % f'list_prepend(1::BIGINT, {BYTES})'} AS c FROM events)")
 def _(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     return rows.select("event_id", codec.chunk_checksum(F.lit(1), F.encode("props", "UTF-8")).alias("checksum"))
 
 
-@query("b13_batch_codec")
+@query("b13_batch_codec", f"SELECT seq, uk, vt, val FROM {ML}")
 def _(spark, sf_dir):
     """Batches of 64 mutations, encoded and decoded."""
+    encode, decode = codec.encode_batch, codec.decode_batch  # the module holds objects of the driver, which can't travel
 
     def through(rows):
         import pandas as pd
 
         rows = rows.sort_values("seq")
         operations = [(str(u).encode(), v.encode() if t else None) for u, t, v in zip(rows["uk"], rows["vt"], rows["val"])]
-        back = codec.decode_batch(codec.encode_batch(int(rows["seq"].iloc[0]), operations))
+        back = decode(encode(int(rows["seq"].iloc[0]), operations))
         return pd.DataFrame([(s, int(k), 0 if v is None else 1, "" if v is None else v.decode()) for s, k, v in back], columns=["seq", "uk", "vt", "val"])
 
     return events(spark, sf_dir).groupBy(F.expr("(seq - 1) div 64")).applyInPandas(through, "seq long, uk long, vt int, val string")
 
 
-@query("i15_block_codec")
+@query("i15_block_codec", "SELECT g, count(*) AS n, CAST(sum(3 + 12 - shared + strlen(v)) + 4 * ceil(count(*) / 16.0) + 4 AS BIGINT) AS bytes, TRUE AS equal FROM (SELECT g, v, CASE WHEN pos % 16 = 0 THEN 0 ELSE coalesce((SELECT max(i) FROM range(1, 13) t(i) WHERE k[:i] = p[:i]), 0) END AS shared FROM (SELECT g, k, v, row_number() OVER w - 1 AS pos, lag(k) OVER w AS p FROM (SELECT o_orderkey // 1000 AS g, printf('%012d', o_orderkey) AS k, o_orderpriority AS v FROM orders) WINDOW w AS (PARTITION BY g ORDER BY k))) GROUP BY g")
 def _(spark, sf_dir):
     """Blocks of keys by thousands, encoded and decoded: entries, bytes, equal."""
+    encode, decode = codec.encode_block, codec.decode_block
 
     def through(rows):
         import pandas as pd
 
         rows = rows.sort_values("k")
         entries = [(k.encode(), v.encode()) for k, v in zip(rows["k"], rows["v"])]
-        block = codec.encode_block(entries)
-        return pd.DataFrame([(int(rows["g"].iloc[0]), len(entries), len(block), codec.decode_block(block) == entries)], columns=["g", "n", "bytes", "equal"])
+        block = encode(entries)
+        return pd.DataFrame([(int(rows["g"].iloc[0]), len(entries), len(block), decode(block) == entries)], columns=["g", "n", "bytes", "equal"])
 
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.expr("o_orderkey div 1000").alias("g"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("k"), F.col("o_orderpriority").alias("v"))
