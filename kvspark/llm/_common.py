@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def input_bytes(docs: DataFrame) -> int:
+    """About the bytes of the files that ``docs`` reads, by Spark's statistics; of the texts, if there are none."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 56 else docs.selectExpr("sum(octet_length(text))").first()[0] or 0
+
+
 def release() -> None:
     """Give freed memory back to the system: a reused worker else keeps what its largest task took."""
     pa.default_memory_pool().release_unused()

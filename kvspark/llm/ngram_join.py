@@ -4,11 +4,11 @@ Documents are rows, hashed word n-grams are columns. Two documents link when
 den * overlap >= num * union of their sets. The product is never formed whole:
 
 * Order. All n-grams have one order, rare ones first: by how often their counter
-  (one of ``COUNTERS``, summed over all documents in the pass that also takes the
-  sets' digests) was met, then by hash. Any common order gives the same links; one
-  by frequency keeps passages that many documents share out of the columns below.
-  Where distinct n-grams far outnumber the counters only the more frequent passages
-  stand out, and blocks grow.
+  was met, summed over all documents in the pass that also takes the sets' digests,
+  then by hash. Any common order gives the same links; one by frequency keeps
+  passages that many documents share out of the columns below. Counters follow the
+  input's bytes up to 2 ** ``MOST_BITS``; where distinct n-grams far outnumber them
+  only the more frequent passages stand out, and blocks grow.
 * Blocks. Linked sets overlap by at least num / den of either's size, so that among
   the first size - ceil(num * size / den) + 1 n-grams of both one is common. Only
   these columns are looked at. The sets of a column, in order of size, are joined
@@ -47,13 +47,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm._common import lean, release, slices, worker_cache, written
+from kvspark.llm._common import input_bytes, lean, release, slices, worker_cache, written
 from kvspark.llm._components import components
 from kvspark.llm._words import BASES, U64, Hasher, chunks, mix, positions
 
 SALTS = 16
-#: Counters of n-grams, in slices that are summed apart, ``FAN`` tasks' at a time.
-COUNTER_BITS, SLICE_BITS, FAN = 23, 17, 256
+#: Counters of n-grams: one for so many bytes of input, up to a power of two (a byte each is broadcast), in
+#: slices that are summed apart, ``FAN`` tasks' at a time. A task tells so many n-grams' counters at once.
+BYTES_A_COUNTER, LEAST_BITS, MOST_BITS, SLICE_BITS, FAN, TALLY = 8, 18, 25, 17, 256, 1 << 22
 #: The bitmap of ids has this many words of 64 bits.
 WORDS = 1 << 20
 LIMIT, PART_BYTES, SMALL_BYTES = 2048, 1 << 23, 1 << 20
@@ -102,8 +103,8 @@ def digests(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return x, y
 
 
-def counter_of(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys) >> U64(64 - COUNTER_BITS)).astype(np.int64)
+def counter_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys) >> U64(64 - bits)).astype(np.uint32)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -117,10 +118,9 @@ def unplanes(blob: bytes, n: int, dtype: str, offset: int) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(dtype)[:, 0]
 
 
-def sparse(counts: np.ndarray) -> bytes:
-    """Steps between the counters of a slice that aren't zero, and their counts."""
-    at = np.flatnonzero(counts)
-    return zlib.compress(planes(np.diff(at, prepend=0).astype("<u4")) + planes(counts[at].astype("<u4")), 1)
+def sparse(at: np.ndarray, counts: np.ndarray) -> bytes:
+    """Steps between sorted counters, and their counts."""
+    return zlib.compress(planes(np.diff(at.astype(np.int64), prepend=0).astype("<u4")) + planes(counts.astype("<u4")), 1)
 
 
 def add_sparse(total: np.ndarray, blob: bytes) -> None:
@@ -138,7 +138,7 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 def select(keys: np.ndarray, counts: np.ndarray, num: int, den: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n-gram, index of its document): the first of each set in the common order."""
     whose = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((mix(keys), levels[counter_of(keys)], whose))
+    order = np.lexsort((mix(keys), levels[counter_of(keys, len(levels).bit_length() - 1)], whose))
     place = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
     take = place < np.repeat(counts - -(-num * counts // den) + 1, counts)
     return keys[order][take], whose[take]
@@ -272,6 +272,7 @@ def groups_of(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _counted(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, x, y for each row; level of each counter), from one pass over the texts."""
     names = ["doc_id", "n", "x", "y", "part", "slice", "data"]
+    bits = min(MOST_BITS, max(LEAST_BITS, (input_bytes(docs) // BYTES_A_COUNTER).bit_length()))
 
     def rows_of(columns: dict, n: int, ids: pa.Array | None = None) -> pa.RecordBatch:
         kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
@@ -279,27 +280,39 @@ def _counted(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         return pa.RecordBatch.from_arrays([ids if ids is not None else made[0], *made[1:]], names=names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, tally = Sets(words), np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
+        sets, held, size, part = Sets(words), [], 0, TaskContext.get().partitionId()
+
+        def told() -> pa.RecordBatch:
+            at, counts = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(at, np.arange(0, (1 << bits) + 1, 1 << SLICE_BITS))
+            own = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+            data = [sparse(at[cuts[s] : cuts[s + 1]] - (s << SLICE_BITS), counts[cuts[s] : cuts[s + 1]]) for s in own]
+            return rows_of({"part": [part] * len(own), "slice": own, "data": data}, len(own))
+
         for batch in batches:
             texts, columns = texts_of(batch), [[], [], []]
             for a, b in chunks(texts):
                 keys, counts = sets.read(texts[a:b])
-                np.add.at(tally, counter_of(keys), 1)
+                held.append(counter_of(keys, bits))
+                size += len(keys)
+                if size > TALLY:
+                    yield told()
+                    held, size = [], 0
                 for column, made in zip(columns, (counts, *digests(keys, counts)), strict=True):
                     column.append(made)
             made = [np.concatenate(c) if c else np.empty(0, dtype=np.int64) for c in columns]
             yield rows_of(dict(zip("nxy", made, strict=True)), batch.num_rows, batch.column("doc_id"))
-        own = [(i, s) for i, s in enumerate(tally.reshape(-1, 1 << SLICE_BITS)) if s.any()]
-        part = TaskContext.get().partitionId()
-        yield rows_of({"part": [part] * len(own), "slice": [i for i, _ in own], "data": [sparse(s) for _, s in own]}, len(own))
-        del tally, own
+        if held:
+            yield told()
+        del held
         release()
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << SLICE_BITS, dtype=np.uint64)
         for blob in table.column("data").to_pylist():
             add_sparse(total, blob)
-        told = sparse(np.minimum(total, np.iinfo(np.uint32).max))
+        at = np.flatnonzero(total)
+        told = sparse(at, np.minimum(total[at], np.iinfo(np.uint32).max))
         return pa.table([pa.array([table.column("part")[0].as_py()], pa.int64()), pa.array([table.column("slice")[0].as_py()], pa.int32()), pa.array([told], pa.binary())], names=names[4:])
 
     def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +333,7 @@ def _counted(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         told = told.withColumn("part", F.col("part") % parts).groupBy("slice", "part").applyInArrow(add, "part long, slice int, data binary")
         if parts == 1:
             break
-    levels = np.zeros((1 << (COUNTER_BITS - SLICE_BITS), 1 << SLICE_BITS), dtype=np.uint8)
+    levels = np.zeros((1 << (bits - SLICE_BITS), 1 << SLICE_BITS), dtype=np.uint8)
     for row in told.select("slice", "data").mapInArrow(level, "slice int, data binary").collect():  # a row for each slice
         levels[row["slice"]] = np.frombuffer(zlib.decompress(row["data"]), dtype=np.uint8)
     return made.where("slice is null").select("doc_id", "n", "x", "y"), levels.reshape(-1)

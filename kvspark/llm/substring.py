@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm._common import lean, release, worker_cache
+from kvspark.llm._common import input_bytes, lean, release, worker_cache
 from kvspark.llm._words import BASES, Hasher, chunks, positions
 
 #: Perfect difference sets by their period.
@@ -128,9 +128,7 @@ def blocks_for(docs: DataFrame) -> int:
     the input's files; where pairs of block and bucket would have less than ``BYTES_A_PAIR`` of them,
     blocks grow as the root of the input."""
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > 1 << 56:  # Spark can't tell
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = input_bytes(docs)
     return max(least, min(size // BLOCK_BYTES, int((size // BYTES_A_PAIR) ** 0.5)))
 
 
