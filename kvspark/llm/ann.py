@@ -33,11 +33,12 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvspark.llm._common import written
@@ -211,6 +212,13 @@ def usable(vector):
     return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
 
 
+def _spread(spark: SparkSession, shards: int) -> int:
+    """A number of partitions, about twice the shards, in which the fewest shards meet."""
+    held = [r["h"] for r in spark.range(shards).selectExpr("hash(cast(id AS int)) AS h").collect()]
+    least = max(1, 2 * shards)
+    return min(range(least, least + 32), key=lambda n: max(Counter(h % n for h in held).values(), default=0))
+
+
 def nearest(
     vectors: DataFrame, every: int = 20, k: int = 20, per_shard: int = PER_SHARD, beam: int = QUERY_BEAM
 ) -> DataFrame:
@@ -252,7 +260,7 @@ def nearest(
     shape = "shard int, dim int, own binary, edges binary, start int, lengths binary, ids binary"
     # a graph is heavy work on few bytes: the shards are dealt to tasks of their own, which aren't put together by size
     dealt = classes.withColumn("dim", F.size("v")).join(table, "dim").select(shard, "dim", "v", "ids")
-    dealt = dealt.repartition(2 * max(first, 1), "shard")
+    dealt = dealt.repartition(_spread(spark, first), "shard")
     graphs = written(dealt.groupBy("shard").applyInArrow(make, shape), "graphs")
 
     asked = few.where(F.col("vec_id") % every == 0).distinct().withColumn("dim", F.size("v"))
