@@ -176,7 +176,9 @@ class Packer:
             self.fill(min(self.tiers[-1], 1 << (left.bit_length() - 1)), len(self.tiers) - 1)
 
 
-NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "told"]
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "step_group"]
+#: Before the steps are known: the ids of the partition before the sequence.
+PIECES = [*NAMES[:-1], "told"]
 
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, window: int = WINDOW,
@@ -195,9 +197,9 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, wi
         end = end_id.to_bytes(4, "little")
 
         def told() -> pa.RecordBatch:
-            columns = list(zip(*packer.rows, strict=True)) or [[]] * len(NAMES)
+            columns = list(zip(*packer.rows, strict=True)) or [[]] * len(PIECES)
             packer.rows = []
-            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=PIECES)
 
         for batch in batches:
             for part in slices(batch, rows=512):
@@ -212,7 +214,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, wi
         yield told()
         release()
 
-    pieces = written(few.mapInArrow(run, ", ".join(f"{n} long" for n in NAMES)), "pieces")
+    pieces = written(few.mapInArrow(run, ", ".join(f"{n} long" for n in PIECES)), "pieces")
     partition = F.shiftright("sequence_id", 32).alias("partition")
     sums = pieces.groupBy(partition).agg(F.sum("length").alias("n")).orderBy("partition").collect()  # a row for each partition
     before, at = [], 0
