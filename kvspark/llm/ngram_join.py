@@ -167,17 +167,26 @@ def in_order(data: np.ndarray) -> np.ndarray:
     return data[np.lexsort((data["id"], data["n"], data["s"]))]
 
 
-def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The different pairs (smaller, larger) of unequal ids, as rows."""
-    rows = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b]
-    return np.unique(rows, axis=0) if len(rows) else rows
+def stars(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(smallest, id) for each id that pairs connect with a smaller one: the same components by fewer, shorter links."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(ids))
+    while len(u):  # roots take the least root that they meet, then every path is cut short
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+        u, v = root[u], root[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+    return np.stack([ids[root], ids], axis=1)[root != np.arange(len(ids))]
 
 
 def same_size(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one row for each column and size, pairs that join the others to it); ``data`` is in order."""
+    """(one row for each column and size, links that join the others to it); ``data`` is in order."""
     new = np.concatenate([[True], (data["s"][1:] != data["s"][:-1]) | (data["n"][1:] != data["n"][:-1])])
     lead = data["id"][np.flatnonzero(new)][np.cumsum(new) - 1]
-    return data[new], distinct_pairs(lead[~new], data["id"][~new])
+    return data[new], stars(lead[~new], data["id"][~new])
 
 
 def neighbours(data: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -185,7 +194,7 @@ def neighbours(data: np.ndarray, num: int, den: int) -> np.ndarray:
     data = in_order(data)
     size = data["n"].astype(np.int64)
     near = (data["s"][1:] == data["s"][:-1]) & (den * size[:-1] >= num * size[1:])
-    return distinct_pairs(data["id"][:-1][near], data["id"][1:][near])
+    return np.stack([data["id"][:-1][near], data["id"][1:][near]], axis=1)
 
 
 def texts_of(batch: pa.RecordBatch) -> list[bytes]:
@@ -340,7 +349,7 @@ def _counted(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def _pairs(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
-    """a, b: ids of neighbouring sets of a column."""
+    """a, b: ids of sets that neighbours in columns connect, as stars of the smallest ids of a bucket of columns."""
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     held_levels = spark.sparkContext.broadcast(levels)  # a byte for each counter
@@ -354,7 +363,7 @@ def _pairs(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = [(b, packed(data[order[cuts[b] : cuts[b + 1]]]), None) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            deal = pairs[:, 0] % buckets
+            deal = pairs[:, 1] % buckets
             rows += [(b, None, pairs[deal == b].astype("<i8").tobytes()) for b in np.unique(deal).tolist()]
             kinds = [pa.int32(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "data", "pairs"])
@@ -391,8 +400,8 @@ def _pairs(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray)
         pairs = [np.frombuffer(b, dtype="<i8").reshape(-1, 2) for b in table.column("pairs").to_pylist() if b]
         if data:
             pairs.append(neighbours(np.concatenate(data), num, den))
-        rows = np.unique(np.concatenate(pairs), axis=0)
-        deal = rows[:, 0] % buckets
+        rows = stars(*np.concatenate(pairs).T)
+        deal = rows[:, 1] % buckets  # by the larger id: the smallest is that of many
         own = np.unique(deal).tolist()
         return pa.table({"bucket": pa.array(own, pa.int32()), "pairs": pa.array([rows[deal == b].astype("<i8").tobytes() for b in own], pa.binary())})
 
@@ -400,7 +409,8 @@ def _pairs(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray)
         rows = np.unique(np.frombuffer(b"".join(table.column("pairs").to_pylist()), dtype="<i8").reshape(-1, 2), axis=0)
         return pa.table({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1])})
 
-    # a pair with many common columns is met in many buckets: pairs travel packed and are told once
+    # copies meet in most buckets, and each tells them as a star of the same smallest id: links travel packed
+    # and are told once, and their components take few rounds
     signed = docs.mapInArrow(sign, "bucket int, data binary, pairs binary")
     met = signed.groupBy("bucket").applyInArrow(lean(meet), "bucket int, pairs binary")
     return met.groupBy("bucket").applyInArrow(once, "a long, b long")
