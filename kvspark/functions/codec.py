@@ -6,13 +6,14 @@ What Spark has no expression for runs as Arrow-batched functions.
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import LongType
 
 from kvspark.functions.keys import crc_mask
 
@@ -66,6 +67,11 @@ def chunk_checksum(kind: Column, payload: Column) -> Column:
     return masked_crc32c(F.concat(F.unhex(F.lpad(F.hex(kind.cast("long")), 2, "0")), payload))
 
 
+def block_checksum(data: Column, compression: Column) -> Column:
+    """Of the block's bytes and the byte that tells its compression."""
+    return masked_crc32c(F.concat(data, _byte(compression)))
+
+
 def varint(n: int, bits: int = 64) -> bytes:
     """Seven bits a byte, lowest first; the high bit says that more follow. Negative numbers wrap."""
     n &= (1 << bits) - 1
@@ -92,14 +98,36 @@ def read_varint(data: bytes, at: int = 0, bits: int = 64) -> tuple[int, int]:
     raise ValueError("varint has no end")
 
 
-@F.pandas_udf(BinaryType())
-def varint64(n: pd.Series) -> pd.Series:
-    return n.map(lambda v: None if pd.isna(v) else varint(int(v)))
+def _byte(n: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 2, "0"))
 
 
-@F.pandas_udf(LongType())
-def varint64_value(data: pd.Series) -> pd.Series:
-    return data.map(lambda v: None if v is None else read_varint(bytes(v))[0]).astype("Int64")
+def varint64(n: Column | str) -> Column:
+    """``varint`` of a long column, ten bytes for negative numbers; null stays null."""
+    n = (F.col(n) if isinstance(n, str) else n).cast("long")
+    out = []
+    for i in range(10):
+        rest, more = F.shiftrightunsigned(n, 7 * i), F.shiftrightunsigned(n, 7 * i + 7) if i < 9 else F.lit(0)
+        byte = _byte(rest.bitwiseAND(F.lit(127)).bitwiseOR(F.when(more != 0, 128).otherwise(0)))
+        out.append(byte if i == 0 else F.when(rest != 0, byte).otherwise(F.unhex(F.lit(""))))
+    return F.when(n.isNotNull(), F.concat(*out))
+
+
+def varint64_value(data: Column | str) -> Column:
+    """The long of a binary column that holds one varint; fails when it doesn't end within ten bytes."""
+    data = F.col(data) if isinstance(data, str) else data
+    at = lambda i: F.coalesce(F.conv(F.hex(F.substring(data, i + 1, 1)), 16, 10).cast("long"), F.lit(0).cast("long"))
+    value = at(0).bitwiseAND(F.lit(127))
+    for i in range(1, 10):
+        value = value.bitwiseOR(F.shiftleft(at(i).bitwiseAND(F.lit(127)), 7 * i))
+    last = F.conv(F.hex(F.substring(data, -1, 1)), 16, 10).cast("long")
+    ends = (F.octet_length(data) > 0) & (F.octet_length(data) <= 10) & (last < 128)
+    return F.when(data.isNull(), None).when(ends, value).otherwise(F.raise_error(F.lit("varint has no end")).cast("long"))
+
+
+def prefixed(value: Column) -> Column:
+    """A binary column after its length as a varint."""
+    return F.concat(varint64(F.octet_length(value)), value)
 
 
 def length_prefixed(data: bytes) -> bytes:
@@ -111,6 +139,29 @@ def little_long(n: Column) -> Column:
     return _turned(F.lpad(F.hex(n), 16, "0"), 8)
 
 
+def little_int(n: Column) -> Column:
+    """Four bytes, little-endian, of the lower 32 bits."""
+    return _turned(F.lpad(F.hex(n.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), 8, "0"), 4)
+
+
+def little_value(data: Column, size: int) -> Column:
+    """The long of ``size`` bytes (at most 8), little-endian; four bytes and fewer are unsigned."""
+    value = F.lit(0).cast("long")
+    for i in range(size):
+        byte = F.conv(F.hex(F.substring(data, i + 1, 1)), 16, 10).cast("long")
+        value = value.bitwiseOR(F.shiftleft(byte, 8 * i))
+    return value
+
+
+def slice_hash(data: Column) -> Column:
+    """The 31-polynomial of the signed bytes from the length on, in 32 bits."""
+    low = F.lit(0xFFFFFFFF).cast("long")
+    digits = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
+    signed = lambda h: F.conv(h, 16, 10).cast("long").bitwiseXOR(F.lit(128)) - 128
+    total = F.aggregate(digits, F.octet_length(data).cast("long"), lambda t, h: (t * 31 + signed(h)).bitwiseAND(low))
+    return (total.bitwiseXOR(F.lit(1 << 31)) - F.lit(1 << 31)).cast("int")
+
+
 def _turned(hexed: Column, size: int) -> Column:
     return F.unhex(F.concat(*[F.substring(hexed, 2 * i + 1, 2) for i in reversed(range(size))]))
 
@@ -182,6 +233,27 @@ def decode_block(data: bytes) -> list[tuple[bytes, bytes]]:
     return out
 
 
+def block_seek(data: bytes, target: bytes) -> tuple[bytes, bytes] | None:
+    """The first entry whose key isn't under ``target``: the last restart below it by bisection, then in order."""
+    (restarts,) = struct.unpack_from("<i", data, len(data) - 4)
+    stop = len(data) - 4 - 4 * restarts
+    places = struct.unpack_from(f"<{restarts}i", data, stop)
+
+    def entry(at: int, before: bytes) -> tuple[int, bytes, bytes]:
+        shared, at = read_varint(data, at, 32)
+        rest, at = read_varint(data, at, 32)
+        size, at = read_varint(data, at, 32)
+        return at + rest + size, before[:shared] + data[at : at + rest], data[at + rest : at + rest + size]
+
+    under = bisect_left(range(restarts), True, key=lambda i: entry(places[i], b"")[1] >= target)
+    at, key = places[max(under - 1, 0)] if restarts else stop, b""
+    while at < stop:
+        at, key, value = entry(at, key)
+        if key >= target:
+            return key, value
+    return None
+
+
 def footer(meta: tuple[int, int], index: tuple[int, int]) -> bytes:
     """48 bytes: the handles of two blocks, padding, the magic number."""
     handles = b"".join(varint(n) for n in (*meta, *index))
@@ -253,3 +325,43 @@ def read_log(data: bytes) -> tuple[list[bytes], int]:
             out.append(held)
             held = None
     return out, dropped + len(held or b"")
+
+
+# Edits of the manifest: tags with their fields.
+
+#: Fixed values of the format: tag -> (name, fields); v: varint, b: length-prefixed bytes.
+EDIT_TAGS = {
+    1: ("comparator", "b"), 2: ("log_number", "v"), 3: ("next_file", "v"), 4: ("last_sequence", "v"), 5: ("compact_pointer", "vb"),
+    6: ("deleted_file", "vv"), 7: ("new_file", "vvvbb"), 9: ("previous_log", "v"),
+}
+
+
+def encode_edit(records: list[tuple]) -> bytes:
+    """Records (name, field, ...) in order."""
+    tags, out = {name: (tag, kinds) for tag, (name, kinds) in EDIT_TAGS.items()}, b""
+    for name, *fields in records:
+        tag, kinds = tags[name]
+        out += varint(tag, 32)
+        for kind, field in zip(kinds, fields, strict=True):
+            out += varint(field) if kind == "v" else length_prefixed(field)
+    return out
+
+
+def decode_edit(data: bytes) -> list[tuple]:
+    """The records of an edit; ValueError for an unknown tag or one cut short."""
+    at, out = 0, []
+    while at < len(data):
+        tag, at = read_varint(data, at, 32)
+        if tag not in EDIT_TAGS:
+            raise ValueError(f"tag {tag}")
+        name, kinds = EDIT_TAGS[tag]
+        fields = []
+        for kind in kinds:
+            n, at = read_varint(data, at)
+            if kind == "b":
+                if at + n > len(data):
+                    raise ValueError("edit cut short")
+                n, at = data[at : at + n], at + n
+            fields.append(n)
+        out.append((name, *fields))
+    return out

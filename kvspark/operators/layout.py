@@ -235,6 +235,16 @@ def file_names(files: DataFrame) -> DataFrame:
     return files.select("run_id", name.alias("file_name"), kind.alias("file_type"))
 
 
+def parsed_names(names: DataFrame) -> DataFrame:
+    """name, kind, number: what the store's file names tell; null for other files."""
+    name, number = F.col("name"), F.regexp_extract("name", r"(\d+)", 1)
+    kind = F.when(name.isin("LOG", "LOG.old"), "info_log").when(name.isin("CURRENT", "LOCK"), F.lower("name"))
+    for form, told in ((r"^\d+\.log$", "log"), (r"^\d+\.sst$", "table"), (r"^MANIFEST-\d+$", "descriptor"), (r"^\d+\.dbtmp$", "temp")):
+        kind = kind.when(name.rlike(form), told)
+    known = names.select(name, kind.alias("kind"), number.alias("number"))
+    return known.withColumn("number", F.when(F.col("kind").isNotNull(), F.coalesce(F.expr("try_cast(number AS long)"), F.lit(0).cast("long"))))
+
+
 def block_estimate(entries: DataFrame, key_bytes: Column, value_bytes: Column, restart: int) -> DataFrame:
     """bytes of one block of entries (with shared): three lengths, what isn't shared, values, restart places, their number."""
     from kvspark.functions.keys import varint_size

@@ -779,6 +779,124 @@ def _(spark, sf_dir):
     return rows.groupBy("g").applyInPandas(through, "g long, n long, bytes long, equal boolean")
 
 
+def varint_sql(n: str) -> str:
+    return f"array_to_string([printf('%02X', (({n} >> (7 * i)) & 127) | CASE WHEN {n} >> (7 * i + 7) > 0 THEN 128 ELSE 0 END) FOR i IN range(0, 9) IF i = 0 OR {n} >> (7 * i) > 0], '')"
+
+
+@query("i2_varint64", f"SELECT event_id, {varint_sql('n')} AS varint, n AS value FROM (SELECT event_id, event_id * 46116860184273 AS n FROM events)")
+def _(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") * 46116860184273).alias("n"))
+    made = rows.select("event_id", codec.varint64("n").alias("v"))
+    return made.select("event_id", F.hex("v").alias("varint"), codec.varint64_value("v").alias("value"))
+
+
+@query("i5_length_prefixed", f"SELECT doc_id, md5(unhex({varint_sql('n')} || hex(encode(text)))) AS digest FROM (SELECT doc_id, text, strlen(text) AS n FROM documents)")
+def _(spark, sf_dir):
+    made = codec.prefixed(F.encode("text", "UTF-8"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(made).alias("digest"))
+
+
+LITTLE = "array_to_string([substr(%s, 2 * i + 1, 2) FOR i IN %s], '')"
+
+
+@query("i8_little_endian", f"SELECT event_id, {LITTLE % ('w', '[3, 2, 1, 0]')} AS four, {LITTLE % ('h', '[7, 6, 5, 4, 3, 2, 1, 0]')} AS eight, n & 4294967295 AS four_value, n AS eight_value FROM (SELECT event_id, n, printf('%08X', n & 4294967295) AS w, printf('%016X', n) AS h FROM (SELECT event_id, event_id * 46116860184273 AS n FROM events))")
+def _(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") * 46116860184273).alias("n"))
+    rows = rows.select("event_id", codec.little_int(F.col("n")).alias("w"), codec.little_long(F.col("n")).alias("h"))
+    return rows.select("event_id", F.hex("w").alias("four"), F.hex("h").alias("eight"), codec.little_value(F.col("w"), 4).alias("four_value"), codec.little_value(F.col("h"), 8).alias("eight_value"))
+
+
+@query("i16_footer", f"SELECT run_id, rpad({varint_sql('n')} || {varint_sql('lo')} || {varint_sql('bytes')} || {varint_sql('hi')}, 80, '0') || '57FB808B247547DB' AS footer, n AS meta_at, bytes AS index_at FROM {FILES}")
+def _(spark, sf_dir):
+    """The footer for the handles (n, lo) and (bytes, hi), and what is read from it."""
+    encode, decode = codec.footer, codec.read_footer
+
+    def through(batches):
+        import pandas as pd
+
+        for rows in batches:
+            made = [encode((n, lo), (b, hi)) for n, lo, b, hi in zip(*(rows[c].tolist() for c in ("n", "lo", "bytes", "hi")))]
+            back = [decode(m) for m in made]
+            yield pd.DataFrame({"run_id": rows["run_id"], "footer": [m.hex().upper() for m in made], "meta_at": [b[0][0] for b in back], "index_at": [b[1][0] for b in back]})
+
+    return files(spark, sf_dir).select("run_id", "n", "lo", "bytes", "hi").mapInPandas(through, "run_id long, footer string, meta_at long, index_at long")
+
+
+@query("i19_block_checksum", f"SELECT event_id, ((c >> 15 | ((c * 131072) & 4294967295)) + 2726488792) & 4294967295 AS checksum FROM (SELECT event_id, {CRC % f'list_append({BYTES}, 1::BIGINT)'} AS c FROM events)")
+def _(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.select("event_id", codec.block_checksum(F.encode("props", "UTF-8"), F.lit(1)).alias("checksum"))
+
+
+EDIT_KEY = "'10' || printf('%016X', xor({0}, (-9223372036854775808)::BIGINT)::BIGINT) || " + LITTLE % ("printf('%016X', run_id * 256 + 1)", "[7, 6, 5, 4, 3, 2, 1, 0]")
+
+
+@query("i23_version_edit", f"SELECT run_id, '07' || {varint_sql('level')} || {varint_sql('run_id')} || {varint_sql('bytes')} || {EDIT_KEY.format('lo')} || {EDIT_KEY.format('hi')} AS edit, level, bytes FROM {FILES}")
+def _(spark, sf_dir):
+    """The manifest's record of each new file, and what is read from it."""
+    key = lambda c: codec.internal_key(keys.long_key(F.col(c)), keys.pack(F.col("run_id"), F.lit(1)))
+    rows = files(spark, sf_dir).select("run_id", "level", "bytes", key("lo").alias("lo"), key("hi").alias("hi"))
+    encode, decode = codec.encode_edit, codec.decode_edit
+
+    def through(batches):
+        import pandas as pd
+
+        for rows in batches:
+            made = [encode([("new_file", *r)]) for r in zip(*(rows[c].tolist() for c in ("level", "run_id", "bytes", "lo", "hi")))]
+            back = [decode(m)[0] for m in made]
+            yield pd.DataFrame({"run_id": [b[2] for b in back], "edit": [m.hex().upper() for m in made], "level": [b[1] for b in back], "bytes": [b[3] for b in back]})
+
+    return rows.mapInPandas(through, "run_id long, edit string, level long, bytes long")
+
+
+@query("i24_slice_hash", f"SELECT event_id, CAST(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS INTEGER) AS hash FROM (SELECT event_id, list_reduce(list_prepend(strlen(props)::BIGINT, {BYTES}), lambda a, b: (a * 31 + b) & 4294967295) AS h FROM events)")
+def _(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", codec.slice_hash(F.encode("props", "UTF-8")).alias("hash"))
+
+
+@query("d16_block_seek", "SELECT g, min(k) FILTER (k >= printf('%012d', g * 1000 + 501)) AS found FROM (SELECT o_orderkey // 1000 AS g, printf('%012d', o_orderkey) AS k FROM orders) GROUP BY g")
+def _(spark, sf_dir):
+    """The first key from the middle of each block of keys by thousands on, found in the block's bytes."""
+    encode, seek = codec.encode_block, codec.block_seek
+
+    def through(rows):
+        import pandas as pd
+
+        block = encode([(k.encode(), b"") for k in sorted(rows["k"])])
+        g = int(rows["g"].iloc[0])
+        hit = seek(block, b"%012d" % (g * 1000 + 501))
+        return pd.DataFrame([(g, hit and hit[0].decode())], columns=["g", "found"])
+
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr("o_orderkey div 1000").alias("g"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("k"))
+    return rows.groupBy("g").applyInPandas(through, "g long, found string")
+
+
+@query("a12_log_records", "SELECT doc_id, md5(coalesce(text, '')) AS digest, 0::BIGINT AS dropped FROM documents")
+def _(spark, sf_dir):
+    """Texts written to chunked logs, a log for each Arrow batch of a task, and read back from the logs' bytes."""
+    write, scan = codec.write_log, codec.read_log
+
+    def through(batches):
+        import hashlib
+
+        import pandas as pd
+
+        for rows in batches:
+            back, dropped = scan(write([(t or "").encode() for t in rows["text"]]))
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "digest": [hashlib.md5(b).hexdigest() for b in back], "dropped": dropped})
+
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").mapInPandas(through, "doc_id long, digest string, dropped long")
+
+
+@query("a18_parse_names", "SELECT name, kind, number FROM (SELECT unnest([{'name': printf('%06d.log', run_id), 'kind': 'log', 'number': run_id}, {'name': printf('%06d.sst', run_id), 'kind': 'table', 'number': run_id}, {'name': printf('MANIFEST-%06d', run_id), 'kind': 'descriptor', 'number': run_id}, {'name': printf('%06d.dbtmp', run_id), 'kind': 'temp', 'number': run_id}], recursive := true) FROM " + FILES + ") UNION ALL SELECT * FROM (VALUES ('CURRENT', 'current', 0), ('LOCK', 'lock', 0), ('LOG', 'info_log', 0), ('LOG.old', 'info_log', 0), ('notes.txt', NULL, NULL))")
+def _(spark, sf_dir):
+    f = files(spark, sf_dir).select("run_id")
+    forms = [F.format_string(form, F.col("run_id")) for form in ("%06d.log", "%06d.sst", "MANIFEST-%06d", "%06d.dbtmp")]
+    names = f.select(F.explode(F.array(*forms)).alias("name"))
+    fixed = spark.createDataFrame([(n,) for n in ("CURRENT", "LOCK", "LOG", "LOG.old", "notes.txt")], "name string")
+    return layout.parsed_names(names.union(fixed))
+
+
 # S. Streams
 
 
