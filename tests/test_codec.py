@@ -89,3 +89,49 @@ def test_separator(spark, start, limit, want):
 def test_successor(spark, key, want):
     rows = spark.createDataFrame([(bytearray(key),)], "k binary")
     assert bytes(rows.select(keys.successor(F.col("k"))).first()[0]) == want
+
+
+def test_block_seek_is_the_lower_bound():
+    entries = [(b"k%04d" % i, b"v%d" % i) for i in range(0, 200, 3)]
+    for restart in (1, 3, 16, 500):
+        block = codec.encode_block(entries, restart)
+        for n in range(-1, 205):
+            target = b"k%04d" % n if n >= 0 else b""
+            assert codec.block_seek(block, target) == next((e for e in entries if e[0] >= target), None)
+    assert codec.block_seek(codec.encode_block([]), b"a") is None
+
+
+def test_edits_come_back():
+    records = [("comparator", b"order"), ("log_number", 7), ("next_file", 300), ("last_sequence", 1 << 40), ("compact_pointer", 2, b"key"),
+               ("deleted_file", 1, 9), ("new_file", 0, 10, 4096, b"", b"\xff" * 200), ("previous_log", 0)]
+    data = codec.encode_edit(records)
+    assert codec.decode_edit(data) == records
+    assert codec.decode_edit(b"") == []
+    for wrong in (b"\x08", data[:1] + b"\x7f", data[:-1]):
+        with pytest.raises(ValueError):
+            codec.decode_edit(wrong)
+
+
+def test_number_columns(spark):
+    numbers = [0, 1, 127, 128, 300, 2**31, 2**63 - 1, -1, -(2**63), None]
+    frame = spark.createDataFrame([(n,) for n in numbers], "n long")
+    row = frame.select("n", codec.varint64("n").alias("v"), codec.little_long(F.col("n")).alias("l"), codec.little_int(F.col("n")).alias("i"))
+    for r in row.select("*", codec.varint64_value("v").alias("back"), codec.little_value(F.col("l"), 8).alias("eight")).collect():
+        if r["n"] is None:
+            assert r["v"] is None and r["back"] is None and r["i"] is None
+            continue
+        assert bytes(r["v"]) == codec.varint(r["n"]) and r["back"] == r["n"] == r["eight"]
+        assert bytes(r["i"]) == (r["n"] & 0xFFFFFFFF).to_bytes(4, "little")
+    for wrong in (b"", b"\x80", b"\x80" * 10 + b"\x01"):
+        with pytest.raises(Exception, match="no end"):
+            spark.createDataFrame([(bytearray(wrong),)], "v binary").select(codec.varint64_value("v")).collect()
+
+
+def test_slice_hash(spark):
+    texts = [b"", b"a", b"\x80\xff", b"some longer text" * 9]
+    rows = spark.createDataFrame([(bytearray(t),) for t in texts], "t binary").select("t", codec.slice_hash(F.col("t")).alias("h"))
+    for r in rows.collect():
+        total = len(r["t"])
+        for byte in r["t"]:
+            total = total * 31 + (byte - 256 if byte > 127 else byte)
+        assert r["h"] == (total + 2**31) % 2**32 - 2**31
