@@ -273,13 +273,16 @@ def read_footer(data: bytes) -> tuple[tuple[int, int], tuple[int, int]]:
 # Logs: blocks of 32 KiB with chunks: checksum (4), length (2), type (1), payload.
 
 
-def _masked(kind: int, payload: bytes, table: np.ndarray) -> int:
-    c = int(crc32c_many([bytes([kind]) + payload], table)[0])
+def _masked(kind: int, payload: bytes, table: list[int]) -> int:
+    c = 0xFFFFFFFF  # one string at a time: numbers of Python are faster than arrays of one
+    for byte in bytes([kind]) + payload:
+        c = table[(c ^ byte) & 255] ^ (c >> 8)
+    c ^= 0xFFFFFFFF
     return (((c >> 15) | (c << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
 def write_log(records: list[bytes]) -> bytes:
-    table, out = crc_table(), bytearray()
+    table, out = crc_table().tolist(), bytearray()
     for record in records:
         at, begin = 0, True
         while True:
@@ -300,7 +303,7 @@ def write_log(records: list[bytes]) -> bytes:
 
 def read_log(data: bytes) -> tuple[list[bytes], int]:
     """(records, bytes dropped for wrong checksums, lengths or orders of chunks)."""
-    table, at, out, dropped, held = crc_table(), 0, [], 0, None
+    table, at, out, dropped, held = crc_table().tolist(), 0, [], 0, None
     while at + LOG_HEADER <= len(data):
         room = LOG_BLOCK - at % LOG_BLOCK
         if room < LOG_HEADER:
