@@ -468,7 +468,7 @@ def _groups(
     if counted:
         told = written(_products(lines, size, num, den, True), "product")
         links = classes.join(told.groupBy("n", "x", "y").agg(F.sum("linked").alias("linked")), ["n", "x", "y"], "full_outer")
-        links = links.select("n", "x", "y", F.coalesce("linked", "c").alias("linked"))
+        links = links.select("n", "x", "y", (F.coalesce("linked", F.lit(0)) + F.coalesce("c", F.lit(1))).alias("linked"))
         return of, components(told.select("a", "b").where("a != b").union(tied)), links
     if size.where("parts > 1").limit(1).count():
         lines = written(lines, "lines")
@@ -534,8 +534,8 @@ def _lines(docs: DataFrame, sets: DataFrame, size: DataFrame, words: int) -> Dat
 def _products(lines: DataFrame, size: DataFrame, num: int, den: int, counted: bool) -> DataFrame:
     """a, b, n, x, y, linked for each set of each pair of parts of a unit.
 
-    b: the smallest id that a is connected with there; linked: the rows that link to
-    the set there. Units of a few bytes share groups. If not ``counted``, links among
+    b: the smallest id that a is connected with there; linked: the rows of other sets that
+    link to the set there. Units of a few bytes share groups. If not ``counted``, links among
     a unit's high sets, which are found in the next unit, may be told too.
     """
     spark = lines.sparkSession
@@ -584,7 +584,10 @@ def _unit_links(
     least = np.full(len(left), np.iinfo(np.int64).max)
     np.minimum.at(least, own, ids[left])
     np.minimum.at(least, other[other >= 0], ids[right][other >= 0])
-    sides = [(left, least[own], np.concatenate([found[i : i + STRIP] @ c[right] for i in range(0, len(left), STRIP)]))]
+    told = np.concatenate([found[i : i + STRIP] @ c[right] for i in range(0, len(left), STRIP)])
+    if alone:  # a set's own rows are counted once, not by unit: it may be the only one of its band
+        told = told - found.diagonal() * c[left]
+    sides = [(left, least[own], told)]
     if not alone:
         told = np.concatenate([c[left] @ found[:, i : i + STRIP] for i in range(0, len(right), STRIP)])
         sides.append((right, np.where(other >= 0, least[other], ids[right]), told))

@@ -164,3 +164,13 @@ def test_repeated_and_nameless_rows_stay_once(spark, documents):
     got = sorted(((r["doc_id"], r["text"]) for r in keep_one(documents(rows), nameless=True).collect()), key=str)
     assert [r for r in got if r[1] not in (other, other + " x")] == sorted([(4, text), (4, "two words"), (None, None), (None, None), (7, "")], key=str)
     assert len(got) == 6
+
+
+def test_links_of_sets_alone_in_their_band(spark, documents):
+    """Pairs of one size and the next: where a band ends between them, each set is alone in its own."""
+    rows = []
+    for n in range(20, 60):
+        words = [f"w{n}.{i}" for i in range(n + 2)]
+        rows += [(10 * n, " ".join(words)), (10 * n + 1, " ".join([*words, "more"])), (10 * n + 2, " ".join([*words, "more"]))]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_links(documents(rows)).collect()}
+    assert got == {i: (i - i % 10, 2) for i, _ in rows}
