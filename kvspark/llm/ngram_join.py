@@ -8,10 +8,19 @@ den * overlap >= num * union of their sets. The product is never formed whole:
   then by hash. Any common order gives the same links; one by frequency keeps
   passages that many documents share out of the columns below. Counters follow the
   input's bytes up to 2 ** ``MOST_BITS``; where distinct n-grams far outnumber them
-  only the more frequent passages stand out, and blocks grow.
-* Blocks. Linked sets overlap by at least num / den of either's size, so that among
-  the first size - ceil(num * size / den) + 1 n-grams of both one is common. Only
-  these columns are looked at. The sets of a column, in order of size, are joined
+  only the more frequent passages stand out.
+* Blocks. Two linked sets whose smaller one lies in a band of sizes (as wide as the
+  bound) differ by d n-grams at most, d coming of the band. The band cuts the space of
+  hashes into m > d segments, so that of the m parts of both sets at least m - d are
+  equal, and among the first d + 1 parts of both, in any common order, one is. The order
+  puts parts of many rare n-grams first. These parts are the columns; a set has those of
+  its band and of the band before. By chance a single n-gram is soon in two texts, a
+  part of several hardly, however large the table: the counters choose between parts,
+  but blocks don't rest on them. Parts with an n-gram that no other row has aren't sent.
+  Bounds below ``PARTED`` leave too few n-grams in a part; there the columns are
+  n-grams: linked sets overlap by num / den of either's size, so that among the first
+  size - ceil(num * size / den) + 1 n-grams of both one is common.
+  The sets of a column, in order of size, are joined
   neighbour by neighbour while den * smaller >= num * larger: between two linked sets
   each step's ratio is at least theirs, so that none is lost, and a column of n sets
   gives n - 1 pairs at most. A task sends a set of each size of a column, the others
@@ -55,6 +64,10 @@ SALTS = 16
 #: Counters of n-grams: one for so many bytes of input, up to a power of two (a byte each is broadcast), in
 #: slices that are summed apart, ``FAN`` tasks' at a time. A task tells so many n-grams' counters at once.
 BYTES_A_COUNTER, LEAST_BITS, MOST_BITS, SLICE_BITS, FAN, TALLY = 8, 18, 25, 17, 256, 1 << 22
+#: From this ratio on the columns are parts of sets; m is that many times d + 1.
+PARTED, SEGMENTS = 0.75, 1.6
+#: Of the input's files, for each bucket of columns.
+BUCKET_BYTES = 16 << 20
 #: The bitmap of ids has this many words of 64 bits.
 WORDS = 1 << 20
 LIMIT, PART_BYTES, SMALL_BYTES = 2048, 1 << 23, 1 << 20
@@ -144,22 +157,75 @@ def select(keys: np.ndarray, counts: np.ndarray, num: int, den: int, levels: np.
     return keys[order][take], whose[take]
 
 
+def weights_of(levels: np.ndarray) -> np.ndarray:
+    """The weight of each level in a part's rank: full up to somewhat above the middle one, then by the count's inverse."""
+    middle = int(np.searchsorted(np.cumsum(np.bincount(levels, minlength=256)), len(levels) / 2))
+    above = np.maximum(np.arange(256) - middle - 4, 0)
+    return np.maximum(np.round(256 * 2.0 ** (-above / 8)), 1).astype(np.int64)
+
+
+def bands_to(most: int, num: int, den: int) -> np.ndarray:
+    """The least size of each band, up to the one after next to that of ``most``: sets that link are of one band or of
+    neighbouring ones."""
+    least = [1]
+    while len(least) < 3 or least[-3] <= most:
+        least.append(least[-1] * den // num + 1)
+    return np.array(least, dtype=np.int64)
+
+
+def parts_of(
+    keys: np.ndarray, counts: np.ndarray, num: int, den: int, levels: np.ndarray, weights: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of a part, index of its document): those of the first d + 1 parts of each set, by its band and by
+    the band before, that may be another row's too. ``keys`` are sorted in each document; no set is empty."""
+    if len(keys) == 0:
+        return np.empty(0, dtype=U64), np.empty(0, dtype=np.int64)
+    level = levels[counter_of(keys, len(levels).bit_length() - 1)]
+    single, weight = np.concatenate([[0], np.cumsum(level == 0)]), np.concatenate([[0], np.cumsum(weights[level])])
+    total = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(mix(keys), dtype=U64)])
+    whose = np.repeat(np.arange(len(counts)), counts)
+    least = bands_to(int(counts.max()), num, den)
+    own = np.searchsorted(least, counts, side="right") - 1
+    signs, owners = [], []
+    for band in (own, own - 1):
+        d = (least[band + 1] - 1) * (den - num) // num  # band -1: left out below
+        m = ((d + 1) * SEGMENTS).astype(U64)
+        segment = ((keys >> U64(32)) * m[whose]) >> U64(32)
+        start = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (whose[1:] != whose[:-1])]))
+        stop = np.append(start[1:], len(keys))
+        owner = whose[start]
+        place = (band[owner].astype(U64) << U64(32)) + segment[start]
+        sign = mix((total[stop] - total[start]) ^ mix(place))
+        alone = single[stop] > single[start]
+        order = np.lexsort((sign, weight[start] - weight[stop], ~alone, owner))
+        held = np.bincount(owner, minlength=len(counts))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(held) - held, held)
+        order = order[(rank <= d[owner]) & ~alone[order] & (band[owner] >= 0)]
+        signs.append(sign[order])
+        owners.append(owner[order])
+        # what two such sets have in common may be segments without n-grams only
+        few = np.flatnonzero((held <= d) & (band >= 0))
+        signs.append(mix(~band[few].astype(U64)))
+        owners.append(few)
+    return np.concatenate(signs), np.concatenate(owners)
+
+
 PAIR = np.dtype([("s", "u8"), ("id", "i8"), ("n", "u4")])
 
 
 def packed(data: np.ndarray) -> bytes:
-    """N-grams, steps between the sorted ids byte by byte (the upper bytes are zeros), sizes."""
+    """Columns, steps between the sorted ids, and sizes, byte by byte (the upper bytes are zeros)."""
     data = data[np.argsort(data["id"], kind="stable")]
     steps = np.diff(data["id"].astype(np.int64), prepend=0).astype(np.int64)
-    return data["s"].tobytes() + planes(steps) + data["n"].tobytes()
+    return planes(data["s"].copy()) + planes(steps) + planes(data["n"].copy())
 
 
 def unpacked(blob: bytes) -> np.ndarray:
     n = len(blob) // PAIR.itemsize
     data = np.empty(n, dtype=PAIR)
-    data["s"] = np.frombuffer(blob, dtype=U64, count=n)
+    data["s"] = unplanes(blob, n, "<u8", 0)
     data["id"] = np.cumsum(unplanes(blob, n, "<i8", 8 * n))
-    data["n"] = np.frombuffer(blob, dtype=np.uint32, count=n, offset=16 * n)
+    data["n"] = unplanes(blob, n, "<u4", 16 * n)
     return data
 
 
@@ -330,7 +396,8 @@ def _counted(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
             for blob in batch.column("data").to_pylist():
                 total = np.zeros(1 << SLICE_BITS, dtype=np.uint64)
                 add_sparse(total, blob)
-                made.append(zlib.compress(level_of(total).tobytes(), 1))
+                levels = np.where(total > 1, np.maximum(level_of(total), 1), 0)  # 0: in one row only
+                made.append(zlib.compress(levels.astype(np.uint8).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(made, pa.binary())], names=["slice", "data"])
 
     shape = "doc_id long, n long, x long, y long, part long, slice int, data binary"
@@ -351,15 +418,16 @@ def _counted(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
 def _pairs(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
     """a, b: ids of sets that neighbours in columns connect, as stars of the smallest ids of a bucket of columns."""
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BUCKET_BYTES)
     held_levels = spark.sparkContext.broadcast(levels)  # a byte for each counter
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen, held, size, levels = Sets(words), set(), [], 0, held_levels.value
+        weights = weights_of(levels) if num >= PARTED * den else None
 
         def flush() -> pa.RecordBatch:
             data, pairs = same_size(in_order(np.concatenate(held)))
-            bucket = ((data["s"] >> U64(40)) % U64(buckets)).astype(np.int32)
+            bucket = ((data["s"] >> U64(8)) % U64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = [(b, packed(data[order[cuts[b] : cuts[b + 1]]]), None) for b in range(buckets) if cuts[b] < cuts[b + 1]]
@@ -382,8 +450,10 @@ def _pairs(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray)
                         seen.add(h)
                 if len(seen) > SEEN:  # equal sets that are sent again only meet again
                     seen.clear()
-                signs, owner = select(keys[np.repeat(use, counts)], counts[use], num, den, levels)
+                own, n = keys[np.repeat(use, counts)], counts[use]
+                signs, owner = select(own, n, num, den, levels) if weights is None else parts_of(own, n, num, den, levels, weights)
                 data = np.empty(len(signs), dtype=PAIR)
+                signs &= U64((1 << 48) - 1)  # columns that fall together only make blocks larger
                 data["s"], data["n"], data["id"] = signs, counts[use][owner], ids[a:b][use][owner]
                 held.append(data)
                 size += data.nbytes

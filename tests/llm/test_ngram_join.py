@@ -174,3 +174,32 @@ def test_links_of_sets_alone_in_their_band(spark, documents):
         rows += [(10 * n, " ".join(words)), (10 * n + 1, " ".join([*words, "more"])), (10 * n + 2, " ".join([*words, "more"]))]
     got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard_links(documents(rows)).collect()}
     assert got == {i: (i - i % 10, 2) for i, _ in rows}
+
+
+def test_linked_sets_share_a_part():
+    rng = np.random.default_rng(6)
+    for num, den in ((9, 10), (8, 10), (3, 4), (1, 1)):
+        sets = []
+        for size in [*range(1, 30), *rng.integers(30, 400, 60)]:
+            base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+            for gone, new in ((0, 0), (den - num, 0), (0, den - num), (den - num, den - num)):
+                left = base[int(size * gone * rng.random() / den) :]
+                sets.append(np.unique(np.concatenate([left, rng.integers(0, 1 << 63, int(size * new * rng.random() / den)).astype(np.uint64)])))
+        keys, counts = np.concatenate(sets), np.array([len(s) for s in sets])
+        links = ngram_join.linked(sets, None, num, den)
+        assert links.sum() > 1.2 * len(sets) or num == den
+        for levels in (np.ones(1 << 10, dtype=np.uint8), rng.integers(1, 256, 1 << 10).astype(np.uint8)):
+            signs, owner = ngram_join.parts_of(keys, counts, num, den, levels, ngram_join.weights_of(levels))
+            own = [set(signs[owner == i].tolist()) for i in range(len(sets))]
+            assert all(own[i] & own[j] for i, j in np.argwhere(links).tolist())
+
+
+def test_blocks_stay_small_where_counters_tell_nothing(spark, documents):
+    """Texts that by chance have many n-grams in common with others aren't brought together, near copies are."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(100, 200)))) for i in range(300)]
+    rows += [(1000 + i, t + " new") for i, t in rows[:20]]
+    for words, num in ((3, 90), (5, 80)):
+        found = ngram_join._pairs(documents(rows).select("doc_id", "text"), words, num, 100, np.ones(1 << 18, dtype=np.uint8))
+        pairs = {tuple(sorted(r)) for r in found.collect()}
+        assert {(i, 1000 + i) for i in range(20)} <= pairs and len(pairs) < 30
