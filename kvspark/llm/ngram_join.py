@@ -68,6 +68,8 @@ BYTES_A_COUNTER, LEAST_BITS, MOST_BITS, SLICE_BITS, FAN, TALLY = 8, 18, 25, 17,
 PARTED, SEGMENTS = 0.75, 1.6
 #: Of the input's files, for each bucket of columns.
 BUCKET_BYTES = 16 << 20
+#: Bytes of texts that are hashed at a time, and of columns that a task holds until it sends them: at least, at most, for a bucket.
+HASHED, HELD = 1 << 18, (1 << 22, 1 << 24, 1 << 15)
 #: The bitmap of ids has this many words of 64 bits.
 WORDS = 1 << 20
 LIMIT, PART_BYTES, SMALL_BYTES = 2048, 1 << 23, 1 << 20
@@ -159,7 +161,8 @@ def select(keys: np.ndarray, counts: np.ndarray, num: int, den: int, levels: np.
 
 def weights_of(levels: np.ndarray) -> np.ndarray:
     """The weight of each level in a part's rank: full up to somewhat above the middle one, then by the count's inverse."""
-    middle = int(np.searchsorted(np.cumsum(np.bincount(levels, minlength=256)), len(levels) / 2))
+    by = sum(np.bincount(levels[i : i + (1 << 20)], minlength=256) for i in range(0, len(levels), 1 << 20))  # makes longs
+    middle = int(np.searchsorted(np.cumsum(by), len(levels) / 2))
     above = np.maximum(np.arange(256) - middle - 4, 0)
     return np.maximum(np.round(256 * 2.0 ** (-above / 8)), 1).astype(np.int64)
 
@@ -364,9 +367,9 @@ def _counted(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
             data = [sparse(at[cuts[s] : cuts[s + 1]] - (s << SLICE_BITS), counts[cuts[s] : cuts[s + 1]]) for s in own]
             return rows_of({"part": [part] * len(own), "slice": own, "data": data}, len(own))
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts, columns = texts_of(batch), [[], [], []]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, HASHED):
                 keys, counts = sets.read(texts[a:b])
                 held.append(counter_of(keys, bits))
                 size += len(keys)
@@ -420,10 +423,12 @@ def _pairs(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray)
     spark = docs.sparkSession
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BUCKET_BYTES)
     held_levels = spark.sparkContext.broadcast(levels)  # a byte for each counter
+    weights = weights_of(levels) if num >= PARTED * den else None
+    most = min(HELD[1], max(HELD[0], HELD[2] * buckets))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sets, seen, held, size, levels = Sets(words), set(), [], 0, held_levels.value
-        weights = weights_of(levels) if num >= PARTED * den else None
 
         def flush() -> pa.RecordBatch:
             data, pairs = same_size(in_order(np.concatenate(held)))
@@ -440,7 +445,7 @@ def _pairs(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray)
             texts = texts_of(batch)
             ids = np.array(batch.column("doc_id").fill_null(0), dtype=np.int64)
             null = np.array(batch.column("doc_id").is_null(), dtype=bool)
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, HASHED):
                 keys, counts = sets.read(texts[a:b])
                 use = (counts > 0) & ~null[a:b]
                 for i, h in enumerate(digests(keys, counts)[0].tolist()):
@@ -457,7 +462,7 @@ def _pairs(docs: DataFrame, words: int, num: int, den: int, levels: np.ndarray)
                 data["s"], data["n"], data["id"] = signs, counts[use][owner], ids[a:b][use][owner]
                 held.append(data)
                 size += data.nbytes
-                if size > 1 << 24:
+                if size > most:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -579,7 +584,7 @@ def _lines(docs: DataFrame, sets: DataFrame, size: DataFrame, words: int) -> Dat
         reader = Sets(words)
         for batch in (part for whole in batches for part in slices(whole)):
             texts, places, names, rows = texts_of(batch), batch.column("at").to_pylist(), batch.column("doc_id").to_pylist(), []
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, HASHED):
                 keys, counts = reader.read(texts[a:b])
                 x, y = (d.tolist() for d in digests(keys, counts))
                 for i, stop in enumerate(np.cumsum(counts).tolist()):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm._common import by_rows, kept_rows, worker_cache, written
+from kvspark.llm._common import by_rows, kept_rows, release, slices, worker_cache, written
 from kvspark.llm._labels import fit_logistic, held_out, labelled_sample, logistic
 
 ORDER, DISCOUNT, MAX_ROWS = 5, 0.75, 20_000
@@ -184,7 +184,7 @@ def _shared(docs: DataFrame, order: int, wanted: np.ndarray) -> Counts:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told, words = np.empty(0, dtype=np.int64), set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, limit=1 << 23)):
             fresh: set[bytes] = set()
             for text in batch.column("text").to_pylist():
                 fresh.update(words_of(text))
@@ -199,6 +199,8 @@ def _shared(docs: DataFrame, order: int, wanted: np.ndarray) -> Counts:
             if len(told) > KEEP_GRAMS:
                 told = told[:0]
             yield pa.RecordBatch.from_arrays([pa.array(found)], names=["gram"])
+        del told, words
+        release()
 
     top = written(docs.select("text").mapInArrow(run, "gram long").distinct(), "grams")
     asked = docs.sparkSession.createDataFrame(pa.table({"context": pa.array(wanted)}))

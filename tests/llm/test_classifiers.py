@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kvspark.llm import quality, toxicity
@@ -166,3 +167,25 @@ def test_logistic():
     w = fit_logistic(x, np.array([0, 0, 1, 1]))
     p = logistic(x, w)
     assert (p[:2] < 0.5).all() and (p[2:] > 0.5).all()
+
+
+def test_the_shared_counts_take_a_batch_in_slices(monkeypatch):
+    """A batch of long texts isn't turned into n-grams at once."""
+    held = []
+
+    class Documents:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            words = ["".join(chr(97 + int(c)) for c in str(i)) for i in range(1_000_000, 1_400_000)]
+            texts = [(" ".join(words[k::20]) + " ") * 8 for k in range(20)]
+            found = [x for b in run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])) for x in b.column(0).to_pylist()]
+            assert len(found) == len(set(found)) and set(found) == set(toxicity.grams(sorted({w for t in texts for w in toxicity.words_of(t)}), 3)[0].tolist())
+            raise KeyError
+
+    grams = toxicity.grams
+    monkeypatch.setattr(toxicity, "grams", lambda words, order: held.append(len(words)) or grams(words, order))
+    with pytest.raises(KeyError):
+        toxicity._shared(Documents(), 3, np.empty(0, dtype=np.int64))
+    assert sum(held[:-1]) == 400_000 and max(held[:-1]) < 250_000
