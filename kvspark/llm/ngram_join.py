@@ -47,7 +47,7 @@ columns are ignored. Hashes of n-grams have 64 bits.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log
 
 import numpy as np
@@ -385,23 +385,23 @@ def _counted(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         del held
         release()
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << SLICE_BITS, dtype=np.uint64)
-        for blob in table.column("data").to_pylist():
-            add_sparse(total, blob)
-        at = np.flatnonzero(total)
-        told = sparse(at, np.minimum(total[at], np.iinfo(np.uint32).max))
-        return pa.table([pa.array([table.column("part")[0].as_py()], pa.int64()), pa.array([table.column("slice")[0].as_py()], pa.int32()), pa.array([told], pa.binary())], names=names[4:])
+    def summed(last: bool) -> Callable:
+        """Adds the counters of a group; at ``last`` it tells their levels. A second Python operator in the stage would
+        keep another worker for each task."""
 
-    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for blob in batch.column("data").to_pylist():
-                total = np.zeros(1 << SLICE_BITS, dtype=np.uint64)
+        def add(table: pa.Table) -> pa.Table:
+            total = np.zeros(1 << SLICE_BITS, dtype=np.uint64)
+            for blob in table.column("data").to_pylist():
                 add_sparse(total, blob)
+            if last:
                 levels = np.where(total > 1, np.maximum(level_of(total), 1), 0)  # 0: in one row only
-                made.append(zlib.compress(levels.astype(np.uint8).tobytes(), 1))
-            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(made, pa.binary())], names=["slice", "data"])
+                told = zlib.compress(levels.astype(np.uint8).tobytes(), 1)
+            else:
+                at = np.flatnonzero(total)
+                told = sparse(at, np.minimum(total[at], np.iinfo(np.uint32).max))
+            return pa.table([pa.array([table.column("part")[0].as_py()], pa.int64()), pa.array([table.column("slice")[0].as_py()], pa.int32()), pa.array([told], pa.binary())], names=names[4:])
+
+        return add
 
     shape = "doc_id long, n long, x long, y long, part long, slice int, data binary"
     made = written(docs.mapInArrow(read, shape), "profile")
@@ -409,11 +409,11 @@ def _counted(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     parts = (told.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         parts = -(-parts // FAN)
-        told = told.withColumn("part", F.col("part") % parts).groupBy("slice", "part").applyInArrow(add, "part long, slice int, data binary")
+        told = told.withColumn("part", F.col("part") % parts).groupBy("slice", "part").applyInArrow(summed(parts == 1), "part long, slice int, data binary")
         if parts == 1:
             break
     levels = np.zeros((1 << (bits - SLICE_BITS), 1 << SLICE_BITS), dtype=np.uint8)
-    for row in told.select("slice", "data").mapInArrow(level, "slice int, data binary").collect():  # a row for each slice
+    for row in told.select("slice", "data").collect():  # a row for each slice
         levels[row["slice"]] = np.frombuffer(zlib.decompress(row["data"]), dtype=np.uint8)
     return made.where("slice is null").select("doc_id", "n", "x", "y"), levels.reshape(-1)
 

@@ -217,10 +217,13 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, wi
     pieces = written(few.mapInArrow(run, ", ".join(f"{n} long" for n in PIECES)), "pieces")
     partition = F.shiftright("sequence_id", 32).alias("partition")
     sums = pieces.groupBy(partition).agg(F.sum("length").alias("n")).orderBy("partition").collect()  # a row for each partition
-    before, at = [], 0
+    before, at = ([], []), 0
     for row in sums:
-        before.append((row["partition"], at))
+        before[0].append(row["partition"])
+        before[1].append(at)
         at += row["n"]
-    before = docs.sparkSession.createDataFrame(before, "partition long, before long")
+    # as Arrow: a list's rows would start a daemon and workers of another kind in each executor, which stay
+    before = pa.table([pa.array(c, type=pa.int64()) for c in before], names=["partition", "before"])
+    before = docs.sparkSession.createDataFrame(before)
     group = F.expr(f"(before + told) div {step}").alias("step_group")
     return pieces.withColumn("partition", partition).join(F.broadcast(before), "partition").select(*NAMES[:-1], group)

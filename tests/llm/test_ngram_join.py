@@ -203,3 +203,16 @@ def test_blocks_stay_small_where_counters_tell_nothing(spark, documents):
         found = ngram_join._pairs(documents(rows).select("doc_id", "text"), words, num, 100, np.ones(1 << 18, dtype=np.uint8))
         pairs = {tuple(sorted(r)) for r in found.collect()}
         assert {(i, 1000 + i) for i in range(20)} <= pairs and len(pairs) < 30
+
+
+def test_counters_are_summed_in_rounds(spark, documents, monkeypatch):
+    """The levels of several rounds against counts of all n-grams."""
+    monkeypatch.setattr(ngram_join, "FAN", 2)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    docs = documents(list(enumerate(texts))).select("doc_id", "text").repartition(7)
+    _, levels = ngram_join._counted(docs, 3)
+    keys, _ = ngram_join.Sets(3).read([t.encode() for t in texts])
+    total = np.bincount(ngram_join.counter_of(keys, len(levels).bit_length() - 1), minlength=len(levels))
+    assert total.max() > 8
+    assert levels.tolist() == np.where(total > 1, np.maximum(ngram_join.level_of(total), 1), 0).tolist()

@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -83,3 +86,27 @@ def test_run_is_the_stages(spark, tmp_path):
     spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == packing.NAMES and out.count() > 0
+
+
+WORKERS = """
+import sys
+sys.path.insert(0, sys.argv[1])
+import corpus_pipeline
+import psutil
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+rows = corpus_pipeline.run(spark, sys.argv[2]).collect()
+own = [p for p in psutil.Process().children(recursive=True) if "pyspark.daemon" in " ".join(p.cmdline())]
+print(len(rows) > 0, len(own))
+spark.stop()
+"""
+
+
+def test_a_core_has_one_python_worker(spark, tmp_path):
+    """Workers stay, with the models that they hold: one core needs a daemon and one worker through all stages."""
+    docs, labels, _ = corpus(4, 120)
+    spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in docs], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    done = subprocess.run([sys.executable, "-c", WORKERS, root, str(tmp_path)], capture_output=True, text=True, timeout=300)
+    assert done.stdout.split() == ["True", "2"], done.stderr
