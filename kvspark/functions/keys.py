@@ -36,6 +36,25 @@ def test_key(n: Column) -> Column:
     return F.concat(F.lit("key"), F.lpad(n.cast("string"), 6, "0"))
 
 
+def wrapped_product(a: Column, b: Column) -> Column:
+    """a * b modulo 2**64 as a long, where ``*`` fails beyond 64 bits.
+
+    Halves of 32 bits by quarters of 16, so that no step exceeds 2**50.
+    """
+    low, quarter = F.lit(0xFFFFFFFF).cast("long"), F.lit(0xFFFF).cast("long")
+    a, b = a.cast("long"), b.cast("long")
+    al, ah, bl, bh = a.bitwiseAND(low), F.shiftrightunsigned(a, 32), b.bitwiseAND(low), F.shiftrightunsigned(b, 32)
+
+    def parts(x: Column, y: Column) -> tuple[Column, Column]:
+        """x * y as (what it has under 2**49, a number of times 2**32)."""
+        upper = F.shiftrightunsigned(x, 16) * y
+        return x.bitwiseAND(quarter) * y + F.shiftleft(upper.bitwiseAND(quarter), 16), F.shiftrightunsigned(upper, 16)
+
+    under, over = parts(al, bl)
+    over = over + F.shiftrightunsigned(under, 32) + parts(ah, bl)[0] + parts(bh, al)[0]
+    return F.shiftleft(over, 32).bitwiseOR(under.bitwiseAND(low))
+
+
 def pack(seq: Column, vt: Column) -> Column:
     """Sequence number and value type in one long."""
     return F.shiftleft(seq.cast("long"), 8).bitwiseOR(vt.cast("long"))
