@@ -784,7 +784,7 @@ def varint_sql(n: str) -> str:
 
 
 def spread_number() -> Column:
-    """A long for each event; from event 200,000 on, where the SQL's product fails too, it is the product modulo 2**64."""
+    """A long for each event; past event 200,000, where the SQL's product fails too, it is the product modulo 2**64."""
     return keys.wrapped_product(F.col("event_id"), F.lit(46116860184273))
 
 
@@ -806,7 +806,7 @@ LITTLE = "array_to_string([substr(%s, 2 * i + 1, 2) FOR i IN %s], '')"
 
 @query("i8_little_endian", f"SELECT event_id, {LITTLE % ('w', '[3, 2, 1, 0]')} AS four, {LITTLE % ('h', '[7, 6, 5, 4, 3, 2, 1, 0]')} AS eight, n & 4294967295 AS four_value, n AS eight_value FROM (SELECT event_id, n, printf('%08X', n & 4294967295) AS w, printf('%016X', n) AS h FROM (SELECT event_id, event_id * 46116860184273 AS n FROM events))")
 def _(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") * 46116860184273).alias("n"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", spread_number().alias("n"))
     rows = rows.select("event_id", codec.little_int(F.col("n")).alias("w"), codec.little_long(F.col("n")).alias("h"))
     return rows.select("event_id", F.hex("w").alias("four"), F.hex("h").alias("eight"), codec.little_value(F.col("w"), 4).alias("four_value"), codec.little_value(F.col("h"), 8).alias("eight_value"))
 

@@ -32,3 +32,10 @@ def test_varints_of_large_numbers(spark, numbered):
     got = {r["event_id"]: (r["varint"], r["value"]) for r in catalogue.queries()["i2_varint64"](spark, numbered).collect()}
     numbers = {e: wrapped(e * 46116860184273) for e in EVENTS}
     assert got == {e: (codec.varint(n).hex().upper(), n) for e, n in numbers.items()}
+
+
+def test_little_endian_of_large_numbers(spark, numbered):
+    got = {r["event_id"]: tuple(r[c] for c in ("four", "eight", "four_value", "eight_value")) for r in catalogue.queries()["i8_little_endian"](spark, numbered).collect()}
+    numbers = {e: wrapped(e * 46116860184273) for e in EVENTS}
+    low = {e: n & 0xFFFFFFFF for e, n in numbers.items()}
+    assert got == {e: (low[e].to_bytes(4, "little").hex().upper(), (n % (1 << 64)).to_bytes(8, "little").hex().upper(), low[e], n) for e, n in numbers.items()}
