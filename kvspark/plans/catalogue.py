@@ -643,9 +643,11 @@ VARINT = "CASE WHEN n < 0 THEN 10 " + " ".join(f"WHEN n < {1 << (7 * i)} THEN {i
 
 @query("i4_varint_size", f"SELECT event_id, {VARINT} AS size FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN -event_id - 1 ELSE event_id * event_id * event_id END AS n FROM events)")
 def _(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    n = F.when(F.col("event_id") % 7 == 0, -F.col("event_id") - 1).otherwise(F.col("event_id") * F.col("event_id") * F.col("event_id"))
-    return rows.select("event_id", keys.varint_size(n).alias("size"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    rows = rows.withColumn("square", keys.wrapped_product(F.col("event_id"), F.col("event_id")))  # columns, since an
+    rows = rows.withColumn("cube", keys.wrapped_product(F.col("square"), F.col("event_id")))  # expression is worked out wherever it stands
+    rows = rows.select("event_id", F.when(F.col("event_id") % 7 == 0, -F.col("event_id") - 1).otherwise(F.col("cube")).alias("n"))
+    return rows.select("event_id", keys.varint_size(F.col("n")).alias("size"))
 
 
 @query("i6_pack", f"SELECT seq, vt, seq * 256 + vt AS packed, seq AS seq_again, vt AS vt_again FROM {ML}")
@@ -662,7 +664,7 @@ def _(spark, sf_dir):
 
 @query("i10_crc_mask", "SELECT event_id, ((c >> 15 | ((c * 131072) & 4294967295)) + 2726488792) & 4294967295 AS masked, c AS unmasked FROM (SELECT event_id, (event_id * 2654435761) & 4294967295 AS c FROM events)")
 def _(spark, sf_dir):
-    c = (F.col("event_id") * 2654435761).bitwiseAND(F.lit(4294967295).cast("long"))
+    c = keys.wrapped_product(F.col("event_id"), F.lit(2654435761)).bitwiseAND(F.lit(4294967295).cast("long"))
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", keys.crc_mask(c).alias("masked"))
     return rows.select("event_id", "masked", keys.crc_unmask(F.col("masked")).alias("unmasked"))
 

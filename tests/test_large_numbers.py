@@ -39,3 +39,14 @@ def test_little_endian_of_large_numbers(spark, numbered):
     numbers = {e: wrapped(e * 46116860184273) for e in EVENTS}
     low = {e: n & 0xFFFFFFFF for e, n in numbers.items()}
     assert got == {e: (low[e].to_bytes(4, "little").hex().upper(), (n % (1 << 64)).to_bytes(8, "little").hex().upper(), low[e], n) for e, n in numbers.items()}
+
+
+def test_varint_sizes_of_large_numbers(spark, numbered):
+    got = dict(map(tuple, catalogue.queries()["i4_varint_size"](spark, numbered).collect()))
+    assert got == {e: len(codec.varint(-e - 1 if e % 7 == 0 else wrapped(e**3))) for e in EVENTS}
+
+
+def test_checksums_of_large_numbers(spark, tmp_path):
+    spark.createDataFrame([(4_000_000_000,), ((1 << 62) + 1,)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: r["unmasked"] for r in catalogue.queries()["i10_crc_mask"](spark, str(tmp_path)).collect()}
+    assert got == {e: e * 2654435761 & 0xFFFFFFFF for e in (4_000_000_000, (1 << 62) + 1)}
