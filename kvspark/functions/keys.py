@@ -32,8 +32,13 @@ def number_key(n: Column, width: int = 16) -> Column:
     return F.lpad(n.cast("string"), width, "0")
 
 
+def padded(n: Column, width: int) -> Column:
+    """``printf('%0<width>d')``: a longer number stays whole, a sign comes first; null stays null."""
+    return F.when(n.isNotNull(), F.format_string(f"%0{width}d", n))
+
+
 def test_key(n: Column) -> Column:
-    return F.concat(F.lit("key"), F.lpad(n.cast("string"), 6, "0"))
+    return F.concat(F.lit("key"), padded(n, 6))
 
 
 def wrapped_product(a: Column, b: Column) -> Column:

@@ -677,7 +677,7 @@ def _(spark, sf_dir):
 
 
 def prefixes(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("uk"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(keys.padded(F.col("o_orderkey"), 12).alias("uk"))
     segment = F.expr("cast(substring(uk, 1, 9) AS int)")
     nexts = read.with_next(rows, segment)
     before = nexts.where("next_uk IS NOT NULL").select(F.col("next_uk").alias("uk"), F.col("uk").alias("p"))
@@ -695,7 +695,7 @@ def _(spark, sf_dir):
 @query("h11_block_estimate", "SELECT CAST(sum(3 + 12 - shared + strlen(val)) + 4 * ceil(count(*) / 16.0) + 4 AS BIGINT) AS bytes FROM (SELECT val, CASE WHEN pos % 16 = 0 THEN 0 ELSE coalesce((SELECT max(i) FROM range(1, strlen(k) + 1) t(i) WHERE k[:i] = p[:i]), 0) END AS shared FROM (SELECT k, val, row_number() OVER (ORDER BY k) - 1 AS pos, lag(k) OVER (ORDER BY k) AS p FROM (SELECT printf('%012d', o_orderkey) AS k, o_orderpriority AS val FROM orders)))")
 def _(spark, sf_dir):
     shared = prefixes(spark, sf_dir)
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("k"), "o_orderpriority")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(keys.padded(F.col("o_orderkey"), 12).alias("k"), "o_orderpriority")
     return layout.block_estimate(shared.join(rows, "k"), F.octet_length("k"), F.octet_length("o_orderpriority"), 16)
 
 
@@ -777,7 +777,7 @@ def _(spark, sf_dir):
         return pd.DataFrame([(int(rows["g"].iloc[0]), len(entries), len(block), decode(block) == entries)], columns=["g", "n", "bytes", "equal"])
 
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        F.expr("o_orderkey div 1000").alias("g"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("k"), F.col("o_orderpriority").alias("v"))
+        F.expr("o_orderkey div 1000").alias("g"), keys.padded(F.col("o_orderkey"), 12).alias("k"), F.col("o_orderpriority").alias("v"))
     return rows.groupBy("g").applyInPandas(through, "g long, n long, bytes long, equal boolean")
 
 
@@ -874,7 +874,7 @@ def _(spark, sf_dir):
         hit = seek(block, b"%012d" % (g * 1000 + 501))
         return pd.DataFrame([(g, hit and hit[0].decode())], columns=["g", "found"])
 
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr("o_orderkey div 1000").alias("g"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("k"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr("o_orderkey div 1000").alias("g"), keys.padded(F.col("o_orderkey"), 12).alias("k"))
     return rows.groupBy("g").applyInPandas(through, "g long, found string")
 
 

@@ -50,3 +50,24 @@ def test_checksums_of_large_numbers(spark, tmp_path):
     spark.createDataFrame([(4_000_000_000,), ((1 << 62) + 1,)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["event_id"]: r["unmasked"] for r in catalogue.queries()["i10_crc_mask"](spark, str(tmp_path)).collect()}
     assert got == {e: e * 2654435761 & 0xFFFFFFFF for e in (4_000_000_000, (1 << 62) + 1)}
+
+
+def test_padded_numbers_stay_whole(spark):
+    numbers = [0, 7, 999_999, 1_000_000, 123_456_789_012, -5, (1 << 63) - 1, None]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", keys.test_key(F.col("n")).alias("k"), keys.padded(F.col("n"), 12).alias("p"))
+    assert {tuple(r) for r in rows.collect()} == {(n, n if n is None else "key%06d" % n, n if n is None else "%012d" % n) for n in numbers}
+
+
+@pytest.mark.parametrize("name", ["i21_test_key", "i13_prefix", "d16_block_seek"])
+def test_long_numbers_same_as_sql(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    numbers = [5, 999_999, 1_000_000, 5_999_999, 10**12 - 1, 10**12, 10**12 + 600, 10**12 + 700, 10**13 + 3]
+    table = spark.createDataFrame([(n, n) for n in numbers], "event_id long, o_orderkey long")
+    con = duckdb.connect()
+    for view in ("events", "orders"):
+        table.write.parquet(f"{tmp_path}/{view}.parquet")
+        con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{tmp_path}/{view}.parquet/*.parquet'")
+    got = catalogue.queries()[name](spark, str(tmp_path))
+    want = con.execute(catalogue.oracle_sql()[name])
+    at = [[c[0] for c in want.description].index(c) for c in got.columns]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
