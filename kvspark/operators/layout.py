@@ -7,6 +7,7 @@ space into the pieces between neighbouring bounds only where it says so.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,27 +29,67 @@ def with_runs(log: DataFrame, size: Column, buffer: int, segment_size: int = 1 <
     return total.withColumn("run_id", F.expr(f"(__t - b) div {buffer}")).drop("__t")
 
 
-def exact_runs(log: DataFrame, size: Column, buffer: int, shard: Column | None = None) -> DataFrame:
+def exact_runs(log: DataFrame, size: Column, buffer: int, shard: Column | None = None, segment_size: int = 1 << 18) -> DataFrame:
     """shard, run_id, n, lo, hi, bytes: a run ends before the write that finds its use above ``buffer``.
 
-    The rule is a fold in write order, so that a shard (one writer's log) is
-    folded as a whole; shards run side by side.
+    The rule is a fold in write order over a shard (one writer's log). Its segments of
+    ``segment_size`` sequence numbers are folded side by side: how one is cut hangs on
+    the use at its start only, and by that on where its first cut is. ``outcomes`` tells
+    what follows from each first cut that can be, at most a buffer's distinct sums for a
+    segment; ``enter`` goes through a shard's segments by them; ``fold`` cuts the rows. A
+    run over several segments is put together at the end. Sizes aren't negative; after
+    one that is null the use is null and nothing is cut, as in SQL.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    unknown, never = -(1 << 62), (1 << 63) - 1  # a use that no size lifts above the buffer, a sum that no use reaches
+
+    def sums(rows: pd.DataFrame) -> tuple[np.ndarray, int, bool]:
+        """The use before each row and after the last, counted from the first, up to a null; the rows up to it; whether there is one."""
+        known = rows["b"].notna().to_numpy()
+        n = len(rows) if known.all() else int(known.argmin())
+        return np.concatenate(([0], np.cumsum(rows["b"].to_numpy()[:n].astype(np.int64)))), n, n < len(rows)
+
+    def outcomes(rows: pd.DataFrame) -> pd.DataFrame:
+        """For each first cut: the sum before it, cuts from there on, the use at the end; without a cut (sum ``never``) the segment's sum."""
+        total, n, broken = sums(rows.sort_values("seq"))
+        places = n + broken  # a null entry can still begin a run
+        then = np.searchsorted(total, total[:places] + buffer, side="right").tolist()
+        cuts, last = [1] * places, list(range(places))
+        for i in range(places - 1, -1, -1):
+            if then[i] < places:
+                cuts[i], last[i] = cuts[then[i]] + 1, last[then[i]]
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(total[:places]) > 0) & (total[: places - 1] <= buffer))))
+        end = [unknown if broken else int(total[n] - total[at]) for at in [*(last[i] for i in first), 0]]
+        out = pd.DataFrame({"before": [*total[first].tolist(), never], "cuts": [*(cuts[i] for i in first), 0], "used": end})
+        return out.assign(shard=rows["shard"].iloc[0], segment=rows["segment"].iloc[0])
+
+    def enter(rows: pd.DataFrame) -> pd.DataFrame:
+        """Use and run at the start of each segment."""
+        used, run, starts = 0, 0, []
+        for segment, part in rows.sort_values(["segment", "before"]).groupby("segment"):
+            starts.append((segment, used, run))
+            at = int(np.searchsorted(part["before"].to_numpy(), buffer - used, side="right"))
+            cuts, end = int(part["cuts"].iloc[at]), int(part["used"].iloc[at])
+            used, run = end if cuts or end == unknown else used + end, run + cuts
+        return pd.DataFrame(starts, columns=["segment", "used", "run"]).assign(shard=rows["shard"].iloc[0])
+
+    def fold(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
-        used, run, runs = 0, 0, []
-        for b in rows["b"].tolist():
-            if used > buffer:
-                used, run = 0, run + 1
-            used += b
-            runs.append(run)
-        out = rows.assign(run_id=runs).groupby(["shard", "run_id"], as_index=False)
+        total, n, broken = sums(rows)
+        begins = np.zeros(len(rows), dtype=np.int64)
+        at = int(np.searchsorted(total, buffer - int(start["used"].iloc[0]), side="right"))
+        while at < n + broken:
+            begins[at] = 1
+            at = int(np.searchsorted(total, total[at] + buffer, side="right"))
+        out = rows.assign(run_id=int(start["run"].iloc[0]) + np.cumsum(begins)).groupby(["shard", "run_id"], as_index=False)
         return out.agg(n=("b", "size"), lo=("uk", "min"), hi=("uk", "max"), bytes=("b", "sum"))
 
     key = log.schema["uk"].dataType.simpleString()
-    few = log.select((shard if shard is not None else F.lit(0)).cast("int").alias("shard"), "uk", "seq", size.cast("long").alias("b"))
-    return few.groupBy("shard").applyInPandas(fold, f"shard int, run_id long, n long, lo {key}, hi {key}, bytes long")
+    few = log.select((shard if shard is not None else F.lit(0)).cast("int").alias("shard"), F.expr(f"seq div {segment_size}").alias("segment"), "uk", "seq", size.cast("long").alias("b"))
+    parts = few.groupBy("shard", "segment")
+    told = parts.applyInPandas(outcomes, "shard int, segment long, before long, cuts long, used long")
+    starts = told.groupBy("shard").applyInPandas(enter, "shard int, segment long, used long, run long")
+    pieces = parts.cogroup(starts.groupBy("shard", "segment")).applyInPandas(fold, f"shard int, run_id long, n long, lo {key}, hi {key}, bytes long")
+    return pieces.groupBy("shard", "run_id").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("bytes").alias("bytes"))
 
 
 def manifest(log: DataFrame, size: Column, buffer: int, levels: int = 3) -> DataFrame:
