@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from kvspark.operators import layout
+from kvspark.plans import catalogue
 
 
 def folded(rows, buffer):
@@ -41,3 +43,29 @@ def test_segments_cut_as_the_whole_log(spark, kind, buffer, segment):
     for shard, run, *what in layout.exact_runs(frame, F.col("b"), buffer, F.col("writer"), segment).collect():
         got.setdefault(shard, {})[run] = tuple(what)
     assert got == {shard: folded(log, buffer) for shard, log in enumerate(logs)}
+
+
+def test_no_function_gets_the_whole_log(spark, monkeypatch):
+    n, most = 300_000, 1 << 18
+    real = GroupedData.applyInPandas
+
+    def bounded(self, fn, schema):
+        def few(rows):
+            assert len(rows) <= most
+            return fn(rows)
+
+        return real(self, few, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", bounded)
+    log = spark.range(n).select((F.col("id") % 97).alias("uk"), (F.col("id") + 1).alias("seq"), (16 + F.col("id") % 5).alias("b"))
+    got = {run: tuple(what) for _, run, *what in layout.exact_runs(log, F.col("b"), 4096).collect()}
+    assert got == folded([(i % 97, i + 1, 16 + i % 5) for i in range(n)], 4096)
+
+
+def test_g1_runs_exact_of_a_larger_table(spark, tmp_path):
+    """More events than a segment holds: the query's runs are those of the whole log's fold."""
+    n = 300_000
+    table = spark.range(n).selectExpr("id AS event_id", "id % 97 AS user_id", "if(id % 11 = 0, 'error', 'click') AS event_type", "repeat('x', int(id % 7)) AS props")
+    table.write.parquet(f"{tmp_path}/events.parquet")
+    got = {run: tuple(what) for run, *what in catalogue.queries()["g1_runs_exact"](spark, str(tmp_path)).collect()}
+    assert got == folded([(i % 97, i + 1, 16 + (0 if i % 11 == 0 else i % 7)) for i in range(n)], 4096)
